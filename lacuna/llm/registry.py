@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, urlfilter
+from . import chat, mixing, quality, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op9_warc": warc.op9_warc,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 
 ORACLES = {
     "op4_chat_formatting": chat.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
 }
