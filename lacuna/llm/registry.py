@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, urlfilter, warc
+from . import ann, chat, mixing, quality, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_ann": ann.op5_ann,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
