@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, chat, jaccard, mixing, quality, sharding, urlfilter, warc
+from . import ann, chat, decontaminate, jaccard, mixing, quality, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_ann": ann.op5_ann,
