@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, jaccard, mixing, quality, sharding, urlfilter, warc
+from . import ann, chat, decontaminate, jaccard, linedup, mixing, quality, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_ann": ann.op5_ann,
+    "op6_line_dedup": linedup.op6_line_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
