@@ -29,7 +29,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -223,8 +223,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(packed, pa.binary())], schema=schema)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) to a row a document: doc_id, class_id, n_links."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) to a row a document: doc_id, key (of the text), sig, root (the class), class_id, n_links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
     table = materialize(texts.mapInArrow(_members, _ROW), "jaccard-sets")
     full = table.where("sig IS NOT NULL")
@@ -259,11 +259,40 @@ def join(docs: DataFrame) -> DataFrame:
     counted = compared.groupBy("sig").agg(F.sum("links").alias("links"))
     named = counted.join(classes, "sig", "left").withColumn("root", F.coalesce("root", "sig")).join(slim.select("sig", "doc"), "sig")
     ids = named.groupBy("root").agg(F.min("doc").alias("class_id"))
-    result = slim.select("sig", "doc", "n_docs").join(named.join(ids, "root").select("sig", "links", "class_id"), "sig", "left")
-    by_sig = materialize(result.select(F.col("sig").alias("__sig"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")), "jaccard-classes")
+    result = slim.select("sig", "doc", "n_docs").join(named.join(ids, "root").select("sig", "root", "links", "class_id"), "sig", "left")
+    by_sig = materialize(result.select(F.col("sig").alias("__sig"), F.coalesce("root", "sig").alias("root"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")), "jaccard-classes")
     release(reps, comps, wanted, compared)
-    out = table.select("doc_id", "sig").join(by_sig, F.col("sig") == F.col("__sig"), "left")
-    return out.select("doc_id", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = table.select("doc_id", "key", "sig").join(by_sig, F.col("sig") == F.col("__sig"), "left")
+    return out.select("doc_id", "key", "sig", "root", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) to a row a document: doc_id, class_id, n_links."""
+    return _classes(docs).select("doc_id", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, the least by doc_id (null last), then by the text's digest. Texts without shingles stay."""
+    found = materialize(_classes(docs), "jaccard-documents")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    stay = found.where("sig IS NOT NULL").groupBy("root").agg(least).select(F.col("least.doc_id").alias("__doc"), F.col("least.key").alias("__key"))
+    alone = found.where("sig IS NULL").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
+    stay = materialize(stay.unionByName(alone), "jaccard-stay")
+    again = found.where("sig IS NOT NULL").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.lit(True).alias("__again"))
+    many = not again.isEmpty()
+    side = stay
+    if many:
+        other = again.select(F.col("__doc").alias("__d"), F.col("__key").alias("__k"), "__again")
+        side = stay.join(other, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left").select("__doc", "__key", "__again")
+    if fits_broadcast(stay.count(), 64):
+        side = F.broadcast(side)
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    kept = docs.withColumn("__digest", digest).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__digest") == F.col("__key")))
+    if many:  # of rows that repeat both, the first by their other columns
+        order = Window.partitionBy("__doc", "__key").orderBy(F.xxhash64(*docs.columns))
+        once = kept.where("__again").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+        return kept.where("__again IS NULL").select(*docs.columns).unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
