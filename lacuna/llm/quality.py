@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .storage import materialize, release
 from .text import NONSPACE, mix64, text_bytes, word_spans
 
@@ -196,14 +197,13 @@ def fit(table: DataFrame, labels: DataFrame) -> Network | None:
     """Fit on a bounded sample of ``table``'s rows; None without positives."""
     one = labels.where(F.col("quality").isin(0, 1) & (fold() != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     marked = one.where("quality = most").select("doc_id", "quality")
-    order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    seen = marked.select("quality", order.alias("h")).orderBy("h").limit(PRIOR_ROWS).agg(F.avg(F.col("quality").cast("double")).alias("p")).first()["p"]
+    seen = bounded_sample(marked, SEED, "doc_id", PRIOR_ROWS).agg(F.avg(F.col("quality").cast("double")).alias("p")).first()["p"]
     usable = table.where(F.coalesce(fold() != HELD_OUT, F.lit(True)))
-    ids = marked.where("quality = 1").orderBy(order).limit(POSITIVES).select("doc_id")
-    positive = usable.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "x").limit(POSITIVES).select("x").collect()
+    ids = bounded_sample(marked.where("quality = 1"), SEED, "doc_id", POSITIVES).select("doc_id")
+    positive = bounded_sample(usable.join(F.broadcast(ids), "doc_id", "left_semi"), SEED, "doc_id", POSITIVES, "x").select("x").collect()
     if not positive:
         return None
-    unlabelled = usable.orderBy(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), "x").limit(UNLABELLED).select("x").collect()
+    unlabelled = bounded_sample(usable, SEED + 1, "doc_id", UNLABELLED, "x").select("x").collect()
     return Network(_array(positive), _array(unlabelled), min(max(seen, 0.05), 0.98))
 
 
