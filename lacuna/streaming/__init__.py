@@ -1,0 +1 @@
+"""No streaming operators: the data are daily batches, and fills look at days on both sides of a gap."""
