@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
 from .storage import materialize
 
 BOOKS, WORDS, BEAM = 8, 256, 4
@@ -187,8 +188,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    order = F.xxhash64(F.lit(SEED), F.col("vec_id"))
-    sample = rows.orderBy(order, "v").limit(SAMPLE).select("v").collect()
+    sample = bounded_sample(rows, SEED, "vec_id", SAMPLE, "v").select("v").collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
         return empty
