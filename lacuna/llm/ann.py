@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
-from .storage import materialize
+from .storage import lean, materialize
 
 BOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 12_000
@@ -127,7 +127,7 @@ def build_index(rows: DataFrame, books: Codebooks) -> DataFrame:
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(schema[1].type), packed, pa.array(norm, pa.float32()), pa.array(fidelity, pa.float32())], schema=schema)
 
-    return materialize(rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, norm float, fidelity float"), "ann-index")
+    return materialize(rows.mapInArrow(lean(run), "vec_id long, v array<double>, codes binary, norm float, fidelity float"), "ann-index")
 
 
 def exact_cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: n
         if found.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[found.ravel()]), pa.array(best_v[found]), pa.array(best_s[found])], schema=schema)
 
-    return index.select("vec_id", "v", "codes", "norm", "fidelity").mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.select("vec_id", "v", "codes", "norm", "fidelity").mapInArrow(lean(run), "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fits_broadcast, materialize, release
+from .storage import fits_broadcast, lean, materialize, release, small_batches
 from .text import WORDLIKE, words
 
 PASSAGE, COMMON = 64, 0.05
@@ -87,7 +87,7 @@ def sequences(docs: DataFrame, key: str, items: Items) -> DataFrame:
                 packed = [terms[bounds[r] : bounds[r + 1]].tobytes() for r in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], schema=schema)
 
-    return materialize(docs.select(F.col(key).cast("long"), "text").mapInArrow(run, "key long, terms binary"), "leak-sequences")
+    return materialize(docs.select(F.col(key).cast("long"), "text").mapInArrow(lean(run), "key long, terms binary"), "leak-sequences")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], width, words: int = 200_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -130,9 +130,11 @@ def term_counts(table: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["term", "n"])
 
-    summed = table.select("key", "terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    summed = table.select("key", "terms").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = np.zeros(size + 1, np.int64)
-    for r in summed.collect():  # at most a row a term of the benchmark
+    with small_batches(table.sparkSession):
+        rows = summed.collect()  # at most a row a term of the benchmark
+    for r in rows:
         counts[r["term"]] = r["n"]
     return counts[1:], int(counts[0])
 
@@ -183,9 +185,11 @@ def factorise(table: DataFrame, items: Items, weights: np.ndarray, passages: int
         yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(total[there, c].astype(np.float32)) for c in range(columns)]], names=["term", *[f"c{c}" for c in range(columns)]])
 
     names = [f"c{c}" for c in range(columns)]
-    parts = table.select("key", "terms").mapInArrow(run, "term long, " + ", ".join(f"{n} float" for n in names))
+    parts = table.select("key", "terms").mapInArrow(lean(run), "term long, " + ", ".join(f"{n} float" for n in names))
     y = np.zeros((size + 1, columns))
-    for r in parts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).collect():  # at most a row a term of the benchmark
+    with small_batches(table.sparkSession):
+        rows = parts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).collect()  # at most a row a term of the benchmark
+    for r in rows:
         y[r["term"]] = r[1:]
     if len(items.sequences):  # item passages are rows too, and weigh as much as the corpus
         own = np.concatenate(items.sequences)
@@ -293,7 +297,7 @@ def search(table: DataFrame, items: Items, weights: np.ndarray, factor: np.ndarr
                 rows = [(keys[r], i, s, a, -w) for (r, i), (s, a, w) in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t.type) for k, t in enumerate(schema)], schema=schema)
 
-    return table.select("key", "terms").mapInArrow(run, FOUND)
+    return table.select("key", "terms").mapInArrow(lean(run), FOUND)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import fits_broadcast, materialize, release
+from .storage import fits_broadcast, lean, materialize, release
 from .text import mix64, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -226,7 +226,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classes(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to a row a document: doc_id, key (of the text), sig, root (the class), class_id, n_links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
-    table = materialize(texts.mapInArrow(_members, _ROW), "jaccard-sets")
+    table = materialize(texts.mapInArrow(lean(_members), _ROW), "jaccard-sets")
     full = table.where("sig IS NOT NULL")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     whole = full.groupBy("sig").agg(least.alias("least"), F.count("*").alias("n_docs"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("agree").alias("agree"))
@@ -234,7 +234,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     met, links = _leaves(reps)
     near = met.join(reps.select("sig", "agree"), "sig").select("leaf", "sig", "agree").repartition("leaf").sortWithinPartitions("leaf")
-    links = materialize(near.mapInArrow(_meet, "a binary, b binary").unionByName(links).distinct(), "jaccard-links")
+    links = materialize(near.mapInArrow(lean(_meet), "a binary, b binary").unionByName(links).distinct(), "jaccard-links")
     comps = materialize(components(links).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "jaccard-components")
     release(links)
 
@@ -244,14 +244,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     wanted = materialize(sized.join(blocks, "comp").select("comp", "blocks", "sig", "n_docs", F.col("doc").alias("__doc"), F.col("key").alias("__key")), "jaccard-wanted")
     side = F.broadcast(wanted) if fits_broadcast(wanted.count(), 96) else wanted
     found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("comp", "blocks", "sig", "n_docs", "text")
-    sets = found.mapInArrow(_sets, "comp binary, blocks long, sig binary, n_docs long, tokens binary")
+    sets = found.mapInArrow(lean(_sets), "comp binary, blocks long, sig binary, n_docs long, tokens binary")
     own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(other))
     grp = F.concat("comp", F.lit(":"), F.least("own", "other").cast("string").cast("binary"), F.lit("-"), F.greatest("own", "other").cast("string").cast("binary"))
     where = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     tasks = dealt.select(grp.cast("binary").alias("grp"), where.cast("int").alias("side"), "sig", "n_docs", "tokens").repartition("grp").sortWithinPartitions("grp", "side", "sig")
-    compared = materialize(tasks.mapInArrow(_compare, "sig binary, root binary, links long"), "jaccard-compared")
+    compared = materialize(tasks.mapInArrow(lean(_compare), "sig binary, root binary, links long"), "jaccard-compared")
     if wanted.where("blocks > 1").isEmpty():
         classes = compared.groupBy("sig").agg(F.min("root").alias("root"))
     else:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
-from .storage import materialize, release
+from .storage import lean, materialize, release
 from .text import NONSPACE, mix64, text_bytes, word_spans
 
 #: Bounds of the sample that the network is fitted on.
@@ -142,7 +142,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, x array<float>")
 
 
 def fold(key: str = "doc_id"):
@@ -216,7 +216,7 @@ def score(table: DataFrame, network: Network | None) -> DataFrame:
             s = network.scores(x) if network else np.full(len(part), 0.5)
             yield pd.DataFrame({"doc_id": part["doc_id"].array, "score": s})
 
-    scored = table.mapInPandas(run, "doc_id long, score double")
+    scored = table.mapInPandas(lean(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

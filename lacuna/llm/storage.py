@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from typing import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest table, in bytes of its rows, that is broadcast after its size was measured.
 BROADCAST_BYTES = 32 << 20
 
+#: Arrow batches between Spark and Python.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,12 +41,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lacuna_path = path
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES):
+    """Jobs that run inside exchange batches of at most about ``size`` with Python, whatever the length of the texts."""
+    old = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, for mapInArrow and the like, giving freed memory back when a task ends: workers live on between tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that nothing reads any more."""
     for df in tables:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import lean
+
 MAX_RULES = 100_000
 TOKEN = re.compile("[a-z0-9]+")
 #: host, path, verdict
@@ -156,7 +158,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             yield out
 
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url").mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return pages.select("page_id", "url").mapInPandas(lean(run), f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

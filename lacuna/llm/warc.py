@@ -36,7 +36,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fits_broadcast, materialize, new_path
+from .storage import fits_broadcast, lean, materialize, new_path
 
 BLOCK_LINES = 3000
 FILE_BYTES = 1 << 30
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame
                 out.close()
 
     _make(root)
-    return materialize(marked.mapInArrow(run, CAPTURES), "warc-captures")
+    return materialize(marked.mapInArrow(lean(run), CAPTURES), "warc-captures")
 
 
 def _make(root: str) -> None:
@@ -188,7 +188,7 @@ def write_index(captures: DataFrame, root: str, lines: int = BLOCK_LINES) -> Dat
             yield pa.RecordBatch.from_pylist([{"key": firsts[0][0], "page_id": firsts[0][1], "name": name, "blocks": len(firsts), "lines": total}], schema=shards)
 
     ordered = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    return materialize(ordered.mapInArrow(run, "key string, page_id long, name string, blocks long, lines long"), "warc-shards")
+    return materialize(ordered.mapInArrow(lean(run), "key string, page_id long, name string, blocks long, lines long"), "warc-shards")
 
 
 class Shard:
@@ -251,9 +251,9 @@ def locate(wanted: DataFrame, shards: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(kept, _CAPTURES)], schema=_CAPTURES)
 
     distinct = wanted.select("url", F.col("page_id").cast("long")).distinct()
-    placed = distinct.mapInArrow(place, "key string, page_id long, shard int").distinct()
+    placed = distinct.mapInArrow(lean(place), "key string, page_id long, shard int").distinct()
     by_shard = placed.repartition("shard").sortWithinPartitions("shard", "key", "page_id")
-    return by_shard.mapInArrow(look, CAPTURES)
+    return by_shard.mapInArrow(lean(look), CAPTURES)
 
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -280,7 +280,7 @@ def fetch(captures: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
 
     by_file = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return by_file.mapInArrow(run, RECORDS)
+    return by_file.mapInArrow(lean(run), RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
