@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
-from .storage import lean, materialize, release
+from .storage import fits_broadcast, lean, materialize, release
 from .text import NONSPACE, mix64, text_bytes, word_spans
 
 #: Bounds of the sample that the network is fitted on.
@@ -54,6 +54,7 @@ _KIND = np.full(256, len(_KINDS), np.uint8)
 for _n, _codes in enumerate(_KINDS.values()):
     _KIND[_codes] = _n
 _N = len(_KINDS) + 1
+_NO_NEWLINE = np.arange(256) != 0x0A
 #: Kinds that make a word loud.
 _LOUD = np.isin(np.arange(_N), [list(_KINDS).index(k) for k in ("upper", "stop", "shout", "symbol")])
 _SPREAD = ("words", "mean_word", "distinct", "same_as_last", "same_as_earlier", "distinct_pairs", "lines", "same_lines", "words_a_line", "one_kind_words", "top_word", "distinct_64")
@@ -116,33 +117,34 @@ def features(texts: pa.Array) -> np.ndarray:
     put("distinct_64", np.bincount(owner[place % 64 == 0], parts, rows) / n)
     shout = np.concatenate([[0], np.cumsum(_LOUD[kind], dtype=np.int64)])
     put("one_kind_words", np.bincount(owner, (shout[ends] - shout[starts] >= 3) | (2 * (shout[ends] - shout[starts]) > ends - starts), rows) / n)
-    line_end = np.zeros(256, bool)
-    line_end[[0x0A]] = True
-    if len(data):
-        found = list(word_spans(data, offsets, ~line_end))
-        ls = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in found]])
-        lh = np.concatenate([np.zeros(0, np.uint64), *[x[2] for x in found]])
-        lo = np.searchsorted(offsets, ls, "right") - 1
-        lines = np.maximum(np.bincount(lo, minlength=rows), 1).astype(float)
-        put("lines", np.log1p(lines) / 10)
-        put("same_lines", 1 - _distinct(lo, lh, rows)[0] / lines)
-        put("words_a_line", np.log1p(words / lines) / 10)
+    found = list(word_spans(data, offsets, _NO_NEWLINE))
+    ls = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in found]])
+    lh = np.concatenate([np.zeros(0, np.uint64), *[x[2] for x in found]])
+    lo = np.searchsorted(offsets, ls, "right") - 1
+    lines = np.bincount(lo, minlength=rows).astype(float)
+    put("lines", np.log1p(lines) / 10)
+    put("same_lines", 1 - (_distinct(lo, lh, rows)[0] + (lines == 0)) / np.maximum(lines, 1))
+    put("words_a_line", np.log1p(words / np.maximum(lines, 1)) / 10)
     return out
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
+    """doc_id, key (the text's digest) and the statistics of each whole text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("x", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = features(part.column(1)).astype(np.float32)
+                x = features(part.column(2)).astype(np.float32)
                 lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, x array<float>")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(lean(run), "doc_id long, key binary, x array<float>")
+
+
+def text_key():
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def fold(key: str = "doc_id"):
@@ -208,37 +210,31 @@ def fit(table: DataFrame, labels: DataFrame) -> Network | None:
 
 
 def score(table: DataFrame, network: Network | None) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, key, held_out, score, predicted."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = np.array(part["x"].tolist(), float).reshape(len(part), len(FEATURES))
             s = network.scores(x) if network else np.full(len(part), 0.5)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "score": s})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": part["key"].array, "score": s})
 
-    scored = table.mapInPandas(lean(run), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = table.mapInPandas(lean(run), "doc_id long, key binary, score double")
+    return scored.select("doc_id", "key", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document."""
     table = materialize(feature_table(docs), "quality-features")
-    return score(table, fit(table, labels))
+    return score(table, fit(table, labels)).drop("key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects. The network is fitted first; then each text is judged where it is read."""
+    """``docs`` without those that the classifier rejects. Scores are a text's, so the rejected are known by their texts' digests."""
     table = materialize(feature_table(docs), "quality-features")
-    network = fit(table, labels)
+    rejected = materialize(score(table, fit(table, labels)).where("predicted = 0").select(F.col("key").alias("__key")).distinct(), "quality-rejected")
     release(table)
-    if network is None:
-        return docs
-
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        found = [network.scores(features(pa.array(texts.iloc[a : a + 1024], pa.string(), from_pandas=True))) >= THRESHOLD for a in range(0, len(texts), 1024)]
-        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
-
-    return docs.where(good(F.col("text")))
+    side = F.broadcast(rejected) if fits_broadcast(rejected.count(), 48) else rejected
+    return docs.join(side, text_key() == F.col("__key"), "left_anti")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
