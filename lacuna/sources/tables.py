@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean_station_name, day_number, is_temporal, parse_coordinate, to_number
+from ..functions import clean_station_name, is_temporal, parse_coordinate, to_number
 from ..operators import panel as panels
 from ..operators import spatial
 
@@ -112,8 +112,9 @@ def load(spark: SparkSession, panel_path: str, coordinates_path: str, contributo
 def write_wide(panel: DataFrame, path: str, stations: list[str], value: str = "filled", calendar: DataFrame | None = None) -> None:
     """One CSV of date, stations and calendar features, ordered by date."""
     wide = panels.to_wide(panel, stations, value)
-    if calendar is not None and len(calendar.columns) > 1:
-        wide = wide.join(calendar, "date", "left")
+    more = [c for c in calendar.columns if c not in wide.columns] if calendar is not None else []
+    if more:
+        wide = wide.join(calendar.select("date", *more), "date", "left")
     wide.orderBy("date").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -176,4 +177,4 @@ def render(cells: DataFrame, folder: str, method: str, gap: int) -> list[str]:
     return files
 
 
-__all__ = ["Inputs", "SourceError", "load", "read_wide", "read_coordinates", "read_contributors", "parse_date", "write_wide", "write_results", "summary", "stamped", "scatter_data", "series_data", "render", "day_number"]
+__all__ = ["Inputs", "SourceError", "load", "read_wide", "read_coordinates", "read_contributors", "parse_date", "write_wide", "write_results", "summary", "stamped", "scatter_data", "series_data", "render"]
