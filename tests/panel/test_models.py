@@ -66,6 +66,15 @@ def test_fixed_seed_repeats(world):
     assert runs[0] == runs[1]
 
 
+def test_saved_fits_are_reused(world, tmp_path, monkeypatch):
+    panel, settings = world
+    first = blocks.fit_cached(InitialisedForest(settings), panel, f"file://{tmp_path}")
+    monkeypatch.setattr(InitialisedForest, "_fit", None)  # another fit would fail
+    again = blocks.fit_cached(InitialisedForest(settings), panel, f"file://{tmp_path}")
+    rows = [sorted(map(tuple, m.transform(panel).where("was_missing").select("station", "dn", "filled").collect())) for m in (first, again)]
+    assert rows[0] == rows[1]
+
+
 def test_blocks_cover_the_panel(world):
     panel, settings = world
     start, end = datetime.date(1980, 5, 1), datetime.date(1980, 7, 31)
