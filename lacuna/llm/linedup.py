@@ -67,7 +67,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     by_doc = held.groupBy("__doc", "__text").agg(F.collect_set(F.struct("first", "lines", "hash", "rep")).alias("__held"))  # a document's own chunks
     by_doc = materialize(by_doc.select(F.col("__doc").alias("__d"), F.col("__text").alias("__t"), "__held"), "line-holders")
-    small = fits_broadcast(held.count(), 64)
+    small = fits_broadcast(held.count(), 128)
     met = keyed.join(F.broadcast(by_doc) if small else by_doc, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
     texts = met.withColumn("__lines", F.split("text", "\n")).select("__doc", "__text", F.explode(F.transform("__held", lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), c["hash"].alias("hash"), c["rep"].alias("rep"), F.array_join(F.slice(F.col("__lines"), c["first"] + 1, c["lines"]), "\n").alias("bytes")))).alias("c"))
     texts = materialize(texts.select("__doc", "__text", "c.*"), "line-texts")
