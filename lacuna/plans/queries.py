@@ -168,7 +168,7 @@ def _leaderboard(methods):
         keys = ("gap_scenario", "station")
         filled = _gap_cells(spark, sf_dir).withColumns({m: fills.METHODS[m](keys) for m in methods}).where("is_gap AND true_value IS NOT NULL")
         long = filled.select("gap_scenario", "true_value", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("filled")) for m in methods])).alias("x")).select("gap_scenario", "true_value", "x.*")
-        found = metrics.evaluate(long, ("gap_scenario", "method"))
+        found = metrics.evaluate(long, ("gap_scenario", "method")).orderBy("gap_scenario", "method")
         return found.select("gap_scenario", "method", "n", *[_r(m).alias(m) for m in metrics.NAMES])
 
     return query
