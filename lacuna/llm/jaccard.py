@@ -143,8 +143,9 @@ def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     small, large = [], None
     for level in range(DEPTH):
         path = f"p{level}"
-        counts = rows.groupBy(path).agg(F.count("*").alias("c")).where("c > 1")
-        held = materialize(rows.join(counts, path), "jaccard-buckets")
+        counts = materialize(rows.groupBy(path).agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
+        # a written table of counts: broadcast, or else a join whose hot buckets Spark can split
+        held = materialize(rows.join(F.broadcast(counts) if fits_broadcast(counts.count(), 24) else counts, path), "jaccard-buckets")
         small.append(held.where(F.col("c") <= LEAF).select(F.col(path).alias("leaf"), "sig"))
         rows = held.where(F.col("c") > LEAF).drop("c")
         if rows.isEmpty():
@@ -158,7 +159,8 @@ def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     if large is None:
         links = reps.sparkSession.createDataFrame([], "a binary, b binary")
     else:
-        links = large.join(large.groupBy(last).agg(F.min("sig").alias("b")), last).select(F.col("sig").alias("a"), "b")
+        least = materialize(large.groupBy(last).agg(F.min("sig").alias("b")), "jaccard-large")
+        links = large.join(least, last).select(F.col("sig").alias("a"), "b")
     return met, links
 
 
