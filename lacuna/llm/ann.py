@@ -166,8 +166,11 @@ def search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: n
                     own = vec == ids[q]
                     low[own] = -np.inf
                     floor = best_s[q, -1]
-                    if part.num_rows > k:  # k rows reach this floor already by their lower estimates
-                        floor = max(floor, np.partition(low - error, -k)[-k])
+                    if part.num_rows > 8 * k:  # the exact scores of the best estimates are a floor that k rows reach
+                        likely = np.argpartition(low, -4 * k)[-4 * k :]
+                        likely = likely[~own[likely]]
+                        if len(likely) >= k:
+                            floor = max(floor, np.partition(exact_cosines(queries[q], x[likely]), -k)[-k])
                     rows = np.flatnonzero((low + error >= floor) & ~own)
                     if not len(rows):
                         continue
