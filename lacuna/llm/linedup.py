@@ -63,7 +63,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     table = materialize(hashed.select("__doc", "__text", F.col("c.first").alias("first"), F.col("c.lines").alias("lines"), F.col("c.hash").alias("hash")), "line-chunks")
     place = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__text").alias("text"), F.col("first").alias("first"))
     repeated = table.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("rep")).where("n > 1")
-    held = materialize(table.join(repeated.select("hash", "rep"), "hash").distinct(), "line-repeats")
+    repeated = materialize(repeated.select("hash", "rep"), "line-repeated")  # written: then Spark can split the join of a hot chunk
+    side = F.broadcast(repeated) if fits_broadcast(repeated.count(), 96) else repeated
+    held = materialize(table.join(side, "hash").distinct(), "line-repeats")
 
     by_doc = held.groupBy("__doc", "__text").agg(F.collect_set(F.struct("first", "lines", "hash", "rep")).alias("__held"))  # a document's own chunks
     by_doc = materialize(by_doc.select(F.col("__doc").alias("__d"), F.col("__text").alias("__t"), "__held"), "line-holders")
@@ -72,10 +74,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts = met.withColumn("__lines", F.split("text", "\n")).select("__doc", "__text", F.explode(F.transform("__held", lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), c["hash"].alias("hash"), c["rep"].alias("rep"), F.array_join(F.slice(F.col("__lines"), c["first"] + 1, c["lines"]), "\n").alias("bytes")))).alias("c"))
     texts = materialize(texts.select("__doc", "__text", "c.*"), "line-texts")
     is_first = F.col("__doc").eqNullSafe(F.col("rep.doc")) & (F.col("__text") == F.col("rep.text")) & (F.col("first") == F.col("rep.first"))
-    first = texts.where(is_first).groupBy("hash").agg(F.min("bytes").alias("__bytes"))
+    first = materialize(texts.where(is_first).groupBy("hash").agg(F.min("bytes").alias("__bytes")), "line-first")
     again = texts.where(~is_first).join(first, "hash").where(F.col("bytes") == F.col("__bytes"))
     gone = materialize(again.groupBy("__doc", "__text").agg(F.sort_array(F.collect_set(F.struct("first", "lines"))).alias("__gone")), "line-gone")
-    release(table, held, by_doc, texts)
+    release(table, repeated, held, by_doc, texts, first)
     return gone
 
 
