@@ -36,6 +36,8 @@ HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.7
 SEED = 7
 HIDDEN = 24
+#: Texts whose statistics are made together.
+SLICE_ROWS = 256
 
 _KINDS = {
     "upper": [*range(0x41, 0x5B)],
@@ -134,8 +136,8 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
                 x = features(part.column(2)).astype(np.float32)
                 lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], schema=schema)
