@@ -9,6 +9,7 @@ def brute(spark, rows):
     """doc_id to kept text: the first chunk of equal bytes stays."""
     df = spark.createDataFrame(rows, "doc_id long, text string").where("text IS NOT NULL")
     cut = {(r["doc_id"], r["text"]): r["__chunks"] for r in linedup.with_chunks(df).collect()}
+    _hashes.update({r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()})
     places = defaultdict(set)
     texts = {}
     for (doc, text), chunks in cut.items():
@@ -23,7 +24,7 @@ def brute(spark, rows):
                 places[piece].add(((doc is None, doc or 0), text, c["first"], c["lines"]))
     gone = defaultdict(set)
     for piece, at in places.items():
-        order = sorted(at, key=lambda x: (x[0], linedup_hash(spark, x[1]), x[2]))
+        order = sorted(at, key=lambda x: (x[0], _hashes[x[1]], x[2]))
         for who, text, first, n in order[1:]:
             gone[who, text].update(range(first, first + n))
     for doc, text in rows:
@@ -36,12 +37,6 @@ def brute(spark, rows):
 _hashes: dict = {}
 
 
-def linedup_hash(spark, text):
-    if text not in _hashes:
-        _hashes[text] = spark.createDataFrame([(text,)], "t string").selectExpr("xxhash64(t) h").first()["h"]
-    return _hashes[text]
-
-
 def kept(df):
     return {(r["doc_id"], r["old"]): r["text"] for r in df.collect()}
 
