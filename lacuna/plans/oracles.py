@@ -179,9 +179,9 @@ SELECT target, predictor, round({normal('b')}, 9) AS weight FROM two"""
 
 _CONNECTED = "CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.station = distances.target AND e.contributor = distances.predictor) THEN 1.0::DOUBLE ELSE 0.0 END"
 
-_KNN = f"""WITH {_panel('region')},
-seed AS (SELECT * FROM panel WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'),
-part AS (SELECT * FROM panel WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'),
+_KNN = f"""WITH {_panel('region')}, {_WINDOWS},
+seed AS (SELECT panel.* FROM panel, best WHERE date BETWEEN start_date AND end_date),
+part AS (SELECT panel.* FROM panel, best WHERE date NOT BETWEEN start_date AND end_date),
 stats AS (SELECT station, AVG(x) AS mean, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1.0 END AS scale
   FROM (SELECT station, COALESCE(value, AVG(value) OVER (PARTITION BY station), 0.0) AS x FROM seed) GROUP BY station)"""
 

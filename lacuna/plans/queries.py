@@ -179,9 +179,16 @@ def gap_kinds(spark, sf_dir):
     return found.select("gap_type", "gap_length", "n", *[_r(m).alias(m) for m in metrics.NAMES])
 
 
-def _region_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _region(spark, sf_dir) -> tuple[DataFrame, tuple]:
+    """The panel by region, and its best window."""
     panel = cut(demo.panel(spark, sf_dir, "region"))
-    return panels.between(panel, "1996-01-01", "1998-12-31"), panels.between(panel, "1999-01-01", "1999-06-30")
+    return panel, panels.find_best_window(panel, demo.FIRST, demo.LAST, SEED_DAYS)
+
+
+def _region_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The best window and everything outside of it."""
+    panel, ends = _region(spark, sf_dir)
+    return panels.between(panel, *ends), panels.outside(panel, *ends)
 
 
 def scale_stats(spark, sf_dir):
@@ -198,10 +205,6 @@ def _settings(spark, sf_dir, **options) -> Settings:
     return Settings(cut(spatial.distances(stations, demo.coordinates(spark, sf_dir, "region"))), cut(spatial.connectivity(stations, edges)), **SMALL | options)
 
 
-def _region(spark, sf_dir) -> DataFrame:
-    return panels.between(cut(demo.panel(spark, sf_dir, "region")), "1996-01-01", "2000-12-31")
-
-
 def forest_base(spark, sf_dir):
     seed, part = _region_parts(spark, sf_dir)
     return IterativeForest(_settings(spark, sf_dir)).fit(seed).transform(part)
@@ -223,30 +226,26 @@ def forest_chained_equations(spark, sf_dir):
 
 
 def kalman(spark, sf_dir):
-    return kalman_fill(_region_parts(spark, sf_dir)[1], 60)
+    return kalman_fill(_region(spark, sf_dir)[0], 40)
 
 
 def seed_and_fill(spark, sf_dir):
-    return blocks.seed_and_fill(_region(spark, sf_dir), "1997-01-01", "1998-12-31", 365, _settings(spark, sf_dir))
+    return blocks.seed_and_fill(_region(spark, sf_dir)[0], demo.FIRST, demo.LAST, SEED_DAYS, _settings(spark, sf_dir))
 
 
 def chaining(spark, sf_dir):
-    return blocks.chaining(_region(spark, sf_dir), *_dates("1998-01-01", "1998-12-31"), 1, _settings(spark, sf_dir))
+    panel, ends = _region(spark, sf_dir)
+    return blocks.chaining(panel, *ends, 3, _settings(spark, sf_dir))
 
 
 def expanding(spark, sf_dir):
-    return blocks.expanding(_region(spark, sf_dir), *_dates("1998-01-01", "1998-12-31"), 1, _settings(spark, sf_dir))
-
-
-def _dates(*texts):
-    import datetime
-
-    return [datetime.date.fromisoformat(t) for t in texts]
+    panel, ends = _region(spark, sf_dir)
+    return blocks.expanding(panel, *ends, 3, _settings(spark, sf_dir))
 
 
 def evaluation_all(spark, sf_dir):
     methods = evaluation.METHODS | {"kalman_sarima": lambda seed, part, whole, ends, s: evaluation.kalman_fill_outside(seed, part, 20)}
-    return evaluation.evaluate(_region(spark, sf_dir), "1996-01-01", "2000-12-31", _settings(spark, sf_dir, initialization_method="historical_mean"), (30,), methods=methods)
+    return evaluation.evaluate(_region(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"), (30,), methods=methods)
 
 
 def plot_series(spark, sf_dir):
