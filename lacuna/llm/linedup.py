@@ -7,6 +7,12 @@ is a passage of its own: it is a chunk, whatever stands around it. Of chunks tha
 ``MIN_LINES`` lines or more, or one long line) all but the first, by (doc_id, place), are removed, once
 their bytes were compared with those of the first.
 
+Chunks miss most short passages between other lines, so with ``passages`` all runs of two lines or more
+and ``PASSAGE_WORDS`` words or more that stand earlier are removed, too. Pairs of neighbouring lines tell
+which lines can be part of one. Over those, each line begins and ends a shortest run of that many words:
+every longer repeated run is covered by such runs that repeat. They are compared by SHA-256; one that
+overlaps the first of its kind in the same document stays.
+
 Only hashes are exchanged to find what repeats. Texts move again only of documents that hold repeated
 chunks; the documents themselves are joined with the removed places, which are broadcast as long as
 their counted number allows it. Groups of equal chunks are never gathered: they are counted before
@@ -20,17 +26,19 @@ two underscores are this module's).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import fits_broadcast, materialize, release
 
 WINDOW, DIVISOR = 2, 3
 MIN_LINES, LONG_WORDS = 2, 50
+PASSAGE_WORDS = 50
+_WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def _is_long(line: Column) -> Column:
-    return F.when(F.length(line) < 2 * LONG_WORDS - 1, F.lit(False)).otherwise(F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")) >= LONG_WORDS)
+    return F.when(F.length(line) < 2 * LONG_WORDS - 1, F.lit(False)).otherwise(F.regexp_count(line, F.lit(_WORD)) >= LONG_WORDS)
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
@@ -81,16 +89,68 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
-    """``docs`` with their kept text, and the numbers of lines and removed lines (``n_lines``, ``n_removed``)."""
+def _held_texts(keyed: DataFrame, held: DataFrame, what: str, row_bytes: int) -> DataFrame:
+    """``keyed`` with __held: the set of ``what`` that ``held`` (written) has of a document; only documents with some."""
+    by_doc = held.groupBy(F.col("__doc").alias("__d"), F.col("__text").alias("__t")).agg(F.collect_set(what).alias("__held"))
+    by_doc = F.broadcast(by_doc) if fits_broadcast(held.count(), row_bytes) else by_doc
+    met = keyed.join(by_doc, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
+    return met.withColumn("__lines", F.split("text", "\n"))
+
+
+def _shortest_runs(pairs: DataFrame) -> DataFrame:
+    """__doc, __text and run: struct(first, lines) of runs that a line begins or ends, among the lines of __held pairs."""
+    places = F.array_distinct(F.flatten(F.transform("__held", lambda p: F.array(p, p + 1, p + 2))))  # one more than can be part of a run
+    words = lambda k: F.coalesce(F.regexp_count(F.get("__lines", k), F.lit(_WORD)), F.lit(0)).cast("long")
+    rows = pairs.select("__doc", "__text", F.explode(F.transform(places, lambda k: F.struct(k.alias("at"), words(k).alias("words")))).alias("c")).select("__doc", "__text", "c.*")
+    rows = rows.repartition("__doc", "__text").dropDuplicates()
+    island = rows.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("__doc", "__text").orderBy("at")))
+    by = Window.partitionBy("__doc", "__text", "island")
+    whole = island.withColumns({"low": F.min("at").over(by), "high": F.max("at").over(by), "before": F.coalesce(F.sum("words").over(by.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
+    near = whole.withColumns({"to": F.max("at").over(by.orderBy("before").rangeBetween(0, PASSAGE_WORDS - 1)), "since": F.min("at").over(by.orderBy("before").rangeBetween(1 - PASSAGE_WORDS, 0))})
+    run = lambda a, b: F.struct(a.cast("int").alias("first"), (b - a + 1).cast("int").alias("lines"))
+    end, begin = F.greatest("to", F.col("at") + 1), F.least(F.col("since") - 1, F.col("at") - 2)
+    ahead = F.when(end < F.col("high"), run(F.col("at"), end))
+    back = F.when((F.col("since") > F.col("low")) & (begin >= F.col("low")), run(begin, F.col("at") - 1))
+    return near.select("__doc", "__text", F.explode(F.array_compact(F.array(ahead, back))).alias("run"))
+
+
+def removed_passages(docs: DataFrame) -> DataFrame:
+    """As :func:`removed_lines`, of runs of ``MIN_LINES`` lines and ``PASSAGE_WORDS`` words or more, wherever they begin."""
+    some = (F.length("text") >= 2 * PASSAGE_WORDS - 1) & F.contains("text", F.lit("\n"))
+    keyed = docs.where(some).select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text"), "text")
+    lines = keyed.withColumn("__h", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)))
+    both = F.transform(F.slice("__h", 1, F.size("__h") - 1), lambda x, k: F.xxhash64(x, F.get("__h", k + 1)))
+    table = materialize(lines.select("__doc", "__text", F.posexplode(both).alias("at", "hash")), "line-pairs")
+    repeated = materialize(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-pairs-repeated")
+    side = F.broadcast(repeated) if fits_broadcast(repeated.count(), 32) else repeated
+    held = materialize(table.join(side, "hash").select("__doc", "__text", "at"), "line-pairs-held")
+    runs = materialize(_shortest_runs(_held_texts(keyed, held, "at", 64)), "line-runs")
+    release(table, repeated, held)
+    digest = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.unhex(F.sha2(_chunk_text(F.col("__lines"), c), 256)).alias("hash"))
+    texts = materialize(_held_texts(keyed, runs, "run", 96).select("__doc", "__text", F.explode(F.transform("__held", digest)).alias("c")).select("__doc", "__text", "c.*"), "line-run-texts")
+    place = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__text").alias("text"), F.col("first").alias("first"))
+    reps = materialize(texts.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("rep")).where("n > 1").select("hash", "rep"), "line-run-repeated")
+    side = F.broadcast(reps) if fits_broadcast(reps.count(), 128) else reps
+    same = F.col("__doc").eqNullSafe(F.col("rep.doc")) & (F.col("__text") == F.col("rep.text"))
+    again = texts.join(side, "hash").where(~same | (F.col("first") >= F.col("rep.first") + F.col("lines")))
+    gone = materialize(again.groupBy("__doc", "__text").agg(F.sort_array(F.collect_set(F.struct("first", "lines"))).alias("__gone")), "line-runs-gone")
+    release(runs, texts, reps)
+    return gone
+
+
+def dedupe(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """``docs`` with their kept text, and the numbers of lines and removed lines (``n_lines``, ``n_removed``); by chunks alone, or by all ``passages``, too."""
     gone = removed_lines(docs)
+    if passages:
+        either = gone.unionByName(removed_passages(docs)).groupBy("__doc", "__text")
+        gone = materialize(either.agg(F.flatten(F.collect_list("__gone")).alias("__gone")), "line-all-gone")
     small = gone.select(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("c")).first()
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     right = gone.withColumnsRenamed({"__doc": "__d", "__text": "__t"})
     right = F.broadcast(right) if fits_broadcast(small["n"] * 4 + small["c"], 16) else right
     met = docs.withColumn("__text", F.xxhash64("text")).join(right, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")), "left")
     lines = F.split("text", "\n")
-    lost = F.coalesce(F.flatten(F.transform("__gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1))), F.array().cast("array<int>"))
+    lost = F.coalesce(F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1)))), F.array().cast("array<int>"))
     met = met.withColumn("__lines", lines).withColumn("__lost", lost)
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
     text = F.when(F.size("__lost") == 0, F.col("text")).otherwise(F.array_join(F.transform(places, lambda k: F.get(F.col("__lines"), k)), "\n"))
@@ -100,5 +160,5 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedupe(docs)
+    out = dedupe(docs, passages=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

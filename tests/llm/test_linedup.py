@@ -77,3 +77,26 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert linedup.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_passages_between_other_lines(spark):
+    """Runs of 2 to 8 lines of under 50 words each and over 50 in all go from all but the first document."""
+    held, rows = {}, []
+    for p in range(70):
+        n = 2 + p % 7
+        held[p] = [" ".join(f"p{p}l{k}w{j}" for j in range(-(-56 // n))) for k in range(n)]
+        for d in (2 * p, 2 * p + 1):
+            rows.append((d, "\n".join([f"own {d} before {k}" for k in range(d % 4)] + held[p] + [f"own {d} after {k}" for k in range(d % 3)])))
+    short = ["some words only", "and some more"]
+    rows += [(200, "\n".join(["first"] + short)), (201, "\n".join(["second"] + short + ["end"])), (202, "a\n" * 200)]
+    rows += [(210, "\n".join(held[0] + ["x"] + held[1])), (211, held[2][0] + "\nbetween\n" + "\n".join(held[2][1:]))]
+    got = {r["doc_id"]: r for r in linedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    texts = dict(rows)
+    for p, lines in held.items():
+        assert got[2 * p]["text"] == texts[2 * p]
+        d = 2 * p + 1
+        assert got[d]["text"] == "\n".join(x for x in texts[d].split("\n") if x not in lines), p
+        assert got[d]["n_removed"] == len(lines)
+    assert got[210]["text"] == "x"
+    assert held[2][0] in got[211]["text"]  # its lines repeat, but not as a run of 50 words
+    assert got[202]["text"].count("a") >= linedup.PASSAGE_WORDS  # a run doesn't go for overlapping itself
