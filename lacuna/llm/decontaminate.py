@@ -4,7 +4,8 @@ Words are lower-cased runs of letters and digits. Every whole text is read once
 of term numbers over the benchmark's vocabulary (words that no item holds can't match and are 0). From
 those sequences, over all passages of the corpus (``PASSAGE`` words):
 
-1. term statistics; terms in over ``COMMON`` of the passages carry no topic and get no weight;
+1. term statistics; a term's weight falls with its share of the passages, to ``FLOOR`` of the largest and
+   never to 0, since a leak that is itself frequent makes its own terms frequent;
 2. a distributed randomised SVD of the TF-IDF matrix A of the passages: tasks add up their share of
    ``A'A W`` for a random W of ``RANK + OVERSAMPLE`` columns, sums meet by term, and the factor follows
    by the Nystroem formula from that one pass (terms x columns, bounded by the benchmark);
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .storage import fits_broadcast, lean, materialize, release, small_batches
 from .text import WORDLIKE, words
 
-PASSAGE, COMMON = 64, 0.05
+PASSAGE, FLOOR = 64, 0.1
 RANK, OVERSAMPLE = 192, 16
 COSINE = 0.45
 LCS_SURE, LCS_LIKELY, ANSWER = 0.75, 0.6, 0.7
@@ -140,9 +141,9 @@ def term_counts(table: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
 
 def _weights(counts: np.ndarray, total: int) -> np.ndarray:
-    """IDF by term number (0: none)."""
+    """IDF by term number (0: none), at least ``FLOOR`` of the largest possible."""
     idf = np.log((1 + total) / (1 + counts))
-    return np.concatenate([[0], np.where(counts > max(COMMON * total, 2), 0, idf)]).astype(np.float32)
+    return np.concatenate([[0], np.maximum(idf, FLOOR * np.log(2 + total))]).astype(np.float32)
 
 
 def _sums(piece: np.ndarray, terms: np.ndarray, weights: np.ndarray, factor: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -86,3 +86,25 @@ def test_empty(spark):
     assert D.find_leaks(docs, bench).count() == 0
     assert D.find_leaks(some, bench).count() == 0
     assert D.find_leaks(docs, some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_finds_leaks_that_are_frequent(spark):
+    """A paraphrase of one item in a third of the rows makes the item's own words frequent."""
+    items, docs = world(3)
+    rng = random.Random(4)
+    own = items[0][1].split()
+    for k in rng.sample(range(len(own) - 6), len(own) // 7):
+        own[k] = f"other{k}"
+    docs = docs[:200] + [(1000 + d, f"{docs[100 + d % 90][1]} {' '.join(own)}") for d in range(100)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(df, bench).collect()}
+    assert got == {(d, d) for d in range(30)} | {(1000 + d, 0) for d in range(100)}
+
+
+def test_finds_paraphrase_in_a_tiny_corpus(spark):
+    items, _ = world(5)
+    own = items[0][1].split()
+    own[2] = "other"
+    df = spark.createDataFrame([(d, " ".join(own)) for d in range(3)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, 0) for d in range(3)}
