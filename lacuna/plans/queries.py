@@ -16,8 +16,6 @@ from . import demo, evaluation
 
 SEED_DAYS = blocks.window_days(3)
 GAP_LENGTHS, PERCENT = (3, 7, 30, 100), 10.0
-#: Small forests, so that a run takes seconds; the operators' own defaults are 100 trees and 10 rounds.
-SMALL = {"n_estimators": 10, "max_iter": 1, "max_depth": 5, "max_bins": 32}
 
 NAMES = [" Parm anpur ", "Bamni'dih", "BAMNIDIH", 'Kes"inga', "Tika`ra\tpara", "none", "", "a'b\"c`d e"]
 COORDINATES = ["21°50'02\"", "21.5", "-21 30", "-21 N", "21 S", "181", "abc", "81°36'21\" E", "81 36 21 W", "12o30'", "", "-95", "7 8 9 10", "S 10", "90", "-90.0", "5."]
@@ -199,30 +197,40 @@ def knn_fill(spark, sf_dir):
     return knn.knn_fill(*_region_parts(spark, sf_dir)).select("station", _date(), _r("filled", 4).alias("filled"), "was_missing")
 
 
+def _nation(spark, sf_dir) -> tuple[DataFrame, tuple]:
+    """The panel by nation, written, and its best window."""
+    panel = cut(demo.panel(spark, sf_dir))
+    return panel, panels.find_best_window(panel, demo.FIRST, demo.LAST, SEED_DAYS)
+
+
+def _nation_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The best window and everything outside of it."""
+    panel, ends = _nation(spark, sf_dir)
+    return panels.between(panel, *ends), panels.outside(panel, *ends)
+
+
 def _settings(spark, sf_dir, **options) -> Settings:
-    stations = demo.keys(spark, sf_dir, "region")
-    edges = spark.createDataFrame([("s01", "s00"), ("s02", "s01"), ("s04", "s01")], "station string, contributor string")
-    return Settings(cut(spatial.distances(stations, demo.coordinates(spark, sf_dir, "region"))), cut(spatial.connectivity(stations, edges)), **SMALL | options)
+    return Settings(cut(_distances(spark, sf_dir)), cut(connectivity(spark, sf_dir)), **options)
 
 
 def forest_base(spark, sf_dir):
-    seed, part = _region_parts(spark, sf_dir)
+    seed, part = _nation_parts(spark, sf_dir)
     return IterativeForest(_settings(spark, sf_dir)).fit(seed).transform(part)
 
 
 def forest_custom(spark, sf_dir):
-    seed, part = _region_parts(spark, sf_dir)
+    seed, part = _nation_parts(spark, sf_dir)
     return InitialisedForest(_settings(spark, sf_dir, initialization_method="historical_mean")).fit(seed).transform(part)
 
 
 def forest_vanilla(spark, sf_dir):
-    seed, part = _region_parts(spark, sf_dir)
-    return IterativeForest(**SMALL).fit(seed).transform(part)
+    seed, part = _nation_parts(spark, sf_dir)
+    return IterativeForest().fit(seed).transform(part)
 
 
 def forest_chained_equations(spark, sf_dir):
-    seed, part = _region_parts(spark, sf_dir)
-    return ChainedForest(**SMALL | {"subset": "all"}).fit(seed).transform(part)
+    seed, part = _nation_parts(spark, sf_dir)
+    return ChainedForest().fit(seed).transform(part)
 
 
 def kalman(spark, sf_dir):
@@ -230,22 +238,22 @@ def kalman(spark, sf_dir):
 
 
 def seed_and_fill(spark, sf_dir):
-    return blocks.seed_and_fill(_region(spark, sf_dir)[0], demo.FIRST, demo.LAST, SEED_DAYS, _settings(spark, sf_dir))
+    return blocks.seed_and_fill(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, SEED_DAYS, _settings(spark, sf_dir))
 
 
 def chaining(spark, sf_dir):
-    panel, ends = _region(spark, sf_dir)
+    panel, ends = _nation(spark, sf_dir)
     return blocks.chaining(panel, *ends, 3, _settings(spark, sf_dir))
 
 
 def expanding(spark, sf_dir):
-    panel, ends = _region(spark, sf_dir)
+    panel, ends = _nation(spark, sf_dir)
     return blocks.expanding(panel, *ends, 3, _settings(spark, sf_dir))
 
 
 def evaluation_all(spark, sf_dir):
     methods = evaluation.METHODS | {"kalman_sarima": lambda seed, part, whole, ends, s: evaluation.kalman_fill_outside(seed, part, 20)}
-    return evaluation.evaluate(_region(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"), (30,), methods=methods)
+    return evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"), (30,), methods=methods)
 
 
 def plot_series(spark, sf_dir):
