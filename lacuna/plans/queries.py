@@ -172,9 +172,12 @@ def _leaderboard(methods):
     return query
 
 
-def gap_kinds(spark, sf_dir):
-    found = evaluation.evaluate_gap_kinds(demo.panel(spark, sf_dir), (7, 30), (30, 90))
-    return found.select("gap_type", "gap_length", "n", *[_r(m).alias(m) for m in metrics.NAMES])
+def _gap_kinds(*sizes):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = evaluation.evaluate_gap_kinds(demo.panel(spark, sf_dir), *sizes)
+        return found.select("gap_type", "gap_length", "n", *[_r(m).alias(m) for m in metrics.NAMES])
+
+    return query
 
 
 def _region(spark, sf_dir) -> tuple[DataFrame, tuple]:
@@ -253,7 +256,7 @@ def expanding(spark, sf_dir):
 
 def evaluation_all(spark, sf_dir):
     methods = evaluation.METHODS | {"kalman_sarima": lambda seed, part, whole, ends, s: evaluation.kalman_fill_outside(seed, part, 20)}
-    return evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"), (30,), methods=methods)
+    return evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"), methods=methods)
 
 
 def plot_series(spark, sf_dir):
@@ -295,7 +298,8 @@ QUERIES = {
     "metrics_seasonal": _leaderboard(("seasonal_mean",)),
     "metrics_linear": _leaderboard(("linear_time",)),
     "metrics_leaderboard": _leaderboard(tuple(fills.METHODS)),
-    "metrics_gap_kinds": gap_kinds,
+    "metrics_gap_kinds": _gap_kinds((7, 30), (30, 90)),  # the sizes of its SQL
+    "metrics_gap_kinds_all": _gap_kinds(),
     "plot_series": plot_series,
     "scale_stats": scale_stats,
     "knn_fill": knn_fill,

@@ -43,3 +43,14 @@ def test_forests_by_default_on_the_nation_panel(spark, asked, name):
     s, default = asked["settings"], Settings()
     assert (s.n_estimators, s.max_iter, s.max_depth, s.max_bins) == (default.n_estimators, default.max_iter, default.max_depth, default.max_bins)
     assert asked["stations"] == queries.demo.keys(spark, DIR).count() > 5
+
+
+def test_evaluation_has_all_gap_lengths(spark, asked):
+    queries.QUERIES["evaluation"](spark, DIR)
+    assert asked["lengths"] == () and "gap_lengths" not in asked["options"]
+
+
+def test_all_gap_kinds(spark):
+    rows = queries.QUERIES["metrics_gap_kinds_all"](spark, DIR).collect()
+    want = {("contiguous", n) for n in (7, 14, 30, 60, 180)} | {("single_point", n) for n in (30, 60, 90, 180)}
+    assert {(r["gap_type"], r["gap_length"]) for r in rows} == want and len(rows) == 9
