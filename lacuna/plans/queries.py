@@ -237,7 +237,7 @@ def forest_chained_equations(spark, sf_dir):
 
 
 def kalman(spark, sf_dir):
-    return kalman_fill(_region(spark, sf_dir)[0], 40)
+    return kalman_fill(_nation(spark, sf_dir)[0])
 
 
 def seed_and_fill(spark, sf_dir):
@@ -255,8 +255,7 @@ def expanding(spark, sf_dir):
 
 
 def evaluation_all(spark, sf_dir):
-    methods = evaluation.METHODS | {"kalman_sarima": lambda seed, part, whole, ends, s: evaluation.kalman_fill_outside(seed, part, 20)}
-    return evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"), methods=methods)
+    return evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"))
 
 
 def plot_series(spark, sf_dir):

@@ -54,3 +54,10 @@ def test_all_gap_kinds(spark):
     rows = queries.QUERIES["metrics_gap_kinds_all"](spark, DIR).collect()
     want = {("contiguous", n) for n in (7, 14, 30, 60, 180)} | {("single_point", n) for n in (30, 60, 90, 180)}
     assert {(r["gap_type"], r["gap_length"]) for r in rows} == want and len(rows) == 9
+
+
+def test_likelihood_search_is_whole(spark, asked):
+    queries.QUERIES["kalman_fill"](spark, DIR)
+    assert asked["evaluations"] == () and asked["stations"] == queries.demo.keys(spark, DIR).count() > 5
+    queries.QUERIES["evaluation"](spark, DIR)
+    assert "methods" not in asked["options"]  # the operators' own, kalman_sarima with all evaluations
