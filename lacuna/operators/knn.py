@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import with_calendar
+
 NEIGHBOURS = 5
 
 
@@ -27,16 +29,32 @@ def scaled(panel: DataFrame, stats: DataFrame, everything_missing: bool = True)
     return joined.withColumn("z", z)
 
 
-def knn_fill(seed: DataFrame, panel: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def _calendar(seed: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(station, dn, z) of the calendar columns as two more stations, scaled by the seed's days: of the seed and of the panel."""
+    names = ("day_of_year_sin", "day_of_year_cos")
+    days = with_calendar(seed.select("date", "dn").distinct())
+    stats = days.agg(*[f(n).alias(f"{n}_{what}") for n in names for what, f in (("mean", F.avg), ("scale", F.stddev_pop))])
+    scale = lambda n: F.when(F.col(f"{n}_scale") > 0, F.col(f"{n}_scale")).otherwise(1.0)
+    z = F.explode(F.array(*[F.struct(F.lit(f" {n}").alias("station"), ((F.col(n) - F.col(f"{n}_mean")) / scale(n)).alias("z")) for n in names])).alias("c")
+    return tuple(d.crossJoin(F.broadcast(stats)).select("dn", z).select("c.station", "dn", "c.z") for d in (days, with_calendar(panel.select("date", "dn").distinct())))
+
+
+def knn_fill(seed: DataFrame, panel: DataFrame, k: int = NEIGHBOURS, calendar: bool = False) -> DataFrame:
     """``panel`` with ``filled``: the mean of the k nearest seed days that have the station, else the seed's mean.
 
-    Distance: root of the summed squares over common stations, scaled up by stations / common ones; ties by date."""
+    Distance: root of the summed squares over common stations, scaled up by stations / common ones; ties by date.
+    With ``calendar`` the two scaled calendar columns count as stations that every day has."""
     stats = scale_stats(seed)
     donors = scaled(seed, stats).select("station", F.col("dn").alias("donor"), F.col("z").alias("donor_z"))
     asked = scaled(panel, stats).select("station", "dn", "z", "value")
     stations = stats.count()
     short = asked.where("z IS NULL").select("dn").distinct()
-    near = asked.where("z IS NOT NULL").join(short, "dn", "left_semi").join(donors.where("donor_z IS NOT NULL"), "station")
+    known, given = asked.where("z IS NOT NULL").select("station", "dn", "z"), donors.where("donor_z IS NOT NULL")
+    if calendar:
+        of_seed, of_panel = _calendar(seed, panel)
+        stations += 2
+        known, given = known.unionByName(of_panel), given.unionByName(of_seed.select("station", F.col("dn").alias("donor"), F.col("z").alias("donor_z")))
+    near = known.join(short, "dn", "left_semi").join(given, "station")
     pairs = near.groupBy("dn", "donor").agg(F.round(F.sqrt(F.lit(float(stations)) / F.count("*") * F.sum(F.pow(F.col("z") - F.col("donor_z"), 2))), 8).alias("distance"))
     wanted = asked.where("z IS NULL").select("dn", "station").join(pairs, "dn").join(donors.where("donor_z IS NOT NULL"), ["station", "donor"])
     ranked = wanted.withColumn("rank", F.row_number().over(Window.partitionBy("station", "dn").orderBy("distance", "donor")))

@@ -49,7 +49,7 @@ METHODS: dict[str, Method] = {
     "forest_seed_only": lambda seed, part, whole, ends, s: blocks.seed_only(whole, *ends, s),
     "forest_vanilla": lambda seed, part, whole, ends, s: IterativeForest(replace(s, distances=None, connectivity=None)).fit(seed).transform(part),
     "forest_chained_equations": _chained,
-    "knn_k5": lambda seed, part, whole, ends, s: knn_fill(seed, part),
+    "knn_k5": lambda seed, part, whole, ends, s: knn_fill(seed, part, calendar=True),
     "kalman_sarima": lambda seed, part, whole, ends, s: kalman_fill_outside(seed, part),
     "linear_interpolation": _deterministic("linear_time"),
     "historical_mean": _deterministic("historical_mean"),

@@ -200,6 +200,10 @@ def knn_fill(spark, sf_dir):
     return knn.knn_fill(*_region_parts(spark, sf_dir)).select("station", _date(), _r("filled", 4).alias("filled"), "was_missing")
 
 
+def knn_fill_calendar(spark, sf_dir):
+    return knn.knn_fill(*_nation_parts(spark, sf_dir), calendar=True).select("station", _date(), _r("filled", 4).alias("filled"), "was_missing")
+
+
 def _nation(spark, sf_dir) -> tuple[DataFrame, tuple]:
     """The panel by nation, written, and its best window."""
     panel = cut(demo.panel(spark, sf_dir))
@@ -302,6 +306,7 @@ QUERIES = {
     "plot_series": plot_series,
     "scale_stats": scale_stats,
     "knn_fill": knn_fill,
+    "knn_fill_calendar": knn_fill_calendar,
     "forest_base": forest_base,
     "forest_custom": forest_custom,
     "forest_vanilla": forest_vanilla,

@@ -224,3 +224,27 @@ def test_block_plans(spark, start, end):
     table = blocks.plan_table(panel, spark.createDataFrame([(day(start), day(end))], "start_date date, end_date date"), 365)
     assert {(r["direction"], r["step"], r["start_date"], r["end_date"]) for r in table.collect()} == {(b.direction, b.step, b.start, b.end) for b in plan}
     assert blocks.window_days(3) == 1095 and blocks.window_days(5) == 1826
+
+
+def test_knn_with_calendar(spark):
+    rng = np.random.default_rng(1)
+    seed = {s: [None if rng.random() < 0.2 else float(x) for x in rng.normal(50, 10, 60)] for s in "abc"}
+    part = {s: [None if k == 3 or rng.random() < 0.4 else float(x) for k, x in enumerate(rng.normal(50, 10, 20))] for s in "abc"}
+    start = datetime.date(1990, 1, 20)
+    got = knn.knn_fill(make(spark, seed), make(spark, part, start), calendar=True).orderBy("station", "dn").collect()
+    got = np.array([r["filled"] for r in got]).reshape(3, 20).T
+
+    def wide(series, first, n):
+        turn = 2 * np.pi * np.array([(first + datetime.timedelta(k)).timetuple().tm_yday for k in range(n)]) / 366
+        return np.column_stack([[[np.nan if v is None else v for v in series[s]] for s in "abc"][c] for c in range(3)] + [np.sin(turn), np.cos(turn)])
+
+    x, y = wide(seed, DAY, 60), wide(part, start, 20)
+    full = np.where(np.isnan(x), np.nanmean(x, 0), x)
+    mean, scale = full.mean(0), full.std(0)
+    zx, zy = (x - mean) / scale, (y - mean) / scale
+    for i in range(20):
+        both = ~np.isnan(zx) & ~np.isnan(zy[i])
+        d = np.sqrt(5 / both.sum(1) * np.where(both, (zx - zy[i]) ** 2, 0).sum(1)).round(8)
+        for c in range(3):
+            z = zx[[k for k in np.argsort(d, kind="stable") if not np.isnan(zx[k, c])][:5], c].mean() if np.isnan(zy[i, c]) else zy[i, c]
+            assert got[i, c] == pytest.approx(z * scale[c] + mean[c])
