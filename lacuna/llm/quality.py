@@ -231,9 +231,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects. Scores are a text's, so the rejected are known by their texts' digests."""
+    """``docs`` without those that the classifier rejects; all of them where labels allow no fit. Scores are a text's, so the rejected are known by their texts' digests."""
     table = materialize(feature_table(docs), "quality-features")
-    rejected = materialize(score(table, fit(table, labels)).where("predicted = 0").select(F.col("key").alias("__key")).distinct(), "quality-rejected")
+    network = fit(table, labels)
+    if network is None:
+        release(table)
+        return docs
+    rejected = materialize(score(table, network).where("predicted = 0").select(F.col("key").alias("__key")).distinct(), "quality-rejected")
     release(table)
     side = F.broadcast(rejected) if fits_broadcast(rejected.count(), 48) else rejected
     return docs.join(side, text_key() == F.col("__key"), "left_anti")

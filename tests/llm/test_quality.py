@@ -73,3 +73,10 @@ def test_risk_is_unbiased_with_few_negatives():
     unlabelled = np.concatenate([good[1500:2900], bad[:350]])
     network = quality.Network(good[:1500], unlabelled, 0.8)
     assert (network.scores(good[2900:]) > network.scores(bad[2900:]).mean()).mean() > 0.9
+
+
+def test_keep_good_without_positives(spark):
+    docs = spark.createDataFrame([(k, f"some text number {k}") for k in range(20)], "doc_id long, text string")
+    kind = "doc_id long, quality int, toxic int"
+    for labels in ([], [(k, 0, 0) for k in range(20)]):
+        assert quality.keep_good(docs, spark.createDataFrame(labels, kind)).count() == 20
