@@ -69,4 +69,4 @@ def shard(df: DataFrame, key: str, names: list[str] | None = None, size: int = T
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard(docs.select("doc_id", "source", "n_chars"), "doc_id")
+    return shard(docs, "doc_id")

@@ -57,3 +57,10 @@ def test_whole_table(spark):
     out = sharding.op7_sharding(spark, "/root/testdata/sf0.01")
     assert out.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
     assert out.where("shard IS NULL").count() == 0
+
+
+def test_query_keeps_whole_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = sharding.op7_sharding(spark, "/root/testdata/sf0.001")
+    assert out.columns == [*docs.columns, "shard"]
+    assert out.drop("shard").exceptAll(docs).count() == 0 and out.count() == docs.count()
