@@ -5,17 +5,25 @@ space; a shorter text is one shingle of all its words). In each of ``RUNS`` runs
 sampled token, the one of least value under the run's hash, which two sets share with probability of
 their Jaccard similarity J. A bucket of over ``LEAF`` sets is split again on the next sampled token, up
 to ``DEPTH`` times. A pair meets in a run with probability at least J**DEPTH, so the runs follow from
-the target recall at the threshold: ``(1 - 0.8**3) ** RUNS`` is below 1e-3 even for pairs that are only
-ever in large buckets, and 1e-7 for others.
-
-Sets that are equal are one class and are never compared with each other. Within a small bucket pairs
-whose sampled tokens agree too rarely for the threshold are set aside; others are linked through one
-member, so that a bucket of n sets gives at most n - 1 links. Components of those links hold every
-pair that met. The sets of a component are then brought together once and all its pairs compared
-exactly; a component of over ``BLOCK`` sets or ``BLOCK_TOKENS`` tokens is cut in blocks and compared
-block pair by block pair, each a task's group of its own. Pairs are counted where they are compared
-and never written: every document gets its class (the least doc_id among documents joined by links)
-and its number of links, which counts every document of similarity 0.8 or more.
+the target recall at the threshold: ``(1 - 0.8**3) ** RUNS`` is below 1e-3.
+
+Sets that are equal are one class and are never compared with each other. Sets that meet are linked only
+if their sketches (the least token of each of ``BINS`` ranges, 8 bits each) agree in ``AGREE`` of the
+filled ranges: pairs at 0.8 do but for about 3e-5, pairs at 0.57 (texts around one shared passage) don't
+but for about 1e-5. In a bucket of up to ``LEAF`` sets all pairs are looked at. In one that is still
+larger after ``DEPTH`` tokens each set is compared with the least one. If all agree, these links join the
+bucket; else its sets are split on by further tokens (a few at once while it is very large), ``BRANCHES`` times
+side by side and up to ``DEEPER`` levels, so that sets which only share a passage part again and a pair at 0.8 that needs k tokens more
+still meets with probability ``0.8**3 * (1 - (1 - 0.8**k) ** BRANCHES)`` a run. What is large even then is
+joined by its least set unseen, which costs comparisons and no links.
+
+A bucket of n sets gives at most n - 1 links, and a set's links of all runs are contracted to its least
+neighbour before components are sought. Components hold every pair that met. The sets of a component
+are then brought together once and all its pairs compared exactly; a component of over ``BLOCK`` sets or
+``BLOCK_TOKENS`` tokens is cut in blocks and compared block pair by block pair, each a task's group of
+its own. Pairs are counted where they are compared and never written: every document gets its class
+(the least doc_id among documents joined by links) and its number of links, which counts every document
+of similarity 0.8 or more.
 
 Null, empty and blank texts have no shingles: they are a class each (their own doc_id) without links. Null
 doc_ids are documents like others. Repeated rows are copies of each other and counted as such. Long
@@ -25,6 +33,7 @@ texts are whole sets. An empty table gives an empty table; extra columns aren't
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -40,11 +49,13 @@ SHINGLE, THRESHOLD = 5, 0.8
 DEPTH, TARGET_RECALL = 3, 0.999
 RUNS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - THRESHOLD**DEPTH))
 LEAF = 100
-#: Of RUNS * DEPTH sampled tokens, so many agree unless J < 0.8 (all but 4e-5 of pairs at 0.8).
-AGREE = 13 / 30
+#: Ranges of a sketch, and the share of the filled ones in which sets of 0.8 agree.
+BINS, AGREE = 256, 0.7
+#: Further levels at most, ways side by side, and after how many levels sets are compared with the least one again.
+DEEPER, BRANCHES, JUDGED = 20, 4, 3
 BLOCK, BLOCK_TOKENS = 1000, 1_000_000
 _HASHES = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, RUNS * DEPTH, dtype=np.uint64) | np.uint64(1)
-_ROW = "doc_id long, key binary, sig binary, n int, paths array<array<long>>, agree binary"
+_ROW = "doc_id long, key binary, sig binary, n int, paths array<array<long>>, least binary, sketch binary"
 
 
 def _signature(tokens: np.ndarray) -> bytes:
@@ -54,8 +65,33 @@ def _signature(tokens: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
+def _sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row a set: 8 bits of the least token of each range, 0 for an empty one. Tokens are sorted within sets."""
+    out = np.zeros((len(bounds) - 1, BINS), np.uint8)
+    if len(tokens):
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        place = owner * BINS + (tokens >> np.uint64(56)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        out.reshape(-1)[place[first]] = 1 + tokens[first] % np.uint64(255)
+    return out
+
+
+def _alike(n: np.ndarray, sketch: np.ndarray, other_n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets (their sizes and sketches, row by row) may have a similarity of THRESHOLD."""
+    sized = np.minimum(n, other_n) >= THRESHOLD * np.maximum(n, other_n) - 1e-9
+    out = np.zeros(len(n), bool)
+    at = np.flatnonzero(sized)
+    x, y = sketch[at], other[at]
+    out[at] = ((x == y) & (x > 0)).sum(1) >= AGREE * ((x | y) > 0).sum(1)
+    return out
+
+
+def _stacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("n", pa.int32()), ("paths", pa.list_(pa.list_(pa.int64()))), ("agree", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("n", pa.int32()), ("paths", pa.list_(pa.list_(pa.int64()))), ("least", pa.binary()), ("sketch", pa.binary())])
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -75,10 +111,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for level in range(DEPTH):
                     path = mix64(path * np.uint64(31) + least[:, run * DEPTH + level])
                     paths[:, run, level] = path
-            agree = mix64(least).astype(np.uint16)
             inner = pa.ListArray.from_arrays(np.arange(0, paths.size + 1, DEPTH, dtype=np.int32), pa.array(paths.view(np.int64).ravel()))
             outer = pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, RUNS, dtype=np.int32), inner)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig, pa.binary()), pa.array(counts, pa.int32()), outer, pa.array([a.tobytes() for a in agree], pa.binary())], schema=schema)
+            packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (mix64(least).astype(np.uint16), _sketches(tokens, bounds))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig, pa.binary()), pa.array(counts, pa.int32()), outer, *packed], schema=schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
@@ -115,18 +151,18 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of small buckets: rows sorted by leaf."""
+    """Links of small buckets: rows (leaf, sig, n, sketch) sorted by leaf and sig. A link's b is the lesser one."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for table in _cut(batches, 0):
-        leaf = table.column(0).to_numpy()
+        leaf, n = table.column(0).to_numpy(), table.column(2).to_numpy()
         sig = table.column(1).combine_chunks()
-        agree = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint16).reshape(len(leaf), -1)
+        sketch = _stacked(table.column(3))
         a, b = [], []
         for step in range(1, len(leaf)):
             same = np.flatnonzero(leaf[:-step] == leaf[step:])
             if not len(same):
                 break
-            same = same[(agree[same] == agree[same + step]).sum(1) >= AGREE * agree.shape[1]]
+            same = same[_alike(n[same], sketch[same], n[same + step], sketch[same + step])]
             a.append(same)
             b.append(same + step)
         if not a:
@@ -137,31 +173,89 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([sig.take(pa.array(own)), sig.take(pa.array(root[own]))], schema=schema)
 
 
-def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets to compare (leaf, sig, agree), of LEAF sets at most, and links of those that stay large."""
-    rows = reps.select("sig", F.explode("paths").alias("p")).select("sig", *[F.col("p")[k].alias(f"p{k}") for k in range(DEPTH)])
-    small, large = [], None
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, at, more, a, b, n, sketch, n and sketch of b) with whether the two agree."""
+    schema = pa.schema([("path", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ok", pa.bool_())])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            ok = _alike(part.column(5).to_numpy(), _stacked(part.column(6)), part.column(7).to_numpy(), _stacked(part.column(8)))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array(ok)], schema=schema)
+
+
+def _counted(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` of buckets of two or more, with their number c. Both sides are written: Spark broadcasts the counts or splits hot buckets."""
+    counts = materialize(rows.groupBy(path).agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
+    held = materialize(rows.join(F.broadcast(counts) if fits_broadcast(counts.count(), 24) else counts, path), "jaccard-buckets")
+    release(counts)
+    return held
+
+
+def _further(c):
+    """Tokens to split a bucket of c sets on at once: as many as sets of a similarity of about a third need."""
+    return F.least(F.greatest(F.floor(F.log(c / LEAF) / math.log(3)), F.lit(1)), F.lit(3)).cast("int")
+
+
+def _judged(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Sets of large buckets (path, at, more, sig) compared with their bucket's least: (path, at, more, a, b, ok)."""
+    first = materialize(rows.groupBy("path").agg(F.min("sig").alias("b")), "jaccard-first")
+    known = first.join(reps.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
+    pairs = rows.join(F.broadcast(known) if fits_broadcast(first.count(), BINS + 64) else known, "path").join(reps.select("sig", "n", "sketch"), "sig")
+    pairs = pairs.select("path", "at", "more", F.col("sig").alias("a"), "b", "n", "sketch", "nb", "sketch_b")
+    out = materialize(pairs.mapInArrow(lean(_judge), "path long, at int, more int, a binary, b binary, ok boolean"), "jaccard-judged")
+    release(first)
+    return out
+
+
+def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Buckets to compare (leaf, sig; LEAF sets at most), links that join larger ones, and written tables they read."""
+    rows = reps.select("sig", F.posexplode("paths").alias("run", "p")).select("sig", "run", *[F.col("p")[k].alias(f"p{k}") for k in range(DEPTH)])
+    small, links, written = [], [], []
     for level in range(DEPTH):
         path = f"p{level}"
-        counts = materialize(rows.groupBy(path).agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
-        # a written table of counts: broadcast, or else a join whose hot buckets Spark can split
-        held = materialize(rows.join(F.broadcast(counts) if fits_broadcast(counts.count(), 24) else counts, path), "jaccard-buckets")
+        held = _counted(rows, path)
+        written.append(held)
         small.append(held.where(F.col("c") <= LEAF).select(F.col(path).alias("leaf"), "sig"))
         rows = held.where(F.col("c") > LEAF).drop("c")
         if rows.isEmpty():
             break
-        if level == DEPTH - 1:
-            large = rows
-    met = small[0]
-    for more in small[1:]:
-        met = met.unionByName(more)
-    last = f"p{DEPTH - 1}"
-    if large is None:
-        links = reps.sparkSession.createDataFrame([], "a binary, b binary")
     else:
-        least = materialize(large.groupBy(last).agg(F.min("sig").alias("b")), "jaccard-large")
-        links = large.join(least, last).select(F.col("sig").alias("a"), "b")
-    return met, links
+        rows = held.where(F.col("c") > LEAF).select(F.col(path).alias("path"), (F.col("run") * DEPTH + DEPTH).alias("at"), _further(F.col("c")).alias("more"), "sig")
+        for level in range(DEEPER):
+            left = rows
+            if level % JUDGED == 0:
+                judged = _judged(rows, reps)
+                written.append(judged)
+                links.append(judged.where("ok AND a <> b").select("a", "b"))
+                split = judged.where("NOT ok").select("path").distinct()
+                left = judged.join(F.broadcast(split) if fits_broadcast(split.count(), 24) else split, "path", "left_semi").select("path", "at", "more", F.col("a").alias("sig"))
+                if left.isEmpty():
+                    rows = None
+                    break
+            # at: the next token; branches begin at tokens of different runs
+            ahead = F.explode(F.array(*[F.lit(b * (RUNS - 1) * DEPTH // BRANCHES) for b in range(BRANCHES)])) if level == 0 else F.lit(0)
+            chosen = left.withColumn("ahead", ahead).withColumn("at", F.pmod(F.col("at") + F.col("ahead"), F.lit(RUNS * DEPTH))).join(reps.select("sig", "least"), "sig")
+            tokens = F.substring(F.concat("least", "least"), F.col("at") * 2 + 1, F.col("more") * 2)
+            held = _counted(chosen.select(F.xxhash64("path", "at", tokens).alias("path"), (F.col("at") + F.col("more")).alias("at"), "sig"), "path")
+            written.append(held)
+            small.append(held.where(F.col("c") <= LEAF).select(F.col("path").alias("leaf"), "sig"))
+            rows = held.where(F.col("c") > LEAF).withColumn("more", _further(F.col("c"))).drop("c")
+            if rows.isEmpty():
+                rows = None
+                break
+        if rows is not None:
+            first = materialize(rows.groupBy("path").agg(F.min("sig").alias("b")), "jaccard-first")
+            written.append(first)
+            links.append(rows.join(first, "path").where("sig <> b").select(F.col("sig").alias("a"), "b"))
+    none = reps.sparkSession.createDataFrame([], "a binary, b binary")
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, links, none), written
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links of equal components: of a set's neighbours (a few a run, all less than it) only the least keeps its link, and has the others'."""
+    near = links.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("near"))
+    ends = F.transform("near", lambda x, k: F.struct(F.when(k == 0, F.col("a")).otherwise(x).alias("a"), F.get("near", F.lit(0)).alias("b")))
+    return near.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +325,13 @@ def _classes(docs: DataFrame) -> DataFrame:
     table = materialize(texts.mapInArrow(lean(_members), _ROW), "jaccard-sets")
     full = table.where("sig IS NOT NULL")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    whole = full.groupBy("sig").agg(least.alias("least"), F.count("*").alias("n_docs"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("agree").alias("agree"))
-    reps = materialize(whole.select("sig", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key"), "n_docs", "n", "paths", "agree"), "jaccard-reps")
+    whole = full.groupBy("sig").agg(least.alias("first"), F.count("*").alias("n_docs"), *[F.first(c).alias(c) for c in ("n", "paths", "least", "sketch")])
+    reps = materialize(whole.select("sig", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n_docs", "n", "paths", "least", "sketch"), "jaccard-reps")
 
-    met, links = _leaves(reps)
-    near = met.join(reps.select("sig", "agree"), "sig").select("leaf", "sig", "agree").repartition("leaf").sortWithinPartitions("leaf")
-    links = materialize(near.mapInArrow(lean(_meet), "a binary, b binary").unionByName(links).distinct(), "jaccard-links")
+    met, links, written = _leaves(reps)
+    near = met.join(reps.select("sig", "n", "sketch"), "sig").select("leaf", "sig", "n", "sketch").repartition("leaf").sortWithinPartitions("leaf", "sig")
+    links = materialize(_contracted(near.mapInArrow(lean(_meet), "a binary, b binary").unionByName(links)), "jaccard-links")
+    release(*written)
     comps = materialize(components(links).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "jaccard-components")
     release(links)
 

@@ -93,3 +93,54 @@ def test_cut_keeps_groups_whole():
     groups = [set(t.column(0).to_pylist()) for t in tables if t.num_rows]
     assert sum(map(len, groups)) == len(set(values.tolist()))
     assert sum(t.num_rows for t in tables) == 100
+
+
+def _words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+
+def test_shared_passage_brings_no_comparisons(spark, monkeypatch):
+    """Texts around one passage (similarity 0.57) part again: next to none of them are brought together."""
+    met = []
+
+    def counted(links):
+        out = components(links)
+        met.append(out.count())
+        return out
+
+    components = jaccard.components
+    monkeypatch.setattr(jaccard, "components", counted)
+    rng = random.Random(5)
+    passage = _words(rng, 25)
+    rows = [(k, " ".join(_words(rng, 4) + passage + _words(rng, 4))) for k in range(700)]
+    rows += [(1000 + k, " ".join(rows[k][1].split()[:-1] + _words(rng, 1))) for k in range(0, 700, 50)]  # 28 of 30 shingles
+    got = result(jaccard.join(spark.createDataFrame(rows, SCHEMA)))
+    assert met[0] <= 40
+    assert got == brute(rows)
+
+
+def test_recall_of_planted_pairs(spark, monkeypatch):
+    """Pairs of 0.8 to 0.9, apart and among holders of a shared passage: 99 % are found."""
+    rng = random.Random(6)
+    passage, rows = _words(rng, 200), []
+    for k in range(150):
+        own = _words(rng, 100) + (passage if k % 2 else [])
+        other = list(own)
+        for at in rng.sample(range(5, 95), 2 if k % 2 == 0 else 4):
+            other[at] = _words(rng, 1)[0]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    monkeypatch.setattr(jaccard, "LEAF", 20)  # so that holders are a large bucket
+    want, got = brute(rows), result(jaccard.join(spark.createDataFrame(rows, SCHEMA)))
+    links = sum(x[2] for x in want)
+    assert links >= 200
+    assert sum(min(a[2], b[2]) for a, b in zip(want, got)) >= 0.99 * links
+
+
+def test_contraction_keeps_components(spark):
+    rng = random.Random(7)
+    nodes = [bytes([k // 256, k % 256]) for k in range(300)]
+    links = [(nodes[max(a, b)], nodes[min(a, b)]) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(900)) if a != b]
+    df = spark.createDataFrame(links, "a binary, b binary")
+    less = jaccard._contracted(df)
+    root = lambda x: {bytes(r["node"]): bytes(r["root"]) for r in jaccard.components(x).collect()}
+    assert root(df) == root(less)
