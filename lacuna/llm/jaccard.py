@@ -12,10 +12,12 @@ if their sketches (the least token of each of ``BINS`` ranges, 8 bits each) agre
 filled ranges: pairs at 0.8 do but for about 3e-5, pairs at 0.57 (texts around one shared passage) don't
 but for about 1e-5. In a bucket of up to ``LEAF`` sets all pairs are looked at. In one that is still
 larger after ``DEPTH`` tokens each set is compared with the least one. If all agree, these links join the
-bucket; else its sets are split on by further tokens (a few at once while it is very large), ``BRANCHES`` times
-side by side and up to ``DEEPER`` levels, so that sets which only share a passage part again and a pair at 0.8 that needs k tokens more
-still meets with probability ``0.8**3 * (1 - (1 - 0.8**k) ** BRANCHES)`` a run. What is large even then is
-joined by its least set unseen, which costs comparisons and no links.
+bucket; else its sets are split on by further tokens until small groups are left, in which all pairs are
+looked at, so that sets which only share a passage part again. That happens in one task for a bucket of
+up to ``GROUP`` sets, ``BRANCHES`` times side by side in different orders of tokens: a pair at 0.8 that
+needs k tokens more still meets with probability ``0.8**3 * (1 - (1 - 0.8**k) ** BRANCHES)`` a run. Larger
+buckets are split by shuffles first, up to ``DEEPER`` levels. What is larger even then is joined by its
+least set unseen, which costs comparisons and no links.
 
 A bucket of n sets gives at most n - 1 links, and a set's links of all runs are contracted to its least
 neighbour before components are sought. Components hold every pair that met. The sets of a component
@@ -51,8 +53,10 @@ RUNS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - THRESHOLD**DEPTH))
 LEAF = 100
 #: Ranges of a sketch, and the share of the filled ones in which sets of 0.8 agree.
 BINS, AGREE = 256, 0.7
-#: Further levels at most, ways side by side, and after how many levels sets are compared with the least one again.
-DEEPER, BRANCHES, JUDGED = 20, 4, 3
+#: Sets of a bucket that one task splits on, orders of tokens it tries, and sets of a group it compares pair by pair.
+GROUP, BRANCHES, WIDE = 5000, 4, 300
+#: Levels at most by which buckets beyond GROUP are split on.
+DEEPER = 20
 BLOCK, BLOCK_TOKENS = 1000, 1_000_000
 _HASHES = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, RUNS * DEPTH, dtype=np.uint64) | np.uint64(1)
 _ROW = "doc_id long, key binary, sig binary, n int, paths array<array<long>>, least binary, sketch binary"
@@ -81,7 +85,7 @@ def _alike(n: np.ndarray, sketch: np.ndarray, other_n: np.ndarray, other: np.nda
     sized = np.minimum(n, other_n) >= THRESHOLD * np.maximum(n, other_n) - 1e-9
     out = np.zeros(len(n), bool)
     at = np.flatnonzero(sized)
-    x, y = sketch[at], other[at]
+    x, y = sketch[at], other[at] if len(other) == len(n) else other
     out[at] = ((x == y) & (x > 0)).sum(1) >= AGREE * ((x | y) > 0).sum(1)
     return out
 
@@ -150,37 +154,75 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def _all_pairs(own: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among the places ``own`` that agree."""
+    found = []
+    for k in range(len(own) - 1):
+        more = own[k + 1 :]
+        more = more[_alike(n[more], sketch[more], n[own[k]], sketch[own[k]][None])]
+        if len(more):
+            found.append((more, np.full(len(more), own[k])))
+    return found
+
+
+def _divide(own: np.ndarray, at: int, used: int, n: np.ndarray, sketch: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the places ``own`` (of one bucket) that agree, split on by the tokens from number ``at`` on. used: tokens so far."""
+    if len(own) <= WIDE:
+        return _all_pairs(own, n, sketch)
+    ok = _alike(n[own], sketch[own], n[own[0]], sketch[own[0]][None])
+    ok[0] = False
+    found = [(own[ok], np.full(ok.sum(), own[0]))]
+    rest = own[1:][~ok[1:]]
+    if not len(rest):
+        return found
+    if used >= least.shape[1]:  # all tokens agree: the others are compared with the least of them
+        return found + _divide(rest, at, used, n, sketch, least)
+    for way in range(BRANCHES if used == DEPTH else 1):
+        k = (at + way * (least.shape[1] - DEPTH) // BRANCHES) % least.shape[1]
+        order = own[np.argsort(least[own, k], kind="stable")]
+        cuts = np.flatnonzero(np.diff(least[order, k])) + 1
+        for part in np.split(order, cuts):
+            if len(part) > 1:
+                found += _divide(np.sort(part), k + 1, used + 1, n, sketch, least)
+    return found
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of small buckets: rows (leaf, sig, n, sketch) sorted by leaf and sig. A link's b is the lesser one."""
+    """Links within buckets: rows (leaf, sig, n, sketch, at, least) sorted by leaf and sig; at: the next token to split a large one on, else -1. A link's b is the lesser one."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for table in _cut(batches, 0):
-        leaf, n = table.column(0).to_numpy(), table.column(2).to_numpy()
+        leaf, n, at = (table.column(k).to_numpy() for k in (0, 2, 4))
         sig = table.column(1).combine_chunks()
         sketch = _stacked(table.column(3))
-        a, b = [], []
+        pairs = []
         for step in range(1, len(leaf)):
-            same = np.flatnonzero(leaf[:-step] == leaf[step:])
+            same = np.flatnonzero((leaf[:-step] == leaf[step:]) & (at[step:] < 0))
             if not len(same):
                 break
             same = same[_alike(n[same], sketch[same], n[same + step], sketch[same + step])]
-            a.append(same)
-            b.append(same + step)
-        if not a:
+            pairs.append((same, same + step))
+        large = np.flatnonzero(at >= 0)
+        if len(large):
+            least = np.zeros((len(leaf), RUNS * DEPTH), np.uint16)
+            least[large] = np.frombuffer(b"".join(table.column(5).take(pa.array(large)).to_pylist()), np.uint16).reshape(len(large), -1)
+            for part in np.split(large, np.flatnonzero(np.diff(leaf[large])) + 1):
+                pairs += _divide(part, int(at[part[0]]), DEPTH, n, sketch, least)
+        if not pairs:
             continue
-        root = _roots(len(leaf), np.concatenate(a), np.concatenate(b))
+        root = _roots(len(leaf), *(np.concatenate(x) for x in zip(*pairs)))
         own = np.flatnonzero(root != np.arange(len(leaf)))
         if len(own):
             yield pa.RecordBatch.from_arrays([sig.take(pa.array(own)), sig.take(pa.array(root[own]))], schema=schema)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, at, more, a, b, n, sketch, n and sketch of b) with whether the two agree."""
-    schema = pa.schema([("path", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ok", pa.bool_())])
+    """Rows (path, at, a, b, n, sketch, n and sketch of b) with whether the two agree."""
+    schema = pa.schema([("path", pa.int64()), ("at", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ok", pa.bool_())])
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            ok = _alike(part.column(5).to_numpy(), _stacked(part.column(6)), part.column(7).to_numpy(), _stacked(part.column(8)))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array(ok)], schema=schema)
+            ok = _alike(part.column(4).to_numpy(), _stacked(part.column(5)), part.column(6).to_numpy(), _stacked(part.column(7)))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(ok)], schema=schema)
 
 
 def _counted(rows: DataFrame, path: str) -> DataFrame:
@@ -191,62 +233,49 @@ def _counted(rows: DataFrame, path: str) -> DataFrame:
     return held
 
 
-def _further(c):
-    """Tokens to split a bucket of c sets on at once: as many as sets of a similarity of about a third need."""
-    return F.least(F.greatest(F.floor(F.log(c / LEAF) / math.log(3)), F.lit(1)), F.lit(3)).cast("int")
-
-
 def _judged(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Sets of large buckets (path, at, more, sig) compared with their bucket's least: (path, at, more, a, b, ok)."""
+    """Sets of large buckets (path, at, sig) compared with their bucket's least: (path, at, a, b, ok)."""
     first = materialize(rows.groupBy("path").agg(F.min("sig").alias("b")), "jaccard-first")
     known = first.join(reps.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
     pairs = rows.join(F.broadcast(known) if fits_broadcast(first.count(), BINS + 64) else known, "path").join(reps.select("sig", "n", "sketch"), "sig")
-    pairs = pairs.select("path", "at", "more", F.col("sig").alias("a"), "b", "n", "sketch", "nb", "sketch_b")
-    out = materialize(pairs.mapInArrow(lean(_judge), "path long, at int, more int, a binary, b binary, ok boolean"), "jaccard-judged")
+    pairs = pairs.select("path", "at", F.col("sig").alias("a"), "b", "n", "sketch", "nb", "sketch_b")
+    out = materialize(pairs.mapInArrow(lean(_judge), "path long, at int, a binary, b binary, ok boolean"), "jaccard-judged")
     release(first)
     return out
 
 
 def _leaves(reps: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Buckets to compare (leaf, sig; LEAF sets at most), links that join larger ones, and written tables they read."""
+    """Buckets to compare (leaf, sig, at: -1 for LEAF sets at most), links that join larger ones than GROUP, and written tables they read."""
     rows = reps.select("sig", F.posexplode("paths").alias("run", "p")).select("sig", "run", *[F.col("p")[k].alias(f"p{k}") for k in range(DEPTH)])
     small, links, written = [], [], []
     for level in range(DEPTH):
         path = f"p{level}"
         held = _counted(rows, path)
         written.append(held)
-        small.append(held.where(F.col("c") <= LEAF).select(F.col(path).alias("leaf"), "sig"))
+        small.append(held.where(F.col("c") <= LEAF).select(F.col(path).alias("leaf"), "sig", F.lit(-1).alias("at")))
         rows = held.where(F.col("c") > LEAF).drop("c")
         if rows.isEmpty():
             break
     else:
-        rows = held.where(F.col("c") > LEAF).select(F.col(path).alias("path"), (F.col("run") * DEPTH + DEPTH).alias("at"), _further(F.col("c")).alias("more"), "sig")
-        for level in range(DEEPER):
-            left = rows
-            if level % JUDGED == 0:
-                judged = _judged(rows, reps)
-                written.append(judged)
-                links.append(judged.where("ok AND a <> b").select("a", "b"))
-                split = judged.where("NOT ok").select("path").distinct()
-                left = judged.join(F.broadcast(split) if fits_broadcast(split.count(), 24) else split, "path", "left_semi").select("path", "at", "more", F.col("a").alias("sig"))
-                if left.isEmpty():
-                    rows = None
-                    break
-            # at: the next token; branches begin at tokens of different runs
-            ahead = F.explode(F.array(*[F.lit(b * (RUNS - 1) * DEPTH // BRANCHES) for b in range(BRANCHES)])) if level == 0 else F.lit(0)
-            chosen = left.withColumn("ahead", ahead).withColumn("at", F.pmod(F.col("at") + F.col("ahead"), F.lit(RUNS * DEPTH))).join(reps.select("sig", "least"), "sig")
-            tokens = F.substring(F.concat("least", "least"), F.col("at") * 2 + 1, F.col("more") * 2)
-            held = _counted(chosen.select(F.xxhash64("path", "at", tokens).alias("path"), (F.col("at") + F.col("more")).alias("at"), "sig"), "path")
-            written.append(held)
-            small.append(held.where(F.col("c") <= LEAF).select(F.col("path").alias("leaf"), "sig"))
-            rows = held.where(F.col("c") > LEAF).withColumn("more", _further(F.col("c"))).drop("c")
+        held = held.select(F.col(path).alias("path"), "sig", (F.col("run") * DEPTH + DEPTH).alias("at"), "c").where(F.col("c") > LEAF)
+        for level in range(DEEPER + 1):
+            small.append(held.where(F.col("c") <= GROUP).select(F.col("path").alias("leaf"), "sig", F.pmod("at", F.lit(RUNS * DEPTH)).alias("at")))
+            rows = held.where(F.col("c") > GROUP)
             if rows.isEmpty():
-                rows = None
                 break
-        if rows is not None:
-            first = materialize(rows.groupBy("path").agg(F.min("sig").alias("b")), "jaccard-first")
-            written.append(first)
-            links.append(rows.join(first, "path").where("sig <> b").select(F.col("sig").alias("a"), "b"))
+            if level == DEEPER:
+                first = materialize(rows.groupBy("path").agg(F.min("sig").alias("b")), "jaccard-first")
+                written.append(first)
+                links.append(rows.join(first, "path").where("sig <> b").select(F.col("sig").alias("a"), "b"))
+                break
+            judged = _judged(rows, reps)
+            links.append(judged.where("ok AND a <> b").select("a", "b"))
+            split = judged.where("NOT ok").select("path").distinct()
+            left = judged.join(F.broadcast(split) if fits_broadcast(split.count(), 24) else split, "path", "left_semi").select("path", "at", F.col("a").alias("sig"))
+            token = F.substring("least", F.pmod("at", F.lit(RUNS * DEPTH)) * 2 + 1, F.lit(2))
+            chosen = left.join(reps.select("sig", "least"), "sig").select(F.xxhash64("path", token).alias("path"), (F.col("at") + 1).alias("at"), "sig")
+            held = _counted(chosen, "path")
+            written += [judged, held]
     none = reps.sparkSession.createDataFrame([], "a binary, b binary")
     return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, links, none), written
 
@@ -329,7 +358,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     reps = materialize(whole.select("sig", F.col("first.doc_id").alias("doc"), F.col("first.key").alias("key"), "n_docs", "n", "paths", "least", "sketch"), "jaccard-reps")
 
     met, links, written = _leaves(reps)
-    near = met.join(reps.select("sig", "n", "sketch"), "sig").select("leaf", "sig", "n", "sketch").repartition("leaf").sortWithinPartitions("leaf", "sig")
+    near = met.join(reps.select("sig", "n", "sketch", "least"), "sig").select("leaf", "sig", "n", "sketch", "at", F.when(F.col("at") >= 0, F.col("least")).alias("least")).repartition("leaf").sortWithinPartitions("leaf", "sig")
     links = materialize(_contracted(near.mapInArrow(lean(_meet), "a binary, b binary").unionByName(links)), "jaccard-links")
     release(*written)
     comps = materialize(components(links).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "jaccard-components")

@@ -64,10 +64,11 @@ def planted(seed=3, groups=12, copies=30):
 SCHEMA = "doc_id long, text string"
 
 
-@pytest.mark.parametrize("limits", [(100, 1000), (3, 7)])
+@pytest.mark.parametrize("limits", [(100, 1000, 5000, 300), (3, 7, 5000, 3), (3, 7, 6, 3)])
 def test_matches_brute_force(spark, monkeypatch, limits):
     monkeypatch.setattr(jaccard, "LEAF", limits[0])
-    monkeypatch.setattr(jaccard, "BLOCK", limits[1])
+    for name, value in zip(("BLOCK", "GROUP", "WIDE"), limits[1:]):
+        monkeypatch.setattr(jaccard, name, value)
     rows = planted() + [(900, None), (901, ""), (902, " \n"), (None, "one two three"), (903, "one two three"), (903, "one two three"), (904, "x " * 30000)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS sig", "2 AS class_id", "3 AS key")
     assert result(jaccard.join(df)) == brute(rows)
@@ -110,6 +111,7 @@ def test_shared_passage_brings_no_comparisons(spark, monkeypatch):
 
     components = jaccard.components
     monkeypatch.setattr(jaccard, "components", counted)
+    monkeypatch.setattr(jaccard, "GROUP", 400)
     rng = random.Random(5)
     passage = _words(rng, 25)
     rows = [(k, " ".join(_words(rng, 4) + passage + _words(rng, 4))) for k in range(700)]
@@ -130,6 +132,7 @@ def test_recall_of_planted_pairs(spark, monkeypatch):
             other[at] = _words(rng, 1)[0]
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
     monkeypatch.setattr(jaccard, "LEAF", 20)  # so that holders are a large bucket
+    monkeypatch.setattr(jaccard, "WIDE", 20)
     want, got = brute(rows), result(jaccard.join(spark.createDataFrame(rows, SCHEMA)))
     links = sum(x[2] for x in want)
     assert links >= 200
