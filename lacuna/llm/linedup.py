@@ -1,27 +1,27 @@
 """Line deduplication by content-defined chunks, with DataFrame functions alone.
 
-A text's lines are hashed, and a rolling hash over ``WINDOW`` neighbouring line hashes ends a chunk where
-it is divisible by ``DIVISOR``: boundaries depend on the lines around them and not on their place, so
-that a passage inserted into other documents is cut alike inside. A line of ``LONG_WORDS`` words or more
-is a passage of its own: it is a chunk, whatever stands around it. Of chunks that repeat anywhere (of
-``MIN_LINES`` lines or more, or one long line) all but the first, by (doc_id, place), are removed, once
-their bytes were compared with those of the first.
-
-Chunks miss most short passages between other lines, so with ``passages`` all runs of two lines or more
-and ``PASSAGE_WORDS`` words or more that stand earlier are removed, too. Pairs of neighbouring lines tell
-which lines can be part of one. Over those, each line begins and ends a shortest run of that many words:
-every longer repeated run is covered by such runs that repeat. They are compared by SHA-256; one that
-overlaps the first of its kind in the same document stays.
-
-Only hashes are exchanged to find what repeats. Texts move again only of documents that hold repeated
-chunks; the documents themselves are joined with the removed places, which are broadcast as long as
-their counted number allows it. Groups of equal chunks are never gathered: they are counted before
-their shuffle and joined with one first chunk each.
+A text's lines are hashed, and a window of three line hashes rolls over them: a chunk ends after a line
+whose hash is the least of its window. So a chunk between two such lines has two lines or more, three on
+average, its ends depend on the lines around them and not on their place, and a passage inserted into
+other documents is cut alike inside. A line that is repeated in a row makes a chunk with its repeats, and
+a line of ``LONG_WORDS`` words or more is a chunk of its own.
+
+Chunks that repeat anywhere are found by their neighbouring lines: each pair of lines (and each long
+line) that repeats is aligned with its first place, by (doc_id, digest of the text, line), and pairs in a row
+that stand in a row at their first places, too, make a run. So a repeated chunk is extended to all equal
+lines around it. A run that holds a whole chunk, or ``PASSAGE_WORDS`` words where it is too short for
+one, is removed once its bytes were compared with those of the first place. Lines that repeat one by one,
+pairs of empty lines, and runs that overlap their own first place stay.
+
+Only hashes are exchanged to find what repeats: they are counted first, and joined with those that repeat
+from written tables, so that a hot one is broadcast to or split. Texts move only of documents that hold
+runs or first places of runs; the documents themselves are joined with the removed places, which are
+broadcast as long as their counted number allows it. Groups of equal pairs are never gathered.
 
 Lines end at a newline. A null text stays null and has no lines; an empty text is one empty line. Rows
-that share doc_id and text count as one document and lose the same chunks; a null doc_id is an id of its
+that share doc_id and text count as one document and lose the same lines; a null doc_id is an id of its
 own, after others. An empty table gives an empty table; further columns are kept (names that begin with
-two underscores are this module's).
+two underscores are this module's and refused).
 """
 
 from __future__ import annotations
@@ -29,121 +29,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import fits_broadcast, materialize, release
+from .storage import fits_broadcast, materialize, refuse_own_names, release
 
-WINDOW, DIVISOR = 2, 3
-MIN_LINES, LONG_WORDS = 2, 50
-PASSAGE_WORDS = 50
+LONG_WORDS = PASSAGE_WORDS = 50
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def _is_long(line: Column) -> Column:
-    return F.when(F.length(line) < 2 * LONG_WORDS - 1, F.lit(False)).otherwise(F.regexp_count(line, F.lit(_WORD)) >= LONG_WORDS)
+def _words(text: Column) -> Column:
+    """Whether ``text`` has PASSAGE_WORDS words; counted only where its length allows it."""
+    return F.when(F.length(text) < 2 * PASSAGE_WORDS - 1, F.lit(False)).otherwise(F.regexp_count(text, F.lit(_WORD)) >= PASSAGE_WORDS)
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` (text) with __lines and __chunks, array(struct(first, lines, long)) by places of lines.
+    """``docs`` (text) with __lines, __marks (h, chars, long of each line) and __chunks, array(struct(first, last, long)) by places of lines.
 
     Each step is a column of its own, so that what a lambda looks at isn't computed anew for each line."""
-    line = F.transform("__lines", lambda x: F.struct(F.xxhash64(x).alias("h"), _is_long(x).alias("long")))
-    marked = docs.withColumn("__lines", F.split("text", "\n")).withColumn("__marked", line)
-    at = lambda k: F.get("__marked", k)
-    rolled = lambda k: F.pmod(F.xxhash64(*[F.coalesce(at(k - j)["h"], F.lit(0).cast("long")) for j in range(WINDOW)]), F.lit(DIVISOR)) == 0
-    ends = lambda x, k: x["long"] | (k + 1 == F.size("__marked")) | F.coalesce(at(k + 1)["long"], F.lit(False)) | ((k + 1 >= WINDOW) & rolled(k))
-    cut = marked.withColumn("__flags", F.transform("__marked", lambda x, k: F.struct(k.alias("at"), x["long"].alias("long"), ends(x, k).alias("ends"))))
-    last = cut.withColumn("__ends", F.filter("__flags", lambda e: e["ends"]))
-    before = lambda n: F.coalesce(F.get("__ends", n - 1)["at"], F.lit(-1))
-    found = last.withColumn("__chunks", F.transform("__ends", lambda e, n: F.struct((before(n) + 1).alias("first"), (e["at"] - before(n)).alias("lines"), e["long"].alias("long"))))
-    return found.drop("__marked", "__flags", "__ends")
-
-
-def _chunk_text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["lines"]), "\n")
+    line = F.transform("__lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("chars"), _words(x).alias("long")))
+    marked = docs.withColumn("__lines", F.split("text", "\n")).withColumn("__marks", line)
+    at = lambda k: F.get("__marks", k)
+
+    def ends(x: Column, k: Column) -> Column:
+        before, after = at(k - 1), at(k + 1)
+        same = F.coalesce(before["h"] == x["h"], F.lit(False))
+        rolled = F.coalesce((x["h"] < before["h"]) & (x["h"] < after["h"]), F.lit(False))
+        return x["long"] | (k + 1 == F.size("__marks")) | F.coalesce(after["long"], F.lit(False)) | F.when(after["h"] == x["h"], F.lit(False)).otherwise(same | rolled | F.coalesce(after["h"] == at(k + 2)["h"], F.lit(False)))
+
+    last = marked.withColumn("__flags", F.transform("__marks", lambda x, k: F.struct(k.alias("at"), x["long"].alias("long"), ends(x, k).alias("ends")))).withColumn("__ends", F.filter("__flags", lambda e: e["ends"]))
+    found = last.withColumn("__chunks", F.transform("__ends", lambda e, n: F.struct((F.coalesce(F.get("__ends", n - 1)["at"], F.lit(-1)) + 1).alias("first"), e["at"].alias("last"), e["long"].alias("long"))))
+    return found.drop("__flags", "__ends")
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(__doc, __text, at, lines, hash, chars, chunk): pairs of lines and long lines; chunk: the last line of a chunk of two or more that begins at ``at``."""
+    keyed = with_chunks(docs)
+    ends = F.flatten(F.transform("__chunks", lambda c: F.concat(F.array(F.when(c["last"] > c["first"], c["last"])), F.array_repeat(F.lit(None).cast("int"), c["last"] - c["first"]))))
+    keyed = keyed.withColumn("__begun", ends)
+    mark = lambda k: F.get("__marks", k)
+    pair = lambda x, k: F.when(x["chars"] + mark(k + 1)["chars"] > 0, F.struct(k.alias("at"), F.lit(2).alias("lines"), F.xxhash64(x["h"], mark(k + 1)["h"]).alias("hash"), (x["chars"] + mark(k + 1)["chars"]).alias("chars"), F.get("__begun", k).alias("chunk")))
+    alone = lambda x, k: F.when(x["long"], F.struct(k.alias("at"), F.lit(1).alias("lines"), F.xxhash64(x["h"]).alias("hash"), x["chars"].alias("chars"), k.alias("chunk")))
+    longs = F.when(F.exists("__marks", lambda x: x["long"]), F.array_compact(F.transform("__marks", alone))).otherwise(F.array().cast("array<struct<at:int,lines:int,hash:bigint,chars:int,chunk:int>>"))
+    both = F.concat(F.array_compact(F.transform(F.slice("__marks", 1, F.size("__marks") - 1), pair)), longs)
+    return keyed.select("__doc", "__text", F.explode(both).alias("c")).select("__doc", "__text", "c.*")
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """Runs of repeated pieces, aligned with their first places: (__doc, __text, first, lines, whole, of_doc, of_text, of_first); written."""
+    table = materialize(_pieces(docs), "line-pieces")
+    repeated = materialize(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-repeated")
+    held = materialize(table.join(F.broadcast(repeated) if fits_broadcast(repeated.count(), 32) else repeated, "hash"), "line-held")
+    release(table, repeated)
+    place = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__text").alias("text"), F.col("at").alias("at"))
+    first = materialize(held.groupBy("hash").agg(F.min(place).alias("of")), "line-first")
+    met = held.join(F.broadcast(first) if fits_broadcast(first.count(), 96) else first, "hash")
+    own = F.col("__doc").eqNullSafe(F.col("of.doc")) & (F.col("__text") == F.col("of.text"))
+    again = met.where(~own | (F.col("at") != F.col("of.at"))).select("__doc", "__text", "at", "lines", "chars", "chunk", F.col("of.doc").alias("of_doc"), F.col("of.text").alias("of_text"), (F.col("at") - F.col("of.at")).alias("shift"))
+    by = ("__doc", "__text", "lines", "of_doc", "of_text", "shift")  # a document's rows stay where they are
+    island = again.repartition("__doc", "__text").withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at")))
+    whole = F.coalesce(F.min("chunk") <= F.max("at") + F.col("lines") - 1, F.lit(False))
+    runs = island.groupBy(*by, "island").agg(F.min("at").alias("first"), (F.max("at") - F.min("at") + F.col("lines")).alias("n"), whole.alias("whole"), F.sum("chars").alias("chars"))
+    apart = ~(F.col("__doc").eqNullSafe(F.col("of_doc")) & (F.col("__text") == F.col("of_text"))) | (F.col("shift") >= F.col("n"))
+    kept = runs.where(apart & (F.col("whole") | (F.col("chars") >= 2 * PASSAGE_WORDS - 1)))
+    out = materialize(kept.select("__doc", "__text", "first", F.col("n").alias("lines"), "whole", "of_doc", "of_text", (F.col("first") - F.col("shift")).alias("of_first")), "line-runs")
+    release(held, first)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """__doc, __text (its digest) and __gone: array(struct(first, lines)) of chunks to remove; only documents that lose some."""
-    digest = F.xxhash64("text")
-    keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("__doc"), digest.alias("__text"), "text")
-    cut = with_chunks(keyed)
-    worth = lambda c: (c["lines"] >= MIN_LINES) | c["long"]
-    hashed = cut.select("__doc", "__text", F.explode(F.transform(F.filter("__chunks", worth), lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.xxhash64(_chunk_text(F.col("__lines"), c)).alias("hash")))).alias("c"))
-    table = materialize(hashed.select("__doc", "__text", F.col("c.first").alias("first"), F.col("c.lines").alias("lines"), F.col("c.hash").alias("hash")), "line-chunks")
-    place = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__text").alias("text"), F.col("first").alias("first"))
-    repeated = table.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("rep")).where("n > 1")
-    repeated = materialize(repeated.select("hash", "rep"), "line-repeated")  # written: then Spark can split the join of a hot chunk
-    side = F.broadcast(repeated) if fits_broadcast(repeated.count(), 96) else repeated
-    held = materialize(table.join(side, "hash").distinct(), "line-repeats")
-
-    by_doc = held.groupBy("__doc", "__text").agg(F.collect_set(F.struct("first", "lines", "hash", "rep")).alias("__held"))  # a document's own chunks
-    by_doc = materialize(by_doc.select(F.col("__doc").alias("__d"), F.col("__text").alias("__t"), "__held"), "line-holders")
-    small = fits_broadcast(held.count(), 128)
-    met = keyed.join(F.broadcast(by_doc) if small else by_doc, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
-    texts = met.withColumn("__lines", F.split("text", "\n")).select("__doc", "__text", F.explode(F.transform("__held", lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), c["hash"].alias("hash"), c["rep"].alias("rep"), F.array_join(F.slice(F.col("__lines"), c["first"] + 1, c["lines"]), "\n").alias("bytes")))).alias("c"))
-    texts = materialize(texts.select("__doc", "__text", "c.*"), "line-texts")
-    is_first = F.col("__doc").eqNullSafe(F.col("rep.doc")) & (F.col("__text") == F.col("rep.text")) & (F.col("first") == F.col("rep.first"))
-    first = materialize(texts.where(is_first).groupBy("hash").agg(F.min("bytes").alias("__bytes")), "line-first")
-    again = texts.where(~is_first).join(first, "hash").where(F.col("bytes") == F.col("__bytes"))
-    gone = materialize(again.groupBy("__doc", "__text").agg(F.sort_array(F.collect_set(F.struct("first", "lines"))).alias("__gone")), "line-gone")
-    release(table, repeated, held, by_doc, texts, first)
-    return gone
-
-
-def _held_texts(keyed: DataFrame, held: DataFrame, what: str, row_bytes: int) -> DataFrame:
-    """``keyed`` with __held: the set of ``what`` that ``held`` (written) has of a document; only documents with some."""
-    by_doc = held.groupBy(F.col("__doc").alias("__d"), F.col("__text").alias("__t")).agg(F.collect_set(what).alias("__held"))
-    by_doc = F.broadcast(by_doc) if fits_broadcast(held.count(), row_bytes) else by_doc
-    met = keyed.join(by_doc, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
-    return met.withColumn("__lines", F.split("text", "\n"))
-
-
-def _shortest_runs(pairs: DataFrame) -> DataFrame:
-    """__doc, __text and run: struct(first, lines) of runs that a line begins or ends, among the lines of __held pairs."""
-    places = F.array_distinct(F.flatten(F.transform("__held", lambda p: F.array(p, p + 1, p + 2))))  # one more than can be part of a run
-    words = lambda k: F.coalesce(F.regexp_count(F.get("__lines", k), F.lit(_WORD)), F.lit(0)).cast("long")
-    rows = pairs.select("__doc", "__text", F.explode(F.transform(places, lambda k: F.struct(k.alias("at"), words(k).alias("words")))).alias("c")).select("__doc", "__text", "c.*")
-    rows = rows.repartition("__doc", "__text").dropDuplicates()
-    island = rows.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("__doc", "__text").orderBy("at")))
-    by = Window.partitionBy("__doc", "__text", "island")
-    whole = island.withColumns({"low": F.min("at").over(by), "high": F.max("at").over(by), "before": F.coalesce(F.sum("words").over(by.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
-    near = whole.withColumns({"to": F.max("at").over(by.orderBy("before").rangeBetween(0, PASSAGE_WORDS - 1)), "since": F.min("at").over(by.orderBy("before").rangeBetween(1 - PASSAGE_WORDS, 0))})
-    run = lambda a, b: F.struct(a.cast("int").alias("first"), (b - a + 1).cast("int").alias("lines"))
-    end, begin = F.greatest("to", F.col("at") + 1), F.least(F.col("since") - 1, F.col("at") - 2)
-    ahead = F.when(end < F.col("high"), run(F.col("at"), end))
-    back = F.when((F.col("since") > F.col("low")) & (begin >= F.col("low")), run(begin, F.col("at") - 1))
-    return near.select("__doc", "__text", F.explode(F.array_compact(F.array(ahead, back))).alias("run"))
-
-
-def removed_passages(docs: DataFrame) -> DataFrame:
-    """As :func:`removed_lines`, of runs of ``MIN_LINES`` lines and ``PASSAGE_WORDS`` words or more, wherever they begin."""
-    some = (F.length("text") >= 2 * PASSAGE_WORDS - 1) & F.contains("text", F.lit("\n"))
-    keyed = docs.where(some).select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text"), "text")
-    lines = keyed.withColumn("__h", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)))
-    both = F.transform(F.slice("__h", 1, F.size("__h") - 1), lambda x, k: F.xxhash64(x, F.get("__h", k + 1)))
-    table = materialize(lines.select("__doc", "__text", F.posexplode(both).alias("at", "hash")), "line-pairs")
-    repeated = materialize(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-pairs-repeated")
-    side = F.broadcast(repeated) if fits_broadcast(repeated.count(), 32) else repeated
-    held = materialize(table.join(side, "hash").select("__doc", "__text", "at"), "line-pairs-held")
-    runs = materialize(_shortest_runs(_held_texts(keyed, held, "at", 64)), "line-runs")
-    release(table, repeated, held)
-    digest = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.unhex(F.sha2(_chunk_text(F.col("__lines"), c), 256)).alias("hash"))
-    texts = materialize(_held_texts(keyed, runs, "run", 96).select("__doc", "__text", F.explode(F.transform("__held", digest)).alias("c")).select("__doc", "__text", "c.*"), "line-run-texts")
-    place = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("doc"), F.col("__text").alias("text"), F.col("first").alias("first"))
-    reps = materialize(texts.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("rep")).where("n > 1").select("hash", "rep"), "line-run-repeated")
-    side = F.broadcast(reps) if fits_broadcast(reps.count(), 128) else reps
-    same = F.col("__doc").eqNullSafe(F.col("rep.doc")) & (F.col("__text") == F.col("rep.text"))
-    again = texts.join(side, "hash").where(~same | (F.col("first") >= F.col("rep.first") + F.col("lines")))
-    gone = materialize(again.groupBy("__doc", "__text").agg(F.sort_array(F.collect_set(F.struct("first", "lines"))).alias("__gone")), "line-runs-gone")
-    release(runs, texts, reps)
+    """__doc, __text (its digest) and __gone: array(struct(first, lines)) of runs to remove; only documents that lose some; written."""
+    keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text"), "text")
+    runs = _runs(keyed)
+    ends = runs.select("__doc", "__text", "first", "lines").unionByName(runs.select(F.col("of_doc").alias("__doc"), F.col("of_text").alias("__text"), F.col("of_first").alias("first"), "lines"))
+    wanted = ends.groupBy(F.col("__doc").alias("__d"), F.col("__text").alias("__t")).agg(F.collect_set(F.struct("first", "lines")).alias("__held"))  # a document's own places
+    wanted = F.broadcast(wanted) if fits_broadcast(runs.count(), 96) else wanted
+    met = keyed.join(wanted, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t"))).withColumn("__lines", F.split("text", "\n"))
+    piece = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.array_join(F.slice(F.col("__lines"), c["first"] + 1, c["lines"]), "\n").alias("bytes"))
+    texts = materialize(met.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.explode(F.transform("__held", piece)).alias("c")).select("d", "t", "c.*").distinct(), "line-texts")
+    side = lambda doc, text, first, name: (F.col(doc).eqNullSafe(F.col(f"{name}.d")) & (F.col(text) == F.col(f"{name}.t")) & (F.col(first) == F.col(f"{name}.first")) & (F.col("r.lines") == F.col(f"{name}.lines")))
+    both = runs.alias("r").join(texts.alias("own"), side("r.__doc", "r.__text", "r.first", "own")).join(texts.alias("of"), side("r.of_doc", "r.of_text", "r.of_first", "of"))
+    equal = both.where((F.col("own.bytes") == F.col("of.bytes")) & (F.col("r.whole") | _words(F.col("own.bytes"))))
+    gone = equal.groupBy("r.__doc", "r.__text").agg(F.sort_array(F.collect_set(F.struct("r.first", "r.lines"))).alias("__gone"))
+    gone = materialize(gone, "line-gone")
+    release(runs, texts)
     return gone
 
 
-def dedupe(docs: DataFrame, passages: bool = False) -> DataFrame:
-    """``docs`` with their kept text, and the numbers of lines and removed lines (``n_lines``, ``n_removed``); by chunks alone, or by all ``passages``, too."""
+def dedupe(docs: DataFrame) -> DataFrame:
+    """``docs`` with their kept text, and the numbers of lines and removed lines (``n_lines``, ``n_removed``)."""
+    refuse_own_names(docs)
     gone = removed_lines(docs)
-    if passages:
-        either = gone.unionByName(removed_passages(docs)).groupBy("__doc", "__text")
-        gone = materialize(either.agg(F.flatten(F.collect_list("__gone")).alias("__gone")), "line-all-gone")
     small = gone.select(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("c")).first()
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     right = gone.withColumnsRenamed({"__doc": "__d", "__text": "__t"})
@@ -159,6 +132,5 @@ def dedupe(docs: DataFrame, passages: bool = False) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedupe(docs, passages=True)
+    out = dedupe(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

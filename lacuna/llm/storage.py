@@ -21,16 +21,22 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lacuna-")
+    """The folder in ``spark.checkpoint.dir``, or the checkpoint folder set in the session; executors elsewhere couldn't read a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        base = "file://" + tempfile.mkdtemp(prefix="lacuna-")  # one machine, one process: nobody else reads it
         spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
+def refuse_own_names(docs: DataFrame) -> None:
+    """Operators name their own columns with two underscores first; input columns of such names would clash."""
+    if own := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns that begin with two underscores are the operators' own: {own}")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))

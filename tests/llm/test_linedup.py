@@ -1,102 +1,168 @@
+"""Boundaries and removed lines are computed here from plain Python, without the module's code."""
+
+import random
 from collections import defaultdict
 
+import pytest
+import xxhash
+
 from lacuna.llm import linedup
 
 PASSAGE = ["alpha beta gamma %d" % k for k in range(12)]
-
-
-def brute(spark, rows):
-    """doc_id to kept text: the first chunk of equal bytes stays."""
-    df = spark.createDataFrame(rows, "doc_id long, text string").where("text IS NOT NULL")
-    cut = {(r["doc_id"], r["text"]): r["__chunks"] for r in linedup.with_chunks(df).collect()}
-    _hashes.update({r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()})
-    places = defaultdict(set)
-    texts = {}
-    for (doc, text), chunks in cut.items():
-        lines = text.split("\n")
-        assert sum(c["lines"] for c in chunks) == len(lines)
-        assert [c["first"] for c in chunks] == [sum(x["lines"] for x in chunks[:k]) for k in range(len(chunks))]
-        for c in chunks:
-            long = c["lines"] == 1 and len(lines[c["first"]].split()) >= linedup.LONG_WORDS
-            assert long == c["long"]
-            if c["lines"] >= 2 or long:
-                piece = "\n".join(lines[c["first"] : c["first"] + c["lines"]])
-                places[piece].add(((doc is None, doc or 0), text, c["first"], c["lines"]))
-    gone = defaultdict(set)
-    for piece, at in places.items():
-        order = sorted(at, key=lambda x: (x[0], _hashes[x[1]], x[2]))
-        for who, text, first, n in order[1:]:
-            gone[who, text].update(range(first, first + n))
-    for doc, text in rows:
-        if text is not None:
-            lost = gone.get(((doc is None, doc or 0), text), set())
-            texts[doc, text] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in lost)
-    return texts
-
-
-_hashes: dict = {}
+SCHEMA = "doc_id long, text string"
+
+
+def signed(data: bytes) -> int:
+    h = xxhash.xxh64(data, seed=42).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def n_words(text):
+    return len([w for w in text.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if w])
+
+
+def chunks(lines):
+    """(first, last) by the rules of the docstring."""
+    h = [signed(x.encode()) for x in lines]
+    long = [n_words(x) >= 50 for x in lines]
+    out, first = [], 0
+    for k, x in enumerate(lines):
+        after = lines[k + 1] if k + 1 < len(lines) else None
+        end = after is None or long[k] or long[k + 1]
+        if not end and after != x:
+            end = k > 0 and lines[k - 1] == x or k > 0 and h[k] < h[k - 1] and h[k] < h[k + 1] or k + 2 < len(lines) and after == lines[k + 2]
+        if end:
+            out.append((first, k))
+            first = k + 1
+    return out, long
+
+
+def brute(rows):
+    """Kept texts by (doc_id, text)."""
+    docs = sorted({(doc, text) for doc, text in rows if text is not None}, key=lambda d: (d[0] is None, d[0] or 0, signed(d[1].encode())))
+    first, split, gone = {}, {}, defaultdict(set)
+    for doc in docs:
+        split[doc] = doc[1].split("\n")
+        _, long = chunks(split[doc])
+        lines = split[doc]
+        for k in range(len(lines)):
+            if k + 1 < len(lines) and lines[k] + lines[k + 1]:
+                first.setdefault((lines[k], lines[k + 1]), (doc, k))
+            if long[k]:
+                first.setdefault((lines[k],), (doc, k))
+    for doc in docs:
+        lines = split[doc]
+        own, long = chunks(lines)
+        aligned = defaultdict(list)
+        for k in range(len(lines)):
+            for piece in ([(lines[k], lines[k + 1])] if k + 1 < len(lines) and lines[k] + lines[k + 1] else []) + ([(lines[k],)] if long[k] else []):
+                of, at = first[piece]
+                if (of, at) != (doc, k):
+                    aligned[of, k - at, len(piece)].append(k)
+        for (of, shift, n), at in aligned.items():
+            at.sort()
+            while at:
+                m = 1
+                while m < len(at) and at[m] == at[0] + m:
+                    m += 1
+                a, b = at[0], at[m - 1] + n - 1
+                at = at[m:]
+                if of == doc and shift < b - a + 1:
+                    continue
+                if n == 1 or any(x >= a and y <= b and y > x for x, y in own) or n_words("\n".join(lines[a : b + 1])) >= 50:
+                    gone[doc].update(range(a, b + 1))
+    return {doc: "\n".join(x for k, x in enumerate(split[doc]) if k not in gone[doc]) for doc in docs}
 
 
 def kept(df):
     return {(r["doc_id"], r["old"]): r["text"] for r in df.collect()}
 
 
+def check(got, rows):
+    want = brute(rows)
+    for (doc, old), text in got.items():
+        assert text == (None if old is None else want[doc, old]), (doc, (old or "")[:60])
+
+
+def test_boundaries(spark):
+    rng = random.Random(1)
+    texts = ["\n".join(rng.choice(["", "a", "b", "c d", "e", "w " * 55, "x" * 200]) for _ in range(rng.randrange(1, 60))) for _ in range(80)]
+    found = linedup.with_chunks(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in found:
+        own, long = chunks(r["text"].split("\n"))
+        assert [(c["first"], c["last"]) for c in r["__chunks"]] == own
+        assert [c["long"] for c in r["__chunks"]] == [long[b] for _, b in own]
+
+
 def test_matches_brute_force(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = [(k, "\n".join([f"own line {k} {j}" for j in range(k % 4)] + PASSAGE + [f"end {k} {j}" for j in range(k % 3)])) for k in range(9)]
     rows += [(20, "one\n" + long + "\ntwo"), (21, long), (22, "x\n" + long), (23, None), (24, ""), (None, "\n".join(PASSAGE)), (25, "same\nlines"), (26, "only"), (27, "only")]
-    rows += [(30, "\n".join(PASSAGE * 3)), (31, "a\n" * 4000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text AS old", "1 AS n_lines", "2 AS hash", "3 AS first")
+    rows += [(30, "\n".join(PASSAGE * 3)), (31, "a\n" * 4000), (32, "\n\n\n"), (33, "p\n\n\nq"), (34, "r\n\n\ns")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "text AS old", "1 AS n_lines", "2 AS hash", "3 AS first", "4 AS lines", "5 AS at", "6 AS bytes")
     got = kept(linedup.dedupe(df))
-    want = brute(spark, rows)
-    for (doc, old), text in got.items():
-        if old is None:
-            assert text is None
-        else:
-            assert text == want[doc, old], (doc, old[:40])
     assert len(got) == len(rows)
+    check(got, rows)
     # the passage goes from all but one document, however lines before it shift it
     middle = PASSAGE[4:8]
     assert sum(all(m in t for m in middle) for (d, o), t in got.items() if t and d is not None and d < 9) == 1
     assert sum(long in t for t in got.values() if t) == 1
     assert got[27, "only"] == "only"  # single short lines stay
+    assert got[34, "r\n\n\ns"] == "r\n\n\ns"  # empty lines, too
+
+
+def test_random_texts_match_brute_force(spark):
+    rng = random.Random(2)
+    line = [" ".join(f"v{rng.randrange(99)}" for _ in range(rng.choice([1, 4, 20, 55]))) for _ in range(60)]
+    parts = [[rng.choice(line) for _ in range(rng.randrange(1, 9))] for _ in range(25)]
+    rows = [(k, "\n".join(x for _ in range(rng.randrange(1, 5)) for x in (rng.choice(parts) if rng.random() < 0.6 else [f"own {k} {rng.random()}"]))) for k in range(150)]
+    rows += rows[:5] + [(7, rows[9][1]), (None, rows[3][1])]
+    check(kept(linedup.dedupe(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "text AS old"))), rows)
+
+
+@pytest.mark.parametrize("words, least", [(4, 0.99), (30, 0.999)])
+def test_recall_of_passages(spark, words, least):
+    """Second copies of 12-line passages of a few words a line, or of 2 to 8 lines of 60 words and more in all, go wholly."""
+    rng, rows, held = random.Random(3), [], {}
+    for p in range(200):
+        n = 12 if words == 4 else 2 + p % 7
+        held[p] = [" ".join(f"p{p}l{k}w{j}" for j in range(words)) for k in range(n)]
+        for d in (2 * p, 2 * p + 1):
+            rows.append((d, "\n".join([f"own {d} before {k}" for k in range(rng.randrange(4))] + held[p] + [f"own {d} after {k}" for k in range(rng.randrange(3))])))
+    got = {r["doc_id"]: r for r in linedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()}
+    texts = dict(rows)
+    assert all(got[2 * p]["text"] == texts[2 * p] for p in held)
+    whole = sum(got[2 * p + 1]["text"] == "\n".join(x for x in texts[2 * p + 1].split("\n") if x not in held[p]) for p in held)
+    assert whole >= least * len(held)
+
+
+def test_one_line_repeated(spark):
+    rows = [(1, "x\n" + "again and again\n" * 200 + "y"), (2, "z\n" + "again and again\n" * 200 + "w"), (3, "again and again\n" * 150)]
+    got = {r["doc_id"]: r["text"] for r in linedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == rows[0][1]
+    assert got == {d: brute(rows)[d, t] for d, t in rows}
 
 
 def test_repeated_rows_lose_the_same(spark):
     rows = [(1, "\n".join(PASSAGE)), (1, "\n".join(PASSAGE)), (2, "\n".join(PASSAGE))]
-    out = linedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r["n_removed"] > 0 for r in out] == [False, False, True]
+    out = linedup.dedupe(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0, 0, 12]
 
 
 def test_whole_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    import hashlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
-    got = kept(linedup.dedupe(docs.withColumn("old", docs["text"])))
-    assert got == brute(spark, rows)
+    want = {d: hashlib.sha256(t.encode()).hexdigest() for (d, _), t in brute(rows).items()}
+    got = {r["doc_id"]: r["kept_sha256"] for r in linedup.op6_line_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want | {d: None for d, t in rows if t is None}
 
 
 def test_empty(spark):
-    assert linedup.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert linedup.dedupe(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_short_passages_between_other_lines(spark):
-    """Runs of 2 to 8 lines of under 50 words each and over 50 in all go from all but the first document."""
-    held, rows = {}, []
-    for p in range(70):
-        n = 2 + p % 7
-        held[p] = [" ".join(f"p{p}l{k}w{j}" for j in range(-(-56 // n))) for k in range(n)]
-        for d in (2 * p, 2 * p + 1):
-            rows.append((d, "\n".join([f"own {d} before {k}" for k in range(d % 4)] + held[p] + [f"own {d} after {k}" for k in range(d % 3)])))
-    short = ["some words only", "and some more"]
-    rows += [(200, "\n".join(["first"] + short)), (201, "\n".join(["second"] + short + ["end"])), (202, "a\n" * 200)]
-    rows += [(210, "\n".join(held[0] + ["x"] + held[1])), (211, held[2][0] + "\nbetween\n" + "\n".join(held[2][1:]))]
-    got = {r["doc_id"]: r for r in linedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
-    texts = dict(rows)
-    for p, lines in held.items():
-        assert got[2 * p]["text"] == texts[2 * p]
-        d = 2 * p + 1
-        assert got[d]["text"] == "\n".join(x for x in texts[d].split("\n") if x not in lines), p
-        assert got[d]["n_removed"] == len(lines)
-    assert got[210]["text"] == "x"
-    assert held[2][0] in got[211]["text"]  # its lines repeat, but not as a run of 50 words
-    assert got[202]["text"].count("a") >= linedup.PASSAGE_WORDS  # a run doesn't go for overlapping itself
+def test_own_names_are_refused(spark):
+    with pytest.raises(ValueError, match="__lines"):
+        linedup.dedupe(spark.createDataFrame([(1, "a", 2)], SCHEMA + ", __lines int"))
