@@ -14,13 +14,13 @@ are under the loss mask, kept as (start, length) spans in code points of the for
 Turns are ordered by turn (null first), then role, then text, so that repeated rows are turns like
 others and reruns agree. Null roles and texts are empty; unknown kinds and null parts are skipped; a
 null array of parts is an empty text. Rows of a null conv_id make one conversation. A conversation is
-one output row by definition, so its turns meet in one task after partial aggregation. Extra columns of
+one output row by definition, so its turns meet in one task. Extra columns of
 the input aren't read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What may follow ``<`` or ``[`` to make a control string of this or other common templates.
@@ -57,57 +57,41 @@ def _is_attachment(part: Column) -> Column:
     return part["kind"].isin(*TOKENS)
 
 
-def flatten(turns: Column) -> Column:
-    """Turns with ``body`` (escaped text and placeholders) and ``attachments``, numbered through the conversation."""
+def _known(parts: Column) -> Column:
+    return F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p["kind"].isNotNull() & (_is_attachment(p) | (p["kind"] == "text")))
 
-    def one(state: Column, turn: Column) -> Column:
-        """state: first (number of the next attachment), out (turns so far)."""
-        parts = F.filter(F.coalesce(turn["parts"], F.array().cast(PARTS)), lambda p: p["kind"].isNotNull() & (_is_attachment(p) | (p["kind"] == "text")))
-        attached = F.filter(parts, _is_attachment)
-        body = F.aggregate(  # raw: neighbouring texts, which are escaped as one
-            parts,
-            F.struct(F.lit("").alias("text"), F.lit("").alias("raw"), state["first"].alias("n")),
-            lambda a, p: F.when(p["kind"] == "text", F.struct(a["text"].alias("text"), F.concat(a["raw"], F.coalesce(p["text"], F.lit(""))).alias("raw"), a["n"].alias("n"))).otherwise(
-                F.struct(F.concat(a["text"], escape(a["raw"]), F.lit("<|"), p["kind"], F.lit(":"), a["n"].cast("string"), F.lit("|>")).alias("text"), F.lit("").alias("raw"), (a["n"] + 1).alias("n"))
-            ),
-            lambda a: F.concat(a["text"], escape(a["raw"])),
-        )
-        notes = F.transform(attached, lambda p, k: F.struct((state["first"] + k).alias("number"), p["kind"].alias("kind"), p["uri"].alias("uri"), part_tokens(p).alias("tokens")))
-        done = F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), body.alias("body"), notes.alias("attachments"))
-        return F.struct((state["first"] + F.size(attached)).alias("first"), F.concat(state["out"], F.array(done)).alias("out"))
 
-    kind = "array<struct<turn:bigint,role:string,body:string,attachments:array<struct<number:int,kind:string,uri:string,tokens:bigint>>>>"
-    return F.aggregate(turns, F.struct(F.lit(0).alias("first"), F.array().cast(kind).alias("out")), one, lambda s: s["out"])
-
-
-def _text_only(turns: Column) -> Column:
-    """:func:`flatten` of turns whose parts are texts: nothing is numbered, so no state is carried."""
-    none = F.array().cast("array<struct<number:int,kind:string,uri:string,tokens:bigint>>")
-    texts = lambda t: escape(F.array_join(F.transform(F.filter(F.coalesce(t["parts"], F.array().cast(PARTS)), lambda p: p["kind"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), ""))
-    return F.transform(turns, lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), texts(t).alias("body"), none.alias("attachments")))
+def flatten(parts: Column, first: Column) -> tuple[Column, Column]:
+    """A turn's body (escaped text and placeholders) and its attachments, numbered from ``first`` on."""
+    parts = _known(parts)
+    nothing = F.struct(F.lit("").alias("text"), F.lit("").alias("raw"), first.cast("int").alias("n"))  # raw: neighbouring texts, which are escaped as one
+    text = lambda a, p: F.struct(a["text"].alias("text"), F.concat(a["raw"], F.coalesce(p["text"], F.lit(""))).alias("raw"), a["n"].alias("n"))
+    other = lambda a, p: F.struct(F.concat(a["text"], escape(a["raw"]), F.lit("<|"), p["kind"], F.lit(":"), a["n"].cast("string"), F.lit("|>")).alias("text"), F.lit("").alias("raw"), (a["n"] + 1).alias("n"))
+    body = F.aggregate(parts, nothing, lambda a, p: F.when(p["kind"] == "text", text(a, p)).otherwise(other(a, p)), lambda a: F.concat(a["text"], escape(a["raw"])))
+    notes = F.transform(F.filter(parts, _is_attachment), lambda p, k: F.struct((first + k).cast("int").alias("number"), p["kind"].alias("kind"), p["uri"].alias("uri"), part_tokens(p).alias("tokens")))
+    return body, notes
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
-    """``messages`` (conv_id, turn, role, parts) to conv_id, formatted, loss_spans, attachments, tokens of attachments."""
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.col("parts").cast(PARTS).alias("parts"))
-    grouped = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    plain = ~F.exists("turns", lambda t: F.exists(F.coalesce(t["parts"], F.array().cast(PARTS)), _is_attachment))
-    flat = grouped.select("conv_id", F.when(plain, _text_only(F.col("turns"))).otherwise(flatten(F.col("turns"))).alias("turns"))
-    piece = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY), t["body"], F.lit(END))
-    pieces = flat.select(
-        "conv_id",
-        F.transform("turns", piece).alias("pieces"),
-        F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), (F.length(piece(t))).alias("chars"), (F.length(escape(t["role"])) + len(TURN) + len(BODY)).alias("head"), F.length(t["body"]).alias("body"))).alias("lengths"),
-        F.flatten(F.transform("turns", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["turn"].alias("turn"), a["number"].alias("number"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["tokens"].alias("tokens"))))).alias("attachments"),
-    )
-    spans = F.aggregate(
-        "lengths",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x["chars"]).alias("at"), F.when(x["loss"], F.concat(s["out"], F.array(F.struct((s["at"] + x["head"]).alias("start"), x["body"].alias("length"))))).otherwise(s["out"]).alias("out")),
-        lambda s: s["out"],
-    )
-    expanded = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    return pieces.select("conv_id", F.array_join("pieces", "").alias("formatted"), spans.alias("loss_spans"), "attachments", expanded.alias("attachment_tokens"))
+    """``messages`` (conv_id, turn, role, parts) to conv_id, formatted, loss_spans, attachments, tokens of attachments.
+
+    Numbers of attachments and places of spans are running sums over a conversation's turns, so the work
+    is linear in them; the rows are grouped where they are already."""
+    turns = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.col("parts").cast(PARTS).alias("parts"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = turns.withColumns({"at": F.row_number().over(order), "first": before(F.size(F.filter(_known(F.col("parts")), _is_attachment)))})
+    body, notes = flatten(F.col("parts"), F.col("first"))
+    pieces = placed.select("conv_id", "turn", "role", "parts", "at", body.alias("body"), notes.alias("notes"))
+    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
+    pieces = pieces.select("conv_id", "turn", "role", "at", "notes", F.concat(head, "body", F.lit(END)).alias("piece"), F.length(head).alias("head"), F.length("body").alias("length"))
+    by_place = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.col("head") + F.col("length") + len(END)).over(by_place), F.lit(0)) + F.col("head")
+    notes = F.transform("notes", lambda a: F.struct(F.col("turn").alias("turn"), a["number"].alias("number"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["tokens"].alias("tokens")))
+    rows = pieces.select("conv_id", F.struct("at", "piece", F.when(F.col("role") == "assistant", F.struct(begin.cast("int").alias("start"), "length")).alias("span"), notes.alias("notes")).alias("row"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    attachments = F.flatten("rows.notes")
+    return grouped.select("conv_id", F.array_join("rows.piece", "").alias("formatted"), F.array_compact("rows.span").alias("loss_spans"), attachments.alias("attachments"), F.aggregate(attachments["tokens"], F.lit(0).cast("long"), lambda a, x: a + x).alias("attachment_tokens"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

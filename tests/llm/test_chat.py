@@ -59,3 +59,21 @@ def test_typed_parts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], f"conv_id long, turn long, role string, parts {chat.PARTS}")
     assert chat.read_back(chat.format_chats(df)).count() == 0
+
+
+def test_long_conversation_with_attachments(spark):
+    """Numbers and spans over 5,000 turns, in less than three times the time of texts alone."""
+    import time
+
+    seconds = {}
+    for kind in ("text", "image"):
+        part = f"array(named_struct('kind', 'text', 'text', concat('say <|', id), 'uri', cast(null AS string), 'units', cast(null AS double)), named_struct('kind', '{kind}', 'text', '', 'uri', concat('u', id), 'units', 784D))"
+        df = spark.range(5000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", f"{part} AS parts")
+        chat.format_chats(df.where("turn < 10")).collect()
+        began = time.time()
+        one = chat.format_chats(df).first()
+        seconds[kind] = time.time() - began
+        spans = [one["formatted"][s["start"] : s["start"] + s["length"]] for s in one["loss_spans"]]
+        assert spans == [f"say <\\|{k}" + (f"<|image:{k}|>" if kind == "image" else "") for k in range(1, 5000, 2)]
+        assert [(a["turn"], a["number"], a["uri"]) for a in one["attachments"]] == ([(k, k, f"u{k}") for k in range(5000)] if kind == "image" else [])
+    assert seconds["image"] < 3 * seconds["text"] + 2
