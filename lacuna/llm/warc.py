@@ -9,7 +9,7 @@ digests, which is counted first, may be broadcast; beyond that they are joined b
 that a hot host is split. A range is a shard: a file of compressed blocks of ``BLOCK_LINES`` lines and
 a sparse directory of the blocks' first keys. :func:`locate` finds a key's shard in the list of shards
 (one entry a task), binary-searches the shard's directory and reads only the block's range;
-:func:`fetch` reads the records' ranges, file by file.
+:func:`fetch` reads the records, by ranges of files of about equal bytes.
 
 Files are named anew by each attempt, and the tables of captures and shards, committed by Spark, list
 those that count: a lost executor or a second attempt leaves at most files that nobody reads. All
@@ -39,7 +39,10 @@ from pyspark.sql import functions as F
 from .storage import fits_broadcast, lean, materialize, new_path
 
 BLOCK_LINES = 3000
+SHARD_BLOCKS = 4
 FILE_BYTES = 1 << 30
+#: Compressed bytes of records that a task reads, and tasks at most (each reads more then, record by record).
+READ_BYTES, MOST_TASKS = 4 << 20, 20_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -147,6 +150,10 @@ def _make(root: str) -> None:
     store.create_dir(folder, recursive=True)
 
 
+def _tasks(total: int, share: int) -> int:
+    return min(max(-(-total // share), 1), MOST_TASKS)
+
+
 def _line(key: str, page_id: int | None, file: str, offset: int, length: int) -> str:
     return f"{key} {'' if page_id is None else page_id} {file} {offset} {length}\n"
 
@@ -187,7 +194,7 @@ def write_index(captures: DataFrame, root: str, lines: int = BLOCK_LINES) -> Dat
                 directory.write("".join(f"{k} {'' if p is None else p} {a} {n}\n" for k, p, a, n in firsts).encode())
             yield pa.RecordBatch.from_pylist([{"key": firsts[0][0], "page_id": firsts[0][1], "name": name, "blocks": len(firsts), "lines": total}], schema=shards)
 
-    ordered = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    ordered = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange(_tasks(captures.count(), SHARD_BLOCKS * lines), "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     return materialize(ordered.mapInArrow(lean(run), "key string, page_id long, name string, blocks long, lines long"), "warc-shards")
 
 
@@ -252,7 +259,7 @@ def locate(wanted: DataFrame, shards: DataFrame, root: str) -> DataFrame:
 
     distinct = wanted.select("url", F.col("page_id").cast("long")).distinct()
     placed = distinct.mapInArrow(lean(place), "key string, page_id long, shard int").distinct()
-    by_shard = placed.repartition("shard").sortWithinPartitions("shard", "key", "page_id")
+    by_shard = placed.repartition(max(len(names), 1), "shard").sortWithinPartitions("shard", "key", "page_id")
     return by_shard.mapInArrow(lean(look), CAPTURES)
 
 
@@ -260,7 +267,9 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def fetch(captures: DataFrame, root: str) -> DataFrame:
-    """What the located records say; a response's payload is checked against its digest and length."""
+    """What the located records say; a response's payload is checked against its digest and length.
+
+    Ranges of ``READ_BYTES`` of a file are dealt out, so that as many tasks read as the records' bytes ask for."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +288,10 @@ def fetch(captures: DataFrame, root: str) -> DataFrame:
                 rows.append((_page(fields["WARC-Record-ID"]), int(http["Content-Length"]), digest, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if revisit else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
 
-    by_file = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return by_file.mapInArrow(lean(run), RECORDS)
+    captures = materialize(captures.select("file", "offset", "length"), "warc-located")
+    tasks = _tasks(captures.agg(F.sum("length")).first()[0] or 0, READ_BYTES)
+    by_range = captures.repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    return by_range.mapInArrow(lean(run), RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

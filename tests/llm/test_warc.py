@@ -83,3 +83,17 @@ def test_url_keys():
 def test_empty(spark):
     _, _, _, out = run(spark, [])
     assert out.count() == 0
+
+
+def test_reads_are_dealt_by_bytes(spark, monkeypatch, tmp_path):
+    """Many small ranges of few files go to many tasks, and every record comes back once."""
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('http://h', id % 5, '.example/p/', id) AS url", "concat('page ', repeat(md5(string(id)), 20)) AS html").coalesce(1)
+    root = f"file://{tmp_path}/warc"
+    captures = warc.write_archives(pages, root)
+    shards = warc.write_index(captures, root, 7)
+    assert shards.count() > 5
+    found = warc.fetch(warc.locate(pages, shards, root), root)
+    assert found.rdd.getNumPartitions() > 10
+    assert sorted(r["page_id"] for r in found.collect()) == list(range(300))
