@@ -16,8 +16,9 @@ those sequences, over all passages of the corpus (``PASSAGE`` words):
    paraphrases reach, it is one if the item's answer (its last sentence) is there too: at least
    ``ANSWER`` of the answer's words in the window.
 
-The benchmark is a fixed set beside the corpus: items are handled in blocks of ``ITEM_BLOCK``, so that
-what the driver and the tasks hold has a bound.
+The benchmark is a fixed set beside the corpus: items are handled in blocks of at most ``BLOCK_WORDS``
+words, which bounds the vocabulary and with it what the driver and the tasks hold (a longer item is a
+block of its own). Each block reads the corpus once.
 
 Null and empty texts, and items without words, match nothing. An item of fewer than ``LEAST`` words is
 only found whole and in one run. Repeated rows are judged each; null ids stay null. Long texts are
@@ -43,7 +44,8 @@ RANK, OVERSAMPLE = 192, 16
 COSINE = 0.45
 LCS_SURE, LCS_LIKELY, ANSWER = 0.75, 0.6, 0.7
 LEAST = 5
-ITEM_BLOCK = 20_000
+#: Words of the items that are handled together: their terms times RANK + OVERSAMPLE floats are 83 MB at most.
+BLOCK_WORDS = 100_000
 SEED = 5
 _HALF = PASSAGE // 2
 
@@ -118,6 +120,7 @@ def _pieces(terms: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
 def term_counts(table: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """In how many passages each term is, and the number of passages."""
     size, width = len(items.vocabulary), items.width
+    block = max((4 << 20) // (size + 1), 1)  # passages looked at together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(size + 1, np.int64), 0
@@ -125,8 +128,11 @@ def term_counts(table: DataFrame, items: Items) -> tuple[np.ndarray, int]:
             piece, first = _pieces(terms, bounds, PASSAGE)
             total += int(first[-1])
             known = terms > 0
-            if known.any():
-                counts += np.bincount(np.unique(piece[known] * (size + 1) + terms[known]) % (size + 1), minlength=size + 1)
+            for a in range(0, int(first[-1]) if known.any() else 0, block):
+                lo, hi = np.searchsorted(piece, [a, a + block])
+                there = np.zeros((min(block, int(first[-1]) - a), size + 1), bool)
+                there[piece[lo:hi] - a, terms[lo:hi]] = True
+                counts[1:] += there[:, 1:].sum(0)
         counts[0] = total
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["term", "n"])
@@ -146,16 +152,20 @@ def _weights(counts: np.ndarray, total: int) -> np.ndarray:
     return np.concatenate([[0], np.maximum(idf, FLOOR * np.log(2 + total))]).astype(np.float32)
 
 
-def _sums(piece: np.ndarray, terms: np.ndarray, weights: np.ndarray, factor: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted sums of the terms' rows of ``factor`` by piece; which words have weight; squared TF-IDF lengths."""
+def _weighted(factor: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return (factor * weights[:, None]).astype(np.float32)
+
+
+def _sums(piece: np.ndarray, terms: np.ndarray, weights: np.ndarray, weighted: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the terms' rows of ``weighted`` by piece; which words have weight; squared TF-IDF lengths."""
     own = np.flatnonzero(weights[terms] > 0)
-    out, size = np.zeros((pieces, factor.shape[1]), np.float32), np.zeros(pieces)
+    out, size = np.zeros((pieces, weighted.shape[1]), np.float32), np.zeros(pieces)
     if len(own):
         p, t = piece[own], terms[own]
         begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        for a in range(0, len(begin), 512):  # the gathered rows stay few
-            lo, hi = begin[a], begin[a + 512] if a + 512 < len(begin) else len(t)
-            out[p[begin[a : a + 512]]] = np.add.reduceat(factor[t[lo:hi]] * weights[t[lo:hi], None], begin[a : a + 512] - lo, axis=0)
+        for a in range(0, len(begin), 128):  # the gathered rows stay few
+            lo, hi = begin[a], begin[a + 128] if a + 128 < len(begin) else len(t)
+            out[p[begin[a : a + 128]]] = np.add.reduceat(np.take(weighted, t[lo:hi], axis=0), begin[a : a + 128] - lo, axis=0)
         size = np.bincount(p, weights[t].astype(float) ** 2, pieces)
     return out, own, size
 
@@ -166,21 +176,22 @@ def factorise(table: DataFrame, items: Items, weights: np.ndarray, passages: int
     columns = min(rank + oversample, size)
     random = np.random.default_rng(SEED).normal(size=(size + 1, columns)).astype(np.float32)
     random[0] = 0
+    weighted = _weighted(random, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size + 1, columns))
         for _, terms, bounds in _parts(batches, width):
             piece, first = _pieces(terms, bounds, PASSAGE)
-            projected, own, norm = _sums(piece, terms, weights, random, int(first[-1]))
+            projected, own, norm = _sums(piece, terms, weights, weighted, int(first[-1]))
             if not len(own):
                 continue
             projected /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)  # rows of A have length 1, on both sides
-            order = own[np.argsort(terms[own], kind="stable")]
+            order = own[np.argsort(terms[own].astype(width), kind="stable")]
             t = terms[order]
             begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             for a in range(0, len(begin), 256):  # the gathered rows stay few
                 lo, hi = begin[a], begin[a + 256] if a + 256 < len(begin) else len(t)
-                total[t[begin[a : a + 256]]] += np.add.reduceat(projected[piece[order[lo:hi]]], begin[a : a + 256] - lo, axis=0)
+                total[t[begin[a : a + 256]]] += np.add.reduceat(np.take(projected, piece[order[lo:hi]], axis=0), begin[a : a + 256] - lo, axis=0)
         total *= weights[:, None]
         there = np.flatnonzero(np.abs(total).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(total[there, c].astype(np.float32)) for c in range(columns)]], names=["term", *[f"c{c}" for c in range(columns)]])
@@ -195,7 +206,7 @@ def factorise(table: DataFrame, items: Items, weights: np.ndarray, passages: int
     if len(items.sequences):  # item passages are rows too, and weigh as much as the corpus
         own = np.concatenate(items.sequences)
         piece, first = _pieces(own, np.concatenate([[0], np.cumsum([len(x) for x in items.sequences])]), PASSAGE)
-        projected, held, norm = _sums(piece, own, weights, random, int(first[-1]))
+        projected, held, norm = _sums(piece, own, weights, weighted, int(first[-1]))
         projected /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)
         share = np.zeros_like(y)
         np.add.at(share, own[held], projected[piece[held]] * weights[own[held], None])
@@ -258,7 +269,8 @@ def search(table: DataFrame, items: Items, weights: np.ndarray, factor: np.ndarr
     bounds_i = np.concatenate([[0], np.cumsum(lengths)])
     terms_i = np.concatenate(items.sequences)
     piece, first = _pieces(terms_i, bounds_i, _HALF)
-    probes, begin = _windows(_sums(piece, terms_i, weights, factor, int(first[-1]))[0], first)
+    weighted = _weighted(factor, weights)
+    probes, begin = _windows(_sums(piece, terms_i, weights, weighted, int(first[-1]))[0], first)
     owner = np.searchsorted(first, begin, "right") - 1
     offset = (begin - first[owner]) * _HALF
     short = [k for k in range(len(lengths)) if lengths[k] < LEAST or k not in set(owner.tolist())]  # no weighted term or few words: sought as they are
@@ -268,7 +280,7 @@ def search(table: DataFrame, items: Items, weights: np.ndarray, factor: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, terms, bounds in _parts(batches, width):
             piece, first = _pieces(terms, bounds, _HALF)
-            vectors, at = _windows(_sums(piece, terms, weights, factor, int(first[-1]))[0], first) if len(terms) else (factor[:0], np.zeros(0, np.int64))
+            vectors, at = _windows(_sums(piece, terms, weights, weighted, int(first[-1]))[0], first) if len(terms) else (factor[:0], np.zeros(0, np.int64))
             best: dict[tuple[int, int], tuple] = {}
             for a in range(0, len(vectors), 4096):
                 window, probe = np.nonzero(vectors[a : a + 4096] @ probes.T >= COSINE) if len(probes) else ((), ())
@@ -307,10 +319,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
     Columns: the key, item_id, lcs_share, answer_share, word (where the window begins)."""
     spark = docs.sparkSession
     result = spark.createDataFrame([], f"{key} long, item_id long, lcs_share double, answer_share double, word long")
-    blocks = -(-benchmark.count() // ITEM_BLOCK)
-    numbered = benchmark.select(F.col("item_id").cast("long"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1))).alias("block"))
+    size = F.size(F.split("text", "[^0-9A-Za-z\\u0080-\\uffff]+")).cast("long")
+    numbered = materialize(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), F.coalesce(size, F.lit(0).cast("long")).alias("words")), "benchmark")
+    total = numbered.agg(F.sum("words")).first()[0] or 0
+    blocks = max(-(-2 * total // BLOCK_WORDS), 1) if total > BLOCK_WORDS else 1  # half full on average, so that none is over
     for b in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == b).orderBy("item_id", "text").collect()]
+        own = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]
         items = Items.of(rows)
         if not items.ids:
             continue
@@ -321,6 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
         release(table)
         names = F.broadcast(spark.createDataFrame(list(enumerate(items.ids)), "item long, item_id long"))
         result = result.unionByName(found.join(names, "item").select(F.col("key").alias(key), "item_id", F.col("share").alias("lcs_share"), F.col("answer").alias("answer_share"), "word"))
+    release(numbered)
     return result
 
 
