@@ -77,19 +77,23 @@ def forest(settings: Settings) -> InitialisedForest:
     return InitialisedForest(settings)
 
 
+def seed_model(panel: DataFrame, start, end, settings: Settings) -> IterativeForestModel:
+    return settings.once(f"seed {start} {end}", lambda: forest(settings).fit(panels.between(panel, start, end)))
+
+
 def seed_only(panel: DataFrame, start, end, settings: Settings) -> DataFrame:
     """Fit on the seed block, fill all days outside of it."""
-    return forest(settings).fit(panels.between(panel, start, end)).transform(panels.outside(panel, start, end))
+    return seed_model(panel, start, end, settings).transform(panels.outside(panel, start, end))
 
 
 def chaining(panel: DataFrame, start, end, years: int, settings: Settings) -> DataFrame:
     """Each block is filled by a model of only the block before it, first backward, then forward from the seed again."""
     first, last = _ends(panel)
-    seed_model = forest(settings).fit(panels.between(panel, start, end))
-    out = [seed_model.transform(panels.between(panel, start, end))]
+    of_seed = seed_model(panel, start, end, settings)
+    out = [of_seed.transform(panels.between(panel, start, end))]
     blocks = plan(first, last, start, end, window_days(years))
     for direction in ("backward", "forward"):
-        model, own = seed_model, [b for b in blocks if b.direction == direction]
+        model, own = of_seed, [b for b in blocks if b.direction == direction]
         for k, b in enumerate(own):
             part = panels.between(panel, b.start, b.end)
             if part.isEmpty():
@@ -103,7 +107,7 @@ def chaining(panel: DataFrame, start, end, years: int, settings: Settings) -> Da
 def expanding(panel: DataFrame, start, end, years: int, settings: Settings) -> DataFrame:
     """Each round fits one model on everything filled so far and fills a block on either side."""
     first, last = _ends(panel)
-    out = [forest(settings).fit(panels.between(panel, start, end)).transform(panels.between(panel, start, end))]
+    out = [seed_model(panel, start, end, settings).transform(panels.between(panel, start, end))]
     blocks = plan(first, last, start, end, window_days(years))
     for step in range(1, max((b.step for b in blocks), default=0) + 1):
         model = forest(settings).fit(_as_panel(_union(out)))
@@ -152,7 +156,7 @@ def load(path: str, parent: IterativeForest) -> IterativeForestModel:
 def fit_cached(parent: IterativeForest, panel: DataFrame, folder: str) -> IterativeForestModel:
     """Fit, or load what an equal fit saved: equal kind, settings and readings."""
     s = parent.settings
-    plain = {k: v for k, v in vars(s).items() if k not in ("distances", "connectivity", "weights")}
+    plain = {k: v for k, v in vars(s).items() if k not in ("distances", "connectivity", "weights", "fits", "parallelism")}
     tables = [t for t in (s.distances, s.connectivity) if t is not None] + [panel.select("station", "date", "value")]
     sums = [t.agg(F.count("*"), F.sum(F.xxhash64(*t.columns) % 1_000_000_007)).first() for t in tables]
     path = f"{folder}/{hashlib.md5(repr((type(parent).__name__, sorted(plain.items()), [tuple(x) for x in sums])).encode()).hexdigest()}"

@@ -1,22 +1,29 @@
 """Iterative forests on MLlib: weighted, with a chosen start, vanilla, and chained equations.
 
 A panel is turned wide once (stations are few, days are rows). Each step fits a forest for one station on
-the others and on calendar features, predicts its missing cells, and the next station sees the result.
-Every step is checkpointed, so that plans don't grow. Weights are computed once.
+the others and on calendar features and predicts its missing cells. With ``update="gauss_seidel"`` the
+next station sees the result; with ``"jacobi"`` all stations of a pass are fitted side by side, by
+``parallelism`` threads, on what the pass before left, and predicted by one job. Steps are written to the
+shared folder, so that plans don't grow, and the ones before are deleted. Weights are computed once.
+
+Settings are also ``Param``s of the estimators, so that ``copy``, ``setParams`` and tuning work.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_of_year_cos, day_of_year_sin
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import cut, forget
 from . import fills, spatial
 
 CALENDAR = ("day_of_year_sin", "day_of_year_cos")
@@ -38,8 +45,20 @@ class Settings:
     initialization_method: str = "column_mean"
     tolerance: float = 1e-6
     subset: str = "sqrt"
+    update: str = "gauss_seidel"
+    parallelism: int = 8
     #: stations' weights by target
     weights: dict[str, dict[str, float]] | None = field(default=None, repr=False)
+    #: models of equal fits, where a run keeps them
+    fits: dict[str, object] | None = field(default=None, repr=False)
+
+    def once(self, name: str, fit):
+        """``fit()``, or what an equal fit of this run gave."""
+        if self.fits is None:
+            return fit()
+        if name not in self.fits:
+            self.fits[name] = fit()
+        return self.fits[name]
 
     @property
     def vanilla(self) -> bool:
@@ -88,9 +107,33 @@ class IterativeForest(Estimator):
 
     backward, known_only, norm = True, True, "l2"
 
+    max_iter = Param(Params._dummy(), "max_iter", "passes at most", TypeConverters.toInt)
+    n_estimators = Param(Params._dummy(), "n_estimators", "trees of a forest", TypeConverters.toInt)
+    random_state = Param(Params._dummy(), "random_state", "seed of the forests", TypeConverters.toInt)
+    max_depth = Param(Params._dummy(), "max_depth", "depth of a tree at most", TypeConverters.toInt)
+    max_bins = Param(Params._dummy(), "max_bins", "bins of a feature", TypeConverters.toInt)
+    subset = Param(Params._dummy(), "subset", "features a split looks at", TypeConverters.toString)
+    distance_weighting_type = Param(Params._dummy(), "distance_weighting_type", "inverse or exponential", TypeConverters.toString)
+    decay_rate = Param(Params._dummy(), "decay_rate", "of exponential weights", TypeConverters.toFloat)
+    initialization_method = Param(Params._dummy(), "initialization_method", "fill to start from", TypeConverters.toString)
+    tolerance = Param(Params._dummy(), "tolerance", "change that ends the passes", TypeConverters.toFloat)
+    update = Param(Params._dummy(), "update", "gauss_seidel or jacobi", TypeConverters.toString)
+    parallelism = Param(Params._dummy(), "parallelism", "stations fitted side by side", TypeConverters.toInt)
+
     def __init__(self, settings: Settings | None = None, **options):
         super().__init__()
-        self.settings = settings or Settings(**options)
+        self._settings = settings or Settings(**options)
+        self._set(**{p.name: getattr(self._settings, p.name) for p in self.params})
+
+    def setParams(self, **options) -> "IterativeForest":
+        return self._set(**options)
+
+    @property
+    def settings(self) -> Settings:
+        now = {p.name: self.getOrDefault(p) for p in self.params}
+        if any(getattr(self._settings, k) != v for k, v in now.items()):
+            self._settings = replace(self._settings, weights=None, **now)
+        return self._settings
 
     # -- what kinds of forests differ in
 
@@ -112,9 +155,9 @@ class IterativeForest(Estimator):
 
     # -- the algorithm
 
-    def _assemble(self, df: DataFrame, features: list[Column]) -> DataFrame:
+    def _assemble(self, df: DataFrame, features: list[Column], k: int) -> DataFrame:
         names = [f"f{j}" for j in range(len(features))]
-        return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(df.withColumns(dict(zip(names, features)))).drop(*names)
+        return VectorAssembler(inputCols=names, outputCol=f"x{k}", handleInvalid="keep").transform(df.withColumns(dict(zip(names, features)))).drop(*names)
 
     def _fit_column(self, wide: Wide, k: int):
         s = self.settings
@@ -122,18 +165,27 @@ class IterativeForest(Estimator):
         if features is None:
             return None
         rows = wide.df.where(f"NOT m{k}") if self.known_only else wide.df
-        rows = self._assemble(rows.where(F.col(f"v{k}").isNotNull()), features).select("features", F.col(f"v{k}").alias("label"))
+        rows = self._assemble(rows.where(F.col(f"v{k}").isNotNull()), features, k).select(f"x{k}", F.col(f"v{k}").alias("label"))
         if rows.isEmpty():
             return None
-        forest = RandomForestRegressor(numTrees=s.n_estimators, seed=s.random_state, maxDepth=s.max_depth, maxBins=s.max_bins, featureSubsetStrategy=s.subset)
+        forest = RandomForestRegressor(featuresCol=f"x{k}", predictionCol=f"p{k}", numTrees=s.n_estimators, seed=s.random_state, maxDepth=s.max_depth, maxBins=s.max_bins, featureSubsetStrategy=s.subset)
         return forest.fit(rows)
 
-    def _predict_column(self, wide: Wide, k: int, model) -> None:
-        features = self.features(k, wide.n, wide.stations)
-        if model is None or features is None:
-            return
-        out = model.transform(self._assemble(wide.df, features))
-        wide.df = cut(out.withColumn(f"v{k}", F.when(F.col(f"m{k}"), F.col("prediction")).otherwise(F.col(f"v{k}"))).drop("features", "prediction"))
+    def _predict(self, wide: Wide, models: dict[int, object], keep: DataFrame | None = None) -> None:
+        """New values of the models' stations, all from the values that are there; ``keep`` is still needed."""
+        parts = []
+        for k, model in models.items():
+            features = self.features(k, wide.n, wide.stations)
+            if model is not None and features is not None:
+                own = self._assemble(wide.df.where(f"m{k}"), features, k)
+                parts.append(model.transform(own).select("date", F.lit(k).alias("k"), F.col(f"p{k}").alias("p")))
+        if parts:  # a branch a station, side by side: one job, and plans that don't nest
+            done = [k for k, model in models.items() if model is not None]
+            found = reduce(DataFrame.unionByName, parts).groupBy("date").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{k}") for k in done])
+            joined = wide.df.join(found, "date", "left").withColumns({f"v{k}": F.when(F.col(f"m{k}"), F.coalesce(f"p{k}", f"v{k}")).otherwise(F.col(f"v{k}")) for k in done})
+            old, wide.df = wide.df, cut(joined.select(wide.df.columns).coalesce(2))
+            if old is not keep:
+                forget(old)
 
     def _change(self, wide: Wide, before: DataFrame) -> float:
         old = before.select("date", *[F.col(f"v{k}").alias(f"p{k}") for k in range(wide.n)])
@@ -143,13 +195,29 @@ class IterativeForest(Estimator):
             return wide.df.join(old, "date").agg(F.sqrt(total)).first()[0]
         return wide.df.join(old, "date").agg(F.greatest(*[F.coalesce(F.max(m), F.lit(0.0)) for m in moved], F.lit(0.0))).first()[0]
 
-    def _rounds(self, wide: Wide, step) -> None:
-        order = self.order(wide.missing())
+    def _fit_all(self, wide: Wide) -> dict[int, object]:
+        with ThreadPoolExecutor(self.settings.parallelism) as pool:
+            return dict(enumerate(pool.map(lambda k: self._fit_column(wide, k), range(wide.n))))
+
+    def _rounds(self, wide: Wide, models: dict[int, object], refit: bool) -> None:
+        """Passes until nothing moves: models are fitted anew (``refit``), or replayed for stations that miss something."""
+        missing = wide.missing()
+        order = [k for k in self.order(missing) if refit or missing[k]]
         for _ in range(self.settings.max_iter):
             before = wide.df
-            for k in order + (order[::-1] if self.backward else []):
-                step(k)
-            if self._change(wide, before) < self.settings.tolerance:
+            if self.settings.update == "jacobi":
+                if refit:
+                    models.update(self._fit_all(wide))
+                self._predict(wide, {k: models.get(k) for k in order}, before)
+            else:
+                for k in order + (order[::-1] if self.backward else []):
+                    if refit:
+                        models[k] = self._fit_column(wide, k)
+                    self._predict(wide, {k: models.get(k)}, before)
+            change = self._change(wide, before)
+            if before is not wide.df:
+                forget(before)
+            if change < self.settings.tolerance:
                 break
 
     def _fit(self, panel: DataFrame) -> "IterativeForestModel":
@@ -157,16 +225,11 @@ class IterativeForest(Estimator):
         means = {r["station"]: r["m"] for r in panel.groupBy("station").agg(F.avg("value").alias("m")).collect()}
         wide = Wide(panel, stations, self.start(panel), means)
         models: dict[int, object] = {}
-
-        def step(k: int) -> None:
-            models[k] = self._fit_column(wide, k)
-            self._predict_column(wide, k, models[k])
-
-        if not any(wide.missing()):
-            for k in range(wide.n):
-                models[k] = self._fit_column(wide, k)
+        if any(wide.missing()):
+            self._rounds(wide, models, True)
         else:
-            self._rounds(wide, step)
+            models = self._fit_all(wide)
+        forget(wide.df)
         return IterativeForestModel(self, stations, means, models)
 
 
@@ -180,9 +243,8 @@ class IterativeForestModel(Model):
     def _transform(self, panel: DataFrame) -> DataFrame:
         forest = self.forest
         wide = Wide(panel, self.stations, forest.start(panel), self.means)
-        missing = wide.missing()
-        if any(missing):
-            forest._rounds(wide, lambda k: forest._predict_column(wide, k, self.models.get(k)) if missing[k] else None)
+        if any(wide.missing()):
+            forest._rounds(wide, self.models, False)
         return wide.long()
 
 

@@ -31,6 +31,12 @@ def keep_known(edges: DataFrame, stations: DataFrame) -> DataFrame:
     return edges.join(known, "station", "left_semi").join(known.withColumnRenamed("station", "contributor"), "contributor", "left_semi").select("station", "contributor")
 
 
+def first_of_each(table: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row a key, the first by ``order`` (null last): the same on every run."""
+    by = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return table.withColumn("__row", F.row_number().over(by)).where("__row = 1").drop("__row")
+
+
 def _pairs(stations: DataFrame) -> DataFrame:
     one = stations.select(F.col("station").alias("target")).distinct()
     return one.crossJoin(one.withColumnRenamed("target", "predictor"))
@@ -38,7 +44,8 @@ def _pairs(stations: DataFrame) -> DataFrame:
 
 def distances(stations: DataFrame, coordinates: DataFrame) -> DataFrame:
     """(target, predictor, km) of all pairs; 0 on the diagonal, null for unknown places. Each pair is computed once."""
-    place = coordinates.select("station", "latitude", "longitude").dropDuplicates(["station"])
+    place = coordinates.select("station", "latitude", "longitude")
+    place = first_of_each(place, "station", "latitude", "longitude")
     here = lambda side: place.select(F.col("station").alias(side), F.col("latitude").alias(f"lat_{side}"), F.col("longitude").alias(f"lon_{side}"))
     half = _pairs(stations).where("target < predictor").join(here("target"), "target", "left").join(here("predictor"), "predictor", "left")
     known = half.select("target", "predictor", geodesic_km(*[F.col(c) for c in ("lat_target", "lon_target", "lat_predictor", "lon_predictor")]).alias("km"))

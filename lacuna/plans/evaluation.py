@@ -13,7 +13,7 @@ from ..operators import panel as panels
 from ..operators.forest import ChainedForest, IterativeForest, Settings
 from ..operators.kalman import kalman_fill_outside
 from ..operators.knn import knn_fill
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import cut, forget
 
 GAP_LENGTHS, PERCENT, SEED_YEARS = (3, 7, 30, 100), 10.0, 3
 #: name: function(seed, gapped panel outside of it, whole gapped panel, seed's ends, settings) to (station, date, filled)
@@ -39,7 +39,7 @@ def _chained(seed: DataFrame, part: DataFrame, whole: DataFrame, ends: tuple, s:
         return _scaled(p, stats).join(F.broadcast(known), "station").withColumn("value", F.when(F.col("n") == 0, 0.0).otherwise(F.col("value"))).drop("n")
 
     own = replace(s, distances=None, connectivity=None, n_estimators=min(10, s.n_estimators), subset="all")
-    filled = ChainedForest(own).fit(block(seed)).transform(block(part))
+    filled = s.once("chained", lambda: ChainedForest(own).fit(block(seed))).transform(block(part))
     return filled.join(F.broadcast(stats), "station").withColumn("filled", F.col("filled") * F.col("scale") + F.col("mean")).drop("mean", "scale")
 
 
@@ -47,7 +47,7 @@ METHODS: dict[str, Method] = {
     "forest_chaining": lambda seed, part, whole, ends, s: blocks.chaining(whole, *ends, SEED_YEARS, s),
     "forest_expanding": lambda seed, part, whole, ends, s: blocks.expanding(whole, *ends, SEED_YEARS, s),
     "forest_seed_only": lambda seed, part, whole, ends, s: blocks.seed_only(whole, *ends, s),
-    "forest_vanilla": lambda seed, part, whole, ends, s: IterativeForest(replace(s, distances=None, connectivity=None)).fit(seed).transform(part),
+    "forest_vanilla": lambda seed, part, whole, ends, s: s.once("vanilla", lambda: IterativeForest(replace(s, distances=None, connectivity=None)).fit(seed)).transform(part),
     "forest_chained_equations": _chained,
     "knn_k5": lambda seed, part, whole, ends, s: knn_fill(seed, part, calendar=True),
     "kalman_sarima": lambda seed, part, whole, ends, s: kalman_fill_outside(seed, part),
@@ -56,11 +56,13 @@ METHODS: dict[str, Method] = {
 }
 
 
-def evaluate(panel: DataFrame, start, end, settings: Settings | None = None, gap_lengths=GAP_LENGTHS, percent: float = PERCENT, years: int = SEED_YEARS, methods: dict[str, Method] | None = None, seed: int = gaps.SEED) -> DataFrame:
-    """(gap_scenario, method, n and the metrics), a row a pair; a method that fails has a row of nulls.
+def evaluate(panel: DataFrame, start, end, settings: Settings | None = None, gap_lengths=GAP_LENGTHS, percent: float = PERCENT, years: int = SEED_YEARS, methods: dict[str, Method] | None = None, seed: int = gaps.SEED, plot: Callable[[DataFrame, str, int], object] | None = None) -> DataFrame:
+    """(gap_scenario, method, n, the metrics, error), a row a pair; a method that fails has a row of nulls and its error.
 
-    The seed block is found once. Gaps are drawn in the days outside of it; each method's metrics are one small aggregate."""
-    settings = settings or Settings(initialization_method="historical_mean")
+    The seed block is found once, and forests that learn from it alone are fitted once for all gap lengths. Gaps are
+    drawn in the days outside of it; each method's metrics are one small aggregate. ``plot`` gets each method's cells
+    (station, date, true_value, is_gap, filled), its name and the gap length."""
+    settings = replace(settings or Settings(initialization_method="historical_mean"), fits={})
     spark = panel.sparkSession
     whole = cut(panels.between(panel, start, end).select("station", "date", "dn", "value"))
     ends = panels.find_best_window(whole, start, end, blocks.window_days(years))
@@ -72,13 +74,20 @@ def evaluate(panel: DataFrame, start, end, settings: Settings | None = None, gap
         both = block.unionByName(part)
         truth = gapped.where("is_gap AND true_value IS NOT NULL").select("station", "date", "true_value")
         for name, method in (methods or METHODS).items():
+            error = None
             try:
                 filled = method(block, part, both, ends, settings).select("station", "date", "filled")
+                if plot:
+                    filled = cut(filled)
                 found = metrics.evaluate(truth.join(filled, ["station", "date"])).first().asDict()
-            except Exception:
-                found = {"n": None} | dict.fromkeys(metrics.NAMES)
-            rows.append((f"{length}-day_gap", name, found["n"], *[found[m] for m in metrics.NAMES]))
-    table = spark.createDataFrame(rows, "gap_scenario string, method string, n long, " + ", ".join(f"{m} double" for m in metrics.NAMES))
+                if plot:
+                    plot(gapped.select("station", "date", "true_value", "is_gap").join(filled, ["station", "date"]), name, length)
+                    forget(filled)
+            except Exception as e:  # one method's failure leaves the others
+                found, error = {"n": None} | dict.fromkeys(metrics.NAMES), f"{type(e).__name__}: {e}"[:500]
+            rows.append((f"{length}-day_gap", name, found["n"], *[found[m] for m in metrics.NAMES], error))
+        forget(gapped)
+    table = spark.createDataFrame(rows, "gap_scenario string, method string, n long, " + ", ".join(f"{m} double" for m in metrics.NAMES) + ", error string")
     return table.orderBy("gap_scenario", "method")
 
 

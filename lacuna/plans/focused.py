@@ -25,8 +25,11 @@ def fill_focused(spark: SparkSession, panel_path: str, coordinates_path: str, co
 
 
 def evaluate_focused(spark: SparkSession, panel_path: str, coordinates_path: str, contributors_path: str | None, output: str, start: str = "1980-01-01", end: str = "1990-12-31", years: int = 3, methods=None, **options) -> DataFrame:
-    """Compare all methods and write the table of results as CSV, in a folder with the time in its name."""
+    """Compare all methods and write, in a folder with the time in its name, the table of results as CSV and each method's plots."""
     inputs = tables.load(spark, panel_path, coordinates_path, contributors_path)
-    results = evaluation.evaluate(inputs.panel, start, end, _settings(inputs, **options), years=years, methods=methods)
-    tables.write_results(results, f"{tables.stamped(output)}/evaluation_results_{start}_to_{end}.csv")
+    folder = tables.stamped(output)
+    plot = lambda cells, method, gap: tables.write_plots(cells, folder, method, gap)
+    results = evaluation.evaluate(inputs.panel, start, end, _settings(inputs, **options), years=years, methods=methods, plot=plot)
+    tables.write_results(results, f"{folder}/evaluation_results_{start}_to_{end}.csv")
+    tables.summary(results.drop("error")).show(1000, False)
     return results

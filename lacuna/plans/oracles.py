@@ -247,3 +247,18 @@ walk AS (
 )"""
 ORACLES["block_plan_chain"] = f"WITH RECURSIVE {_panel()}, {_WINDOWS}, {_BLOCKS} SELECT direction, step, s::VARCHAR AS start_date, e::VARCHAR AS end_date FROM walk WHERE step > 0"
 ORACLES["block_plan_expand"] = f"WITH RECURSIVE {_panel()}, {_WINDOWS}, {_BLOCKS} SELECT step, MIN(s)::VARCHAR AS start_date, MAX(e)::VARCHAR AS end_date, COUNT(*) AS n_blocks FROM walk WHERE step > 0 GROUP BY step"
+
+
+def _held(source: str, ranged: bool = True) -> str:
+    more = ", 0::BIGINT AS n_outside" if ranged else ""
+    return f"WITH {_panel()}, {_WINDOWS}, {_OUTSIDE} SELECT station, COUNT(*) AS n_rows, COUNT(*) - COUNT(value) AS n_missing, 0::BIGINT AS n_left, 0::BIGINT AS n_changed, 0::BIGINT AS n_marked_wrong{more} FROM {source} GROUP BY station"
+
+
+ORACLES |= {name: _held("outside") for name in ("forest_base", "forest_custom", "forest_vanilla", "forest_chained_equations")}
+ORACLES |= {name: _held("panel") for name in ("seed_and_fill", "chaining", "expanding")}
+ORACLES["kalman_fill"] = _held("panel", False)
+ORACLES["evaluation"] = f"""WITH plain AS ({_leaderboard(("linear_time", "historical_mean"))}),
+methods AS (SELECT unnest(['forest_chaining', 'forest_expanding', 'forest_seed_only', 'forest_vanilla', 'forest_chained_equations', 'knn_k5', 'kalman_sarima', 'linear_interpolation', 'historical_mean']) AS method),
+scenarios AS (SELECT gap_scenario, MAX(n) AS n FROM plain GROUP BY 1)
+SELECT s.gap_scenario, m.method, s.n, 5::INTEGER AS n_metrics, NULL::VARCHAR AS error, p.rmse
+FROM scenarios s CROSS JOIN methods m LEFT JOIN plain p ON p.gap_scenario = s.gap_scenario AND m.method = CASE p.method WHEN 'linear_time' THEN 'linear_interpolation' ELSE p.method END"""

@@ -216,50 +216,79 @@ def _nation_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return panels.between(panel, *ends), panels.outside(panel, *ends)
 
 
+#: Size of the models in the queries; README has the time that the operators' defaults take.
+MODELS = {"n_estimators": 10, "max_iter": 2, "max_depth": 5, "update": "jacobi"}
+EVALUATED = MODELS | {"n_estimators": 2, "max_iter": 1, "max_depth": 3}  # some fifteen fits
+
+
 def _settings(spark, sf_dir, **options) -> Settings:
-    return Settings(cut(_distances(spark, sf_dir)), cut(connectivity(spark, sf_dir)), **options)
+    return Settings(cut(_distances(spark, sf_dir)), cut(connectivity(spark, sf_dir)), **MODELS | options)
+
+
+def held(filled: DataFrame, panel: DataFrame, trained: DataFrame | None = None) -> DataFrame:
+    """What a model's fill must leave as it is, by station: rows, missing cells, cells still null, readings and marks that
+    changed, and (with ``trained``) filled cells outside of the range of its readings. The last four are 0."""
+    both = panel.select("station", "date", "value").join(filled.select("station", "date", "filled", "was_missing"), ["station", "date"], "full_outer")
+    was = F.col("value").isNull()
+    counts = {
+        "n_missing": was,
+        "n_left": F.col("filled").isNull(),
+        "n_changed": ~was & ~F.col("filled").eqNullSafe(F.col("value")),
+        "n_marked_wrong": ~F.col("was_missing").eqNullSafe(was),
+    }
+    if trained is not None:
+        both = both.join(F.broadcast(trained.groupBy("station").agg(F.min("value").alias("low"), F.max("value").alias("high"))), "station", "left")  # a row a station
+        counts["n_outside"] = was & ~F.col("filled").between(F.col("low") - 1e-9, F.col("high") + 1e-9)
+    return both.groupBy("station").agg(F.count("*").alias("n_rows"), *[F.count_if(c).alias(name) for name, c in counts.items()])
 
 
 def forest_base(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return IterativeForest(_settings(spark, sf_dir)).fit(seed).transform(part)
+    return held(IterativeForest(_settings(spark, sf_dir)).fit(seed).transform(part), part, seed)
 
 
 def forest_custom(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return InitialisedForest(_settings(spark, sf_dir, initialization_method="historical_mean")).fit(seed).transform(part)
+    return held(InitialisedForest(_settings(spark, sf_dir, initialization_method="historical_mean")).fit(seed).transform(part), part, seed)
 
 
 def forest_vanilla(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return IterativeForest().fit(seed).transform(part)
+    return held(IterativeForest(**MODELS).fit(seed).transform(part), part, seed)
 
 
 def forest_chained_equations(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return ChainedForest().fit(seed).transform(part)
+    return held(ChainedForest(**MODELS).fit(seed).transform(part), part, seed)
 
 
 def kalman(spark, sf_dir):
-    return kalman_fill(_nation(spark, sf_dir)[0])
+    panel = _nation(spark, sf_dir)[0]
+    return held(cut(kalman_fill(panel)), panel)
 
 
 def seed_and_fill(spark, sf_dir):
-    return blocks.seed_and_fill(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, SEED_DAYS, _settings(spark, sf_dir))
+    panel = _nation(spark, sf_dir)[0]
+    return held(blocks.seed_and_fill(panel, demo.FIRST, demo.LAST, SEED_DAYS, _settings(spark, sf_dir)), panel, panel)
 
 
 def chaining(spark, sf_dir):
     panel, ends = _nation(spark, sf_dir)
-    return blocks.chaining(panel, *ends, 3, _settings(spark, sf_dir))
+    return held(blocks.chaining(panel, *ends, 3, _settings(spark, sf_dir)), panel, panel)
 
 
 def expanding(spark, sf_dir):
     panel, ends = _nation(spark, sf_dir)
-    return blocks.expanding(panel, *ends, 3, _settings(spark, sf_dir))
+    return held(blocks.expanding(panel, *ends, 3, _settings(spark, sf_dir)), panel, panel)
 
 
 def evaluation_all(spark, sf_dir):
-    return evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, _settings(spark, sf_dir, initialization_method="historical_mean"))
+    """All gap lengths and methods: cells, defined metrics, error; the RMSE of the methods that aren't fitted models."""
+    settings = _settings(spark, sf_dir, **EVALUATED | {"initialization_method": "historical_mean"})
+    found = evaluation.evaluate(_nation(spark, sf_dir)[0], demo.FIRST, demo.LAST, settings)
+    defined = sum(F.col(m).isNotNull().cast("int") for m in metrics.NAMES)
+    plain = F.col("method").isin("linear_interpolation", "historical_mean")
+    return found.select("gap_scenario", "method", "n", defined.alias("n_metrics"), "error", F.when(plain, _r("rmse")).alias("rmse"))
 
 
 def plot_series(spark, sf_dir):

@@ -97,7 +97,8 @@ def load(spark: SparkSession, panel_path: str, coordinates_path: str, contributo
     known = {r["station"] for r in raw.select("station").distinct().collect()}  # a row a station
     both = sorted(set(stations) & known)
     places = raw.where(F.col("station").isin(both))
-    coordinates = places.select("station", parse_coordinate(F.col("latitude"), True, strict).alias("latitude"), parse_coordinate(F.col("longitude"), False, strict).alias("longitude")).dropDuplicates(["station"])
+    coordinates = places.select("station", parse_coordinate(F.col("latitude"), True, strict).alias("latitude"), parse_coordinate(F.col("longitude"), False, strict).alias("longitude"))
+    coordinates = spatial.first_of_each(coordinates, "station", "latitude", "longitude")
     codes = places.select(F.col("v_code").alias("code"), "station") if "v_code" in raw.columns else spark.createDataFrame([], "code string, station string")
     edges = None
     if contributors_path:
@@ -106,7 +107,7 @@ def load(spark: SparkSession, panel_path: str, coordinates_path: str, contributo
             edges.schema  # noqa: B018  resolved here, so that a wrong file shows
         except Exception:
             edges = None
-    return Inputs(panels.to_long(wide, both), coordinates, edges, wide.select("date", *temporal), codes.dropDuplicates(["station"]))
+    return Inputs(panels.to_long(wide, both), coordinates, edges, wide.select("date", *temporal), spatial.first_of_each(codes, "station", "code"))
 
 
 def write_wide(panel: DataFrame, path: str, stations: list[str], value: str = "filled", calendar: DataFrame | None = None) -> None:
@@ -144,8 +145,28 @@ def series_data(cells: DataFrame, stations: int = 3, seed: int = 42) -> DataFram
     return cells.join(F.broadcast(drawn), "station", "left_semi").select("station", "date", "true_value", "is_gap", "filled")
 
 
-def render(cells: DataFrame, folder: str, method: str, gap: int) -> list[str]:
-    """PNG files of both kinds of plot, where matplotlib is installed; else none."""
+def grid(points: DataFrame, bins: int) -> DataFrame:
+    """(true_value, predicted, n): the mean point of each cell of a grid over all of them."""
+    ends = points.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("true_value", "predicted") for f in (F.min, F.max)])
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}_min")) * bins / F.greatest(F.col(f"{c}_max") - F.col(f"{c}_min"), F.lit(1e-12))), F.lit(bins - 1))
+    placed = points.crossJoin(F.broadcast(ends))  # one row
+    return placed.groupBy(cell("true_value").alias("x"), cell("predicted").alias("y")).agg(F.avg("true_value").alias("true_value"), F.avg("predicted").alias("predicted"), F.count("*").alias("n")).drop("x", "y")
+
+
+def plot_folder(folder: str, method: str, gap: int) -> str:
+    return f"{folder}/gap_{gap}d/plots_{re.sub('[^A-Za-z0-9_]+', '_', method)}"
+
+
+def write_plots(cells: DataFrame, folder: str, method: str, gap: int) -> list[str]:
+    """What a method's two kinds of plot show, as CSV, and the plots themselves where :func:`render` can draw."""
+    out = plot_folder(folder, method, gap)
+    scatter_data(cells).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/scatter.csv")
+    series_data(cells).orderBy("station", "date").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/series.csv")
+    return render(cells, folder, method, gap)
+
+
+def render(cells: DataFrame, folder: str, method: str, gap: int, bins: int = 200) -> list[str]:
+    """PNG files of both kinds of plot, where matplotlib is installed; else none. All points count: they meet in cells of a grid of ``bins``."""
     try:
         import matplotlib
 
@@ -155,12 +176,12 @@ def render(cells: DataFrame, folder: str, method: str, gap: int) -> list[str]:
         return []
     import os
 
-    out = f"{folder}/gap_{gap}d/plots_{re.sub('[^A-Za-z0-9_]+', '_', method)}"
+    out = plot_folder(folder, method, gap).removeprefix("file://")
     os.makedirs(out, exist_ok=True)
     files = []
-    points = scatter_data(cells).limit(20_000).toPandas()
+    points = grid(scatter_data(cells), bins).toPandas()  # bins x bins rows at most
     figure = plt.figure(figsize=(8, 8))
-    plt.scatter(points.true_value, points.predicted, alpha=0.6)
+    plt.scatter(points.true_value, points.predicted, s=4 * points.n**0.5, alpha=0.6)
     plt.xlabel("true"), plt.ylabel("predicted"), plt.title(f"{method}, {gap} days")
     files.append(f"{out}/scatter.png")
     figure.savefig(files[-1])
@@ -177,4 +198,4 @@ def render(cells: DataFrame, folder: str, method: str, gap: int) -> list[str]:
     return files
 
 
-__all__ = ["Inputs", "SourceError", "load", "read_wide", "read_coordinates", "read_contributors", "parse_date", "write_wide", "write_results", "summary", "stamped", "scatter_data", "series_data", "render"]
+__all__ = ["Inputs", "SourceError", "load", "read_wide", "read_coordinates", "read_contributors", "parse_date", "write_wide", "write_results", "summary", "stamped", "scatter_data", "series_data", "grid", "plot_folder", "write_plots", "render"]

@@ -1,4 +1,5 @@
 import datetime
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -36,9 +37,9 @@ def check(filled, panel, trained=None):
     assert both.join(span, "station").where("filled < lo - 1e-9 OR filled > hi + 1e-9").count() == 0
 
 
-@pytest.mark.parametrize("kind", [IterativeForest, InitialisedForest, ChainedForest])
-def test_forests(spark, world, kind):
-    panel, settings = world
+@pytest.mark.parametrize("kind, update", [(IterativeForest, "gauss_seidel"), (InitialisedForest, "jacobi"), (ChainedForest, "jacobi")])
+def test_forests(spark, world, kind, update):
+    panel, settings = world[0], replace(world[1], update=update)
     seed, part = panels.between(panel, DAY, "1980-12-31"), panels.outside(panel, DAY, "1980-12-31")
     model = kind(settings).fit(seed)
     check(model.transform(part), part, seed)
@@ -115,4 +116,30 @@ def test_evaluation_isolates_failures(world):
     rows = evaluation.evaluate(panel, "1980-01-01", "1981-05-14", settings, (3, 10), years=1, methods=methods).collect()
     assert [(r["gap_scenario"], r["method"]) for r in rows] == [(g, m) for g in ("10-day_gap", "3-day_gap") for m in sorted(methods)]
     assert all((r["rmse"] is None) == (r["method"] == "broken") for r in rows)
+    assert all((r["error"] == "RuntimeError: no") if r["method"] == "broken" else r["error"] is None for r in rows)
     assert all(r["r2"] == r["nse"] for r in rows)
+
+
+def test_settings_are_params():
+    one = IterativeForest(Settings(max_iter=3))
+    other = one.copy({one.n_estimators: 7}).setParams(max_depth=4)
+    assert (other.settings.max_iter, other.settings.n_estimators, other.settings.max_depth) == (3, 7, 4)
+    assert (one.settings.n_estimators, one.settings.max_depth) == (100, 10)
+
+
+def test_forests_of_the_seed_are_fitted_once(world, monkeypatch):
+    panel, settings = world
+    fits = []
+    fit = InitialisedForest._fit
+    monkeypatch.setattr(InitialisedForest, "_fit", lambda self, p: fits.append(1) or fit(self, p))
+    methods = {"forest_seed_only": evaluation.METHODS["forest_seed_only"]}
+    drawn = []
+    rows = evaluation.evaluate(panel, "1980-01-01", "1981-05-14", settings, (3, 10), years=1, methods=methods, plot=lambda cells, method, gap: drawn.append((method, gap, cells.count()))).collect()
+    assert len(rows) == 2 and len(fits) == 1
+    assert [d[:2] for d in drawn] == [("forest_seed_only", 3), ("forest_seed_only", 10)] and all(d[2] > 0 for d in drawn)
+
+
+def test_rolling(world):
+    panel, settings = world
+    out = blocks.rolling(panel, 1980, 1981, 1, 10.0, settings)
+    check(out, panels.between(panel, "1980-01-01", "1981-12-31"))

@@ -54,3 +54,21 @@ def test_focused_fill_and_evaluation(spark, files):
 def test_summary(spark):
     rows = spark.createDataFrame([("b", "m", 1.23456789), ("a", "m", None)], "gap_scenario string, method string, rmse double")
     assert [tuple(r) for r in tables.summary(rows).collect()] == [("a", "m", None), ("b", "m", 1.2346)]
+
+
+def test_plots_have_all_points(spark, tmp_path):
+    from lacuna.sources import tables
+
+    cells = spark.range(3000).selectExpr("concat('s', id % 4) AS station", "DATE '2000-01-01' + cast(id AS int) AS date", "id * 1D AS true_value", "id % 3 = 0 AS is_gap", "id + 1D AS filled")
+    assert tables.grid(tables.scatter_data(cells), 50).selectExpr("sum(n)").first()[0] == 3000
+    tables.write_plots(cells, f"file://{tmp_path}", "any method", 7)
+    out = tables.plot_folder(f"file://{tmp_path}", "any method", 7)
+    assert spark.read.option("header", True).csv(f"{out}/scatter.csv").count() == 3000
+    assert spark.read.option("header", True).csv(f"{out}/series.csv").count() == 2250
+
+
+def test_repeated_stations_keep_the_first(spark):
+    from lacuna.operators import spatial
+
+    rows = spark.createDataFrame([("a", 2.0, 1.0), ("a", 1.0, 5.0), ("a", None, 0.0), ("b", None, 3.0)], "station string, latitude double, longitude double")
+    assert sorted(map(tuple, spatial.first_of_each(rows, "station", "latitude", "longitude").collect())) == [("a", 1.0, 5.0), ("b", None, 3.0)]
