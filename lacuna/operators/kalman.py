@@ -6,6 +6,8 @@ where the likelihood can't be maximised, by the mean."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,43 +30,41 @@ def filter_series(y: np.ndarray, params: np.ndarray, season: int = SEASON) -> tu
     ar, ma = polynomials(params, season)
     r = season + 2
     shock = np.concatenate([[1.0], ma])
-    full = np.concatenate([ar, np.zeros(r - len(ar))])
+    step = np.diag(np.ones(r - 1), 1)
+    step[: len(ar), 0] += ar
+    back, noise = step.T.copy(), np.outer(shock, shock)
     state, cov = np.zeros(r), np.eye(r) * 1e6
-    noise = np.outer(shock, shock)
     out = np.empty(len(y))
     total, logs, n = 0.0, 0.0, 0
-    for t, value in enumerate(y):
-        out[t] = state[0]
+    for t, value in enumerate(y.tolist()):
+        expected = out[t] = float(state[0])
         if value == value:
-            f = cov[0, 0]
-            v = value - state[0]
-            gain = cov[:, 0] / f
+            f = float(cov[0, 0])
+            v = value - expected
+            gain = cov[0] / f  # cov is symmetric
             state = state + gain * v
-            cov = cov - np.outer(gain, cov[0])
+            cov = cov - gain[:, None] * cov[0]
             if t >= r:
-                total, logs, n = total + v * v / f, logs + np.log(f), n + 1
-        first = state[0]
-        state = np.append(state[1:], 0.0) + full * first
-        shifted = np.zeros_like(cov)
-        shifted[:-1, :] = cov[1:, :]
-        shifted += np.outer(full, cov[0])
-        moved = np.zeros_like(cov)
-        moved[:, :-1] = shifted[:, 1:]
-        moved += np.outer(shifted[:, 0], full)
-        cov = (moved + moved.T) / 2 + noise
-        if not np.isfinite(state[0]) or abs(state[0]) > 1e12:
+                total, logs, n = total + v * v / f, logs + math.log(f) if f > 0 else np.nan, n + 1
+        state = step @ state
+        cov = step @ cov @ back + noise
+        if not -1e12 < state[0] < 1e12:
             return -np.inf, out
+    if not np.isfinite(logs):
+        return -np.inf, out
     return (-0.5 * (n * np.log(total / n) + logs) if n and total > 0 else -np.inf), out
 
 
 def maximise(f, x: np.ndarray, evaluations: int) -> np.ndarray:
-    """Nelder and Mead's simplex."""
+    """Nelder and Mead's simplex; it ends early once its values are within 1e-8 of each other, relatively."""
     points = [x] + [x + 0.2 * np.eye(len(x))[k] for k in range(len(x))]
     values = [-f(p) for p in points]
     used = len(points)
     while used < evaluations:
         order = np.argsort(values)
         points, values = [points[k] for k in order], [values[k] for k in order]
+        if values[-1] - values[0] <= 1e-8 * abs(values[0]):
+            break
         centre = np.mean(points[:-1], 0)
 
         def at(c):
@@ -111,7 +111,9 @@ def kalman_fill(panel: DataFrame, evaluations: int = 200) -> DataFrame:
         y = rows["value"].to_numpy(float)
         return pd.DataFrame({"station": rows["station"], "date": rows["date"], "dn": rows["dn"], "filled": fill_series(y, evaluations), "was_missing": np.isnan(y)})
 
-    return panel.select("station", "date", "dn", "value").groupBy("station").applyInPandas(run, "station string, date date, dn int, filled double, was_missing boolean")
+    rows = panel.select("station", "date", "dn", "value")
+    tasks = min(4 * max(rows.select("station").distinct().count(), 1), 20_000)  # stations apart: a task's bytes are few, its work isn't
+    return rows.repartition(tasks, "station").groupBy("station").applyInPandas(run, "station string, date date, dn int, filled double, was_missing boolean")
 
 
 def kalman_fill_outside(seed: DataFrame, panel: DataFrame, evaluations: int = 200) -> DataFrame:

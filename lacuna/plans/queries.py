@@ -217,7 +217,7 @@ def _nation_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 #: Size of the models in the queries; README has the time that the operators' defaults take.
-MODELS = {"n_estimators": 10, "max_iter": 2, "max_depth": 5, "update": "jacobi"}
+MODELS = {"n_estimators": 5, "max_iter": 2, "max_depth": 4, "update": "jacobi"}
 EVALUATED = MODELS | {"n_estimators": 2, "max_iter": 1, "max_depth": 3}  # some fifteen fits
 
 
