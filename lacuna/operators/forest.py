@@ -16,10 +16,10 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_of_year_cos, day_of_year_sin
@@ -140,49 +140,53 @@ class IterativeForest(Estimator):
     def start(self, panel: DataFrame) -> DataFrame | None:
         return None
 
-    def features(self, k: int, n: int, stations: list[str]) -> list[Column] | None:
-        """Weighted readings of the other stations and the calendar; None if nothing but zeros could come of them."""
+    def factors(self, k: int, stations: list[str]) -> list[float] | None:
+        """What the stations' readings are multiplied by (own: left out), none for the calendar alone; None if nothing but zeros could come of them."""
         s = self.settings
-        others = [j for j in range(n) if j != k]
-        weights = s.weights_of(stations[k], [stations[j] for j in others])
-        calendar = [F.col(c) for c in CALENDAR] if s.calendar else []
-        if not calendar and not any(weights):
+        others = [j for j in range(len(stations)) if j != k]
+        weights = dict(zip(others, s.weights_of(stations[k], [stations[j] for j in others])))
+        if not s.calendar and not any(weights.values()):
             return None
-        return [F.coalesce(F.col(f"v{j}"), F.lit(0.0)) * F.lit(float(w)) for j, w in zip(others, weights)] + calendar
+        return [float(weights.get(j, 0.0)) for j in range(len(stations))]
 
     def order(self, missing: list[int]) -> list[int]:
         return list(range(len(missing)))
 
     # -- the algorithm
 
-    def _assemble(self, df: DataFrame, features: list[Column], k: int) -> DataFrame:
-        names = [f"f{j}" for j in range(len(features))]
-        return VectorAssembler(inputCols=names, outputCol=f"x{k}", handleInvalid="keep").transform(df.withColumns(dict(zip(names, features)))).drop(*names)
-
-    def _fit_column(self, wide: Wide, k: int):
+    def _cells(self, wide: Wide, stations: list[int]) -> DataFrame:
+        """(k, date, x, y, missing) of the stations' days: features, current value. The plan's size doesn't depend on the number of stations."""
+        factors = [(k, f) for k in stations if (f := self.factors(k, wide.stations)) is not None]
+        table = wide.df.sparkSession.createDataFrame(factors, "k int, f array<double>")  # joined by size, not by a hint
+        arrays = [F.array(*[F.col(f"{c}{k}") for k in range(wide.n)]).alias(c) for c in ("v", "m")]
+        days = wide.df.select("date", *CALENDAR, *arrays).withColumn("k", F.explode(F.array(*[F.lit(k) for k, _ in factors]))) if factors else wide.df.select("date", *CALENDAR, *arrays, F.lit(0).alias("k")).limit(0)
+        weighted = F.filter(F.zip_with("v", "f", lambda v, f: F.coalesce(v, F.lit(0.0)) * f), lambda v, j: j != F.col("k"))
+        others = F.when(F.size("f") > 0, weighted).otherwise(F.array().cast("array<double>"))
+        x = F.concat(others, F.array(*CALENDAR)) if self.settings.calendar else others
+        return days.join(table, "k").select("k", "date", x.alias("x"), F.col("v")[F.col("k")].alias("y"), F.col("m")[F.col("k")].alias("missing"))
+
+    def _fit_column(self, cells: DataFrame, k: int):
+        """The forest of station ``k``; None without rows to learn from."""
         s = self.settings
-        features = self.features(k, wide.n, wide.stations)
-        if features is None:
-            return None
-        rows = wide.df.where(f"NOT m{k}") if self.known_only else wide.df
-        rows = self._assemble(rows.where(F.col(f"v{k}").isNotNull()), features, k).select(f"x{k}", F.col(f"v{k}").alias("label"))
+        rows = cells.where(F.col("k") == k).where("y IS NOT NULL" + (" AND NOT missing" if self.known_only else "")).select(array_to_vector("x").alias("x"), F.col("y").alias("label"))
         if rows.isEmpty():
             return None
-        forest = RandomForestRegressor(featuresCol=f"x{k}", predictionCol=f"p{k}", numTrees=s.n_estimators, seed=s.random_state, maxDepth=s.max_depth, maxBins=s.max_bins, featureSubsetStrategy=s.subset)
-        return forest.fit(rows)
+        return RandomForestRegressor(featuresCol="x", numTrees=s.n_estimators, seed=s.random_state, maxDepth=s.max_depth, maxBins=s.max_bins, featureSubsetStrategy=s.subset).fit(rows)
+
+    def _fit_columns(self, cells: DataFrame, stations: list[int]) -> dict[int, object]:
+        with ThreadPoolExecutor(self.settings.parallelism) as pool:
+            return dict(zip(stations, pool.map(lambda k: self._fit_column(cells, k), stations)))
 
-    def _predict(self, wide: Wide, models: dict[int, object], keep: DataFrame | None = None) -> None:
+    def _predict(self, wide: Wide, cells: DataFrame, models: dict[int, object], keep: DataFrame | None = None) -> None:
         """New values of the models' stations, all from the values that are there; ``keep`` is still needed."""
-        parts = []
+        found = []
         for k, model in models.items():
-            features = self.features(k, wide.n, wide.stations)
-            if model is not None and features is not None:
-                own = self._assemble(wide.df.where(f"m{k}"), features, k)
-                parts.append(model.transform(own).select("date", F.lit(k).alias("k"), F.col(f"p{k}").alias("p")))
-        if parts:  # a branch a station, side by side: one job, and plans that don't nest
-            done = [k for k, model in models.items() if model is not None]
-            found = reduce(DataFrame.unionByName, parts).groupBy("date").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{k}") for k in done])
-            joined = wide.df.join(found, "date", "left").withColumns({f"v{k}": F.when(F.col(f"m{k}"), F.coalesce(f"p{k}", f"v{k}")).otherwise(F.col(f"v{k}")) for k in done})
+            if model is not None:
+                own = cells.where((F.col("k") == k) & F.col("missing")).select("date", array_to_vector("x").alias("x"))
+                found.append(model.setFeaturesCol("x").setPredictionCol("p").transform(own).select("date", F.lit(k).alias("k"), "p"))
+        if found:  # a branch a station, side by side: one job, and plans that don't nest
+            by_day = reduce(DataFrame.unionByName, found).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("new"))
+            joined = wide.df.join(by_day, "date", "left").withColumns({f"v{k}": F.when(F.col(f"m{k}"), F.coalesce(F.col("new")[k], f"v{k}")).otherwise(F.col(f"v{k}")) for k, model in models.items() if model is not None})
             old, wide.df = wide.df, cut(joined.select(wide.df.columns).coalesce(2))
             if old is not keep:
                 forget(old)
@@ -195,29 +199,27 @@ class IterativeForest(Estimator):
             return wide.df.join(old, "date").agg(F.sqrt(total)).first()[0]
         return wide.df.join(old, "date").agg(F.greatest(*[F.coalesce(F.max(m), F.lit(0.0)) for m in moved], F.lit(0.0))).first()[0]
 
-    def _fit_all(self, wide: Wide) -> dict[int, object]:
-        with ThreadPoolExecutor(self.settings.parallelism) as pool:
-            return dict(enumerate(pool.map(lambda k: self._fit_column(wide, k), range(wide.n))))
-
-    def _rounds(self, wide: Wide, models: dict[int, object], refit: bool) -> None:
+    def _rounds(self, wide: Wide, missing: list[int], models: dict[int, object], refit: bool) -> None:
         """Passes until nothing moves: models are fitted anew (``refit``), or replayed for stations that miss something."""
-        missing = wide.missing()
         order = [k for k in self.order(missing) if refit or missing[k]]
-        for _ in range(self.settings.max_iter):
+        for turn in range(self.settings.max_iter):
             before = wide.df
             if self.settings.update == "jacobi":
+                cells = cut(self._cells(wide, list(range(wide.n)) if refit else order), "k")
                 if refit:
-                    models.update(self._fit_all(wide))
-                self._predict(wide, {k: models.get(k) for k in order}, before)
+                    models.update(self._fit_columns(cells, list(range(wide.n))))
+                self._predict(wide, cells, {k: models.get(k) for k in order}, before)
+                forget(cells)
             else:
                 for k in order + (order[::-1] if self.backward else []):
+                    cells = self._cells(wide, [k])
                     if refit:
-                        models[k] = self._fit_column(wide, k)
-                    self._predict(wide, {k: models.get(k)}, before)
-            change = self._change(wide, before)
+                        models[k] = self._fit_column(cells, k)
+                    self._predict(wide, cells, {k: models.get(k)}, before)
+            still = turn + 1 < self.settings.max_iter and self._change(wide, before) < self.settings.tolerance
             if before is not wide.df:
                 forget(before)
-            if change < self.settings.tolerance:
+            if still:
                 break
 
     def _fit(self, panel: DataFrame) -> "IterativeForestModel":
@@ -225,10 +227,12 @@ class IterativeForest(Estimator):
         means = {r["station"]: r["m"] for r in panel.groupBy("station").agg(F.avg("value").alias("m")).collect()}
         wide = Wide(panel, stations, self.start(panel), means)
         models: dict[int, object] = {}
-        if any(wide.missing()):
-            self._rounds(wide, models, True)
+        if any(missing := wide.missing()):
+            self._rounds(wide, missing, models, True)
         else:
-            models = self._fit_all(wide)
+            cells = cut(self._cells(wide, list(range(wide.n))), "k")
+            models = self._fit_columns(cells, list(range(wide.n)))
+            forget(cells)
         forget(wide.df)
         return IterativeForestModel(self, stations, means, models)
 
@@ -243,8 +247,8 @@ class IterativeForestModel(Model):
     def _transform(self, panel: DataFrame) -> DataFrame:
         forest = self.forest
         wide = Wide(panel, self.stations, forest.start(panel), self.means)
-        if any(wide.missing()):
-            forest._rounds(wide, self.models, False)
+        if any(missing := wide.missing()):
+            forest._rounds(wide, missing, self.models, False)
         return wide.long()
 
 
@@ -256,10 +260,10 @@ class InitialisedForest(IterativeForest):
     def start(self, panel: DataFrame) -> DataFrame:
         return fills.initialise(panel, self.settings.initialization_method)
 
-    def features(self, k: int, n: int, stations: list[str]) -> list[Column] | None:
+    def factors(self, k: int, stations: list[str]) -> list[float] | None:
         if self.settings.vanilla:  # without weights only the calendar counts
-            return [F.col(c) for c in CALENDAR] if self.settings.calendar else None
-        return super().features(k, n, stations)
+            return [] if self.settings.calendar else None
+        return super().factors(k, stations)
 
 
 class ChainedForest(IterativeForest):

@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written and read again."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written and read again; with ``by`` a part each value, so that a filter by it reads only that."""
     path = f"{shared_dir(df.sparkSession)}/lacuna-cut-{uuid.uuid4().hex}"
     _written[path] = df.sparkSession
-    df.write.parquet(path)
+    (df.repartition(by).write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lacuna_cut = path
     return out
