@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -157,7 +158,8 @@ class IterativeForest(Estimator):
     def _cells(self, wide: Wide, stations: list[int]) -> DataFrame:
         """(k, date, x, y, missing) of the stations' days: features, current value. The plan's size doesn't depend on the number of stations."""
         factors = [(k, f) for k in stations if (f := self.factors(k, wide.stations)) is not None]
-        table = wide.df.sparkSession.createDataFrame(factors, "k int, f array<double>")  # joined by size, not by a hint
+        columns = [pa.array([k for k, _ in factors], pa.int32()), pa.array([f for _, f in factors], pa.list_(pa.float64()))]
+        table = wide.df.sparkSession.createDataFrame(pa.table(columns, ["k", "f"]))  # of known size, by which the join is chosen
         arrays = [F.array(*[F.col(f"{c}{k}") for k in range(wide.n)]).alias(c) for c in ("v", "m")]
         days = wide.df.select("date", *CALENDAR, *arrays).withColumn("k", F.explode(F.array(*[F.lit(k) for k, _ in factors]))) if factors else wide.df.select("date", *CALENDAR, *arrays, F.lit(0).alias("k")).limit(0)
         weighted = F.filter(F.zip_with("v", "f", lambda v, f: F.coalesce(v, F.lit(0.0)) * f), lambda v, j: j != F.col("k"))
