@@ -3,10 +3,15 @@
 Trusted positives are documents that ``labels`` marks 1; unlabelled web text are all other training
 documents, with or without a label. With class prior p and the logistic loss l, the risk is
 ``p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])`` and a step that finds the second term negative climbs
-out of it instead (Kiryo et al., 2017). p is estimated as the share of 1 among the training labels.
+out of it instead (Kiryo et al., 2017). Labels of 0 take no part but to void a label of 1.
+
+p is estimated from the same two samples: networks fitted on the other folds score each row, and above
+the best threshold c the share of unlabelled rows over that of positives bounds p (the best bin of Garg
+et al., 2021). Rows of equal statistics share a fold. One standard error is taken off, since a p too
+large passes bad texts while one too small costs little. Too few positives for the folds give 0.5.
 
 Every whole text is read once for shape statistics (characters by kind, repeated words, pairs and
-lines, word lengths); labels, lang, source and doc_id are no inputs of a score. The network is fitted
+lines, word lengths); labels, lang, source and doc_id are no inputs of a score. Networks are fitted
 on the driver on at most ``POSITIVES`` and ``UNLABELLED`` rows of statistics, chosen by a hash of the
 doc_id; scoring is per row, everywhere the same.
 
@@ -18,6 +23,7 @@ rows get equal scores; an empty table gives an empty table; other columns of the
 
 from __future__ import annotations
 
+import zlib
 from typing import Iterator
 
 import numpy as np
@@ -31,7 +37,9 @@ from .storage import fits_broadcast, lean, materialize, release
 from .text import NONSPACE, mix64, text_bytes, word_spans
 
 #: Bounds of the sample that the network is fitted on.
-POSITIVES, UNLABELLED, PRIOR_ROWS = 8_000, 12_000, 20_000
+POSITIVES, UNLABELLED = 8_000, 12_000
+#: Folds and steps of the networks that the class prior is read from.
+PRIOR_FOLDS, PRIOR_STEPS = 4, 800
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.7
 SEED = 7
@@ -153,6 +161,22 @@ def fold(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
 
 
+def risk_gradient(w: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The part of the risk that must not be negative, and the gradient of the step: of the whole risk, or away from a negative part."""
+    x = np.concatenate([xp, xu])
+    hidden = np.tanh(x @ w[0] + w[1])
+    f = hidden @ w[2] + w[3]
+    fp, fu = f[: len(xp)], f[len(xp) :]
+    negative = float(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    if negative >= 0:
+        df = np.concatenate([(prior * (sp - 1) - prior * sp) / len(xp), su / len(xu)])
+    else:
+        df = np.concatenate([prior * sp / len(xp), -su / len(xu)])
+    back = np.outer(df, w[2]) * (1 - hidden**2)
+    return negative, [x.T @ back, back.sum(0), hidden.T @ df, np.array([df.sum()])]
+
+
 class Network:
     """One hidden layer, fitted by Adam on the non-negative risk."""
 
@@ -166,18 +190,9 @@ class Network:
         m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
         for step in range(1, steps + 1):
             xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-            x = np.concatenate([xp, xu])
-            hidden = np.tanh(x @ w[0] + w[1])
-            f = hidden @ w[2] + w[3]
-            fp, fu = f[:batch], f[batch:]
-            negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-            if negative >= 0:
-                df = np.concatenate([prior * (sp - 1) - prior * sp, su]) / batch
-            else:
-                df = -np.concatenate([-prior * sp, su]) / batch
-            back = np.outer(df, w[2]) * (1 - hidden**2)
-            grads = [x.T @ back + 1e-4 * w[0], back.sum(0), hidden.T @ df + 1e-4 * w[2], np.array([df.sum()])]
+            _, grads = risk_gradient(w, xp, xu, prior)
+            grads[0] += 1e-4 * w[0]
+            grads[2] += 1e-4 * w[2]
             rate = 0.01 * (1 - 0.9 * step / steps)
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -193,6 +208,24 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from scores of rows by networks that weren't fitted on them."""
+    fp, fu = (np.array([zlib.crc32(r.astype(np.float32).tobytes()) % PRIOR_FOLDS for r in x]) for x in (positive, unlabelled))
+    sp, su = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(PRIOR_FOLDS):
+        if not (fp != k).any() or not (fu != k).any():
+            return 0.5
+        network = Network(positive[fp != k], unlabelled[fu != k], 0.5, PRIOR_STEPS)
+        sp[fp == k], su[fu == k] = network.scores(positive[fp == k]), network.scores(unlabelled[fu == k])
+    sp, su = np.sort(sp), np.sort(su)
+    above_p, above_u = (1 - np.searchsorted(s, sp, "left") / len(s) for s in (sp, su))
+    slack = np.sqrt(np.log(40) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)  # both shares hold at once in 9 cases of 10
+    best = np.argmin((above_u + slack) / above_p)
+    p, q = above_p[best], above_u[best]
+    error = np.sqrt(q * (1 - q) / len(su) + (q / p) ** 2 * p * (1 - p) / len(sp)) / p
+    return float(np.clip(q / p - error, 0.05, 0.98))
+
+
 def _array(rows) -> np.ndarray:
     return np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
 
@@ -201,14 +234,14 @@ def fit(table: DataFrame, labels: DataFrame) -> Network | None:
     """Fit on a bounded sample of ``table``'s rows; None without positives."""
     one = labels.where(F.col("quality").isin(0, 1) & (fold() != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     marked = one.where("quality = most").select("doc_id", "quality")
-    seen = bounded_sample(marked, SEED, "doc_id", PRIOR_ROWS).agg(F.avg(F.col("quality").cast("double")).alias("p")).first()["p"]
     usable = table.where(F.coalesce(fold() != HELD_OUT, F.lit(True)))
     ids = bounded_sample(marked.where("quality = 1"), SEED, "doc_id", POSITIVES).select("doc_id")
     positive = bounded_sample(usable.join(F.broadcast(ids), "doc_id", "left_semi"), SEED, "doc_id", POSITIVES, "x").select("x").collect()
     if not positive:
         return None
     unlabelled = bounded_sample(usable, SEED + 1, "doc_id", UNLABELLED, "x").select("x").collect()
-    return Network(_array(positive), _array(unlabelled), min(max(seen, 0.05), 0.98))
+    p, u = _array(positive), _array(unlabelled)
+    return Network(p, u, estimated_prior(p, u))
 
 
 def score(table: DataFrame, network: Network | None) -> DataFrame:

@@ -80,3 +80,55 @@ def test_keep_good_without_positives(spark):
     kind = "doc_id long, quality int, toxic int"
     for labels in ([], [(k, 0, 0) for k in range(20)]):
         assert quality.keep_good(docs, spark.createDataFrame(labels, kind)).count() == 20
+
+
+def plain_risk(w, xp, xu, prior):
+    """The parts of the risk, a row at a time."""
+    value = lambda x: float(np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0])
+    loss = lambda z: np.log(1 + np.exp(-z))
+    good = prior * sum(loss(value(x)) for x in xp) / len(xp)
+    bad = sum(loss(-value(x)) for x in xu) / len(xu) - prior * sum(loss(-value(x)) for x in xp) / len(xp)
+    return good, bad
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(1)
+    seen = set()
+    for prior, shift in ((0.3, 0.0), (0.9, 0.0), (0.95, 3.0)):
+        xp, xu = rng.normal(shift, 1, (12, 5)), rng.normal(-shift, 1, (20, 5))
+        w = [rng.normal(0, 1, (5, 3)), rng.normal(0, 1, 3), np.abs(rng.normal(0, 2, 3)), np.zeros(1)]
+        if shift:
+            w[0] = np.abs(w[0])
+        negative, grads = quality.risk_gradient(w, xp, xu, prior)
+        good, bad = plain_risk(w, xp, xu, prior)
+        assert np.isclose(negative, bad)
+        seen.add(bad >= 0)
+        for k in range(4):
+            for at in np.ndindex(w[k].shape):
+                ends = []
+                for step in (1e-6, -1e-6):
+                    moved = [x.copy() for x in w]
+                    moved[k][at] += step
+                    g, b = plain_risk(moved, xp, xu, prior)
+                    ends.append(g + b if bad >= 0 else -b)
+                assert np.isclose((ends[0] - ends[1]) / 2e-6, grads[k][at], atol=1e-5)
+    assert seen == {True, False}
+
+
+def test_planted_priors():
+    rng = np.random.default_rng(2)
+    d = len(quality.FEATURES)
+    good, bad = rng.normal(0, 1, (5000, d)), rng.normal(0, 1, (5000, d)) + 4 * np.eye(d)[0]
+    for prior in (0.2, 0.5, 0.8, 0.95):
+        n = int(3000 * prior)
+        unlabelled = np.concatenate([good[2000 : 2000 + n], bad[: 3000 - n]])
+        assert abs(quality.estimated_prior(good[:2000], unlabelled) - prior) < 0.05
+    assert quality.estimated_prior(good[:1], bad[:5]) == 0.5
+
+
+def test_prior_of_documents_needs_no_negative_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a = sorted(map(tuple, quality.classify(docs, labels).collect()))
+    b = sorted(map(tuple, quality.classify(docs, labels.where("quality = 1")).collect()))
+    assert a == b
