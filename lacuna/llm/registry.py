@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, jaccard, linedup, mixing, quality, sharding, urlfilter, warc
+from . import ann, chat, decontaminate, jaccard, linedup, merkle, mixing, quality, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": urlfilter.op10_url_filters,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
