@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, jaccard, linedup, merkle, mixing, quality, sharding, urlfilter, warc
+from . import ann, chat, decontaminate, jaccard, langid, linedup, merkle, mixing, phrases, quality, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_url_filters": urlfilter.op10_url_filters,
     "op11_merkle": merkle.op11_merkle,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_language_id": langid.op13_language_id,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op9_warc": warc.OP9_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
