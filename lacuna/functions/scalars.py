@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +81,12 @@ def day_of_year_cos(date: Column) -> Column:
 
 
 def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 50) -> Column:
-    """Length of the shortest line on the WGS-84 ellipsoid, by Vincenty's inverse formula; null for unknown places."""
+    """Length of the shortest line on the WGS-84 ellipsoid; null for unknown places.
+
+    Vincenty's inverse formula, and the azimuth's bisection for the pairs near antipodes for which it doesn't converge."""
     u1, u2 = F.atan(F.tan(F.radians(lat1)) * (1 - _F)), F.atan(F.tan(F.radians(lat2)) * (1 - _F))
-    gap = F.radians(lon2) - F.radians(lon1)
+    turn = F.pmod(F.radians(lon2) - F.radians(lon1), F.lit(2 * math.pi))
+    gap = F.least(turn, 2 * math.pi - turn)
 
     def orbit(c: Column, lam: Column) -> dict[str, Column]:
         s = F.sqrt(F.pow(c["cu2"] * F.sin(lam), 2) + F.pow(c["cu1"] * c["su2"] - c["su1"] * c["cu2"] * F.cos(lam), 2))
@@ -89,8 +96,6 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds:
         mid = F.when(cos2a == 0, F.lit(0.0)).otherwise(k - 2 * c["su1"] * c["su2"] / F.when(cos2a != 0, cos2a))
         return {"s": s, "k": k, "sigma": F.atan2(s, k), "sin_a": sin_a, "cos2a": cos2a, "mid": mid}
 
-    fixed = F.struct(F.sin(u1).alias("su1"), F.cos(u1).alias("cu1"), F.sin(u2).alias("su2"), F.cos(u2).alias("cu2"), gap.alias("gap"), gap.alias("lam"))
-
     def step(c: Column, _: Column) -> Column:
         o = F.transform(F.array(F.struct(*[v.alias(k) for k, v in orbit(c, c["lam"]).items()])), lambda o: _next(c, o))
         return F.get(o, F.lit(0))
@@ -98,7 +103,7 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds:
     def _next(c: Column, o: Column) -> Column:
         big = _F / 16 * o["cos2a"] * (4 + _F * (4 - 3 * o["cos2a"]))
         lam = c["gap"] + (1 - big) * _F * o["sin_a"] * (o["sigma"] + big * o["s"] * (o["mid"] + big * o["k"] * (-1 + 2 * o["mid"] * o["mid"])))
-        return F.struct(*[c[k].alias(k) for k in ("su1", "cu1", "su2", "cu2", "gap")], lam.alias("lam"))
+        return F.struct(*[c[k].alias(k) for k in ("su1", "cu1", "su2", "cu2", "gap")], lam.alias("lam"), F.abs(lam - c["lam"]).alias("moved"))
 
     def finish(c: Column) -> Column:
         def length(o: Column) -> Column:
@@ -109,9 +114,51 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds:
             turn = b * s * (m + b / 4 * (k * (-1 + 2 * m * m) - b / 6 * m * (-3 + 4 * s * s) * (-3 + 4 * m * m)))
             return _B * a * (o["sigma"] - turn) / 1000
 
-        return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in orbit(c, c["lam"]).items()])), length), F.lit(0))
+        settled = (c["moved"] < 1e-11) & ~F.isnan(c["lam"]) & (F.abs(c["lam"]) <= math.pi)
+        vincenty = F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in orbit(c, c["lam"]).items()])), length), F.lit(0))
+        return F.when(settled, vincenty).otherwise(_antipodal_km(u1, u2, gap))
+
+    fixed = F.struct(F.sin(u1).alias("su1"), F.cos(u1).alias("cu1"), F.sin(u2).alias("su2"), F.cos(u2).alias("cu2"), gap.alias("gap"), gap.alias("lam"), (gap * 0).alias("moved"))
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    return F.when(known, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), fixed, step, finish))
+
+
+def _integral(of: Callable[[Column], Column], low: Column, high: Column) -> Column:
+    """Gauss and Legendre's rule of 16 points; what is integrated here is far smoother."""
+    nodes, weights = np.polynomial.legendre.leggauss(16)
+    half, middle = (high - low) / 2, (high + low) / 2
+    return half * sum((float(w) * of(middle + half * float(x)) for x, w in zip(nodes, weights)), F.lit(0.0))
+
+
+def _antipodal_km(u1: Column, u2: Column, gap: Column) -> Column:
+    """The geodesic between reduced latitudes, ``gap`` apart in longitude, by bisection of its first azimuth (Karney, 2013): the
+    longitude it reaches grows with the azimuth once the place farther from the equator comes first and lies in the south."""
+    first, second = F.when(F.abs(u1) >= F.abs(u2), u1).otherwise(u2), F.when(F.abs(u1) >= F.abs(u2), u2).otherwise(u1)
+    second = F.when(first > 0, -second).otherwise(second)
+    first = F.least(-F.abs(first), F.lit(-1e-300))  # on the equator, too, just south of it
+    bend = (_A * _A - _B * _B) / (_B * _B)
+
+    def line(c: Column, azimuth: Column) -> dict[str, Column]:
+        sin_a0 = F.sin(azimuth) * c["cos1"]
+        cos2 = F.sqrt(F.greatest(F.pow(F.cos(azimuth) * c["cos1"], 2) + (c["cos2"] * c["cos2"] - c["cos1"] * c["cos1"]), F.lit(0.0)))
+        return {"sin_a0": sin_a0, "k2": bend * (1 - sin_a0 * sin_a0), "low": F.atan2(c["sin1"], F.cos(azimuth) * c["cos1"]), "high": F.atan2(c["sin2"], cos2)}
+
+    def on(c: Column, azimuth: Column, then: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in line(c, azimuth).items()])), then), F.lit(0))
+
+    def reached(o: Column) -> Column:
+        omega = lambda sigma: F.atan2(o["sin_a0"] * F.sin(sigma), F.cos(sigma))
+        lag = _integral(lambda s: (2 - _F) / (1 + (1 - _F) * F.sqrt(1 + o["k2"] * F.pow(F.sin(s), 2))), o["low"], o["high"])
+        return omega(o["high"]) - omega(o["low"]) - _F * o["sin_a0"] * lag
+
+    def halve(c: Column, _: Column) -> Column:
+        middle = (c["from"] + c["to"]) / 2
+        short = on(c, middle, reached) < c["gap"]
+        return F.struct(*[c[k].alias(k) for k in ("sin1", "cos1", "sin2", "cos2", "gap")], F.when(short, middle).otherwise(c["from"]).alias("from"), F.when(short, c["to"]).otherwise(middle).alias("to"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), fixed, step, finish)
+    length = lambda o: _B / 1000 * _integral(lambda s: F.sqrt(1 + o["k2"] * F.pow(F.sin(s), 2)), o["low"], o["high"])
+    begun = F.struct(F.sin(first).alias("sin1"), F.cos(first).alias("cos1"), F.sin(second).alias("sin2"), F.cos(second).alias("cos2"), gap.alias("gap"), F.lit(0.0).alias("from"), F.lit(math.pi).alias("to"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), begun, halve, lambda c: on(c, (c["from"] + c["to"]) / 2, length))
 
 
 def inverse_kernel(km: Column) -> Column:
