@@ -7,8 +7,7 @@ import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.regression import RandomForestRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import panel as panels
@@ -136,23 +135,6 @@ def rolling(panel: DataFrame, first_year: int, last_year: int, years: int, min_p
     return expanding(part, datetime.date(best["first_year"], 1, 1), datetime.date(best["last_year"], 12, 31), years, settings)
 
 
-def save(model: IterativeForestModel, path: str) -> None:
-    """Trees by station, and a table of what they belong to."""
-    spark = SparkSession.active()
-    rows = [(k, s, model.means.get(s), model.models.get(k) is not None) for k, s in enumerate(model.stations)]
-    for k, tree in model.models.items():
-        if tree is not None:
-            tree.write().overwrite().save(f"{path}/trees-{k}")
-    spark.createDataFrame(rows, "k int, station string, mean double, has_trees boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/stations")
-
-
-def load(path: str, parent: IterativeForest) -> IterativeForestModel:
-    """What :func:`save` wrote, as a model of ``parent`` (its kind and settings)."""
-    rows = SparkSession.active().read.parquet(f"{path}/stations").orderBy("k").collect()  # a row a station
-    models = {r["k"]: RandomForestRegressionModel.load(f"{path}/trees-{r['k']}") if r["has_trees"] else None for r in rows}
-    return IterativeForestModel(parent, [r["station"] for r in rows], {r["station"]: r["mean"] for r in rows}, models)
-
-
 def fit_cached(parent: IterativeForest, panel: DataFrame, folder: str) -> IterativeForestModel:
     """Fit, or load what an equal fit saved: equal kind, settings and readings."""
     s = parent.settings
@@ -161,8 +143,8 @@ def fit_cached(parent: IterativeForest, panel: DataFrame, folder: str) -> Iterat
     sums = [t.agg(F.count("*"), F.sum(F.xxhash64(*t.columns) % 1_000_000_007)).first() for t in tables]
     path = f"{folder}/{hashlib.md5(repr((type(parent).__name__, sorted(plain.items()), [tuple(x) for x in sums])).encode()).hexdigest()}"
     try:
-        return load(path, parent)
+        return IterativeForestModel.load(path)
     except AnalysisException:  # nothing was saved there
         model = parent.fit(panel)
-        save(model, path)
+        model.write().overwrite().save(path)
         return model
