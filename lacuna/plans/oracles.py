@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import COORDINATES, GAP_LENGTHS, NAMES, NUMBERS, PERCENT, SEED_DAYS
+from .queries import COORDINATES, GAP_LENGTHS, GIVEN, NAMES, NUMBERS, PERCENT, SEED_DAYS
 
 _FIRST, _LAST = "1995-01-01", "2001-12-31"
 
@@ -179,12 +179,74 @@ SELECT target, predictor, round({normal('b')}, 9) AS weight FROM two"""
 
 _CONNECTED = "CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.station = distances.target AND e.contributor = distances.predictor) THEN 1.0::DOUBLE ELSE 0.0 END"
 
-_KNN = f"""WITH {_panel('region')}, {_WINDOWS},
+def _knn(by: str) -> str:
+    return f"""WITH {_panel(by)}, {_WINDOWS},
 seed AS (SELECT panel.* FROM panel, best WHERE date BETWEEN start_date AND end_date),
 part AS (SELECT panel.* FROM panel, best WHERE date NOT BETWEEN start_date AND end_date),
 stats AS (SELECT station, AVG(x) AS mean, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1.0 END AS scale
   FROM (SELECT station, COALESCE(value, AVG(value) OVER (PARTITION BY station), 0.0) AS x FROM seed) GROUP BY station)"""
 
+
+def _knn_fill(by: str, calendar: bool) -> str:
+    """Neighbours by the stations' scaled readings and, with ``calendar``, by two scaled calendar columns."""
+    angle = "2.0::DOUBLE * pi() * dayofyear(date) / 366.0::DOUBLE"
+    more = f"""
+days AS (SELECT DISTINCT date, dn, sin({angle}) AS s, cos({angle}) AS c FROM panel),
+turns AS (SELECT AVG(s) AS ms, stddev_pop(s) AS ds, AVG(c) AS mc, stddev_pop(c) AS dc FROM days, best WHERE date BETWEEN start_date AND end_date),
+turned AS (SELECT ' s' AS station, date, dn, (s - ms) / ds AS z FROM days, turns UNION ALL SELECT ' c', date, dn, (c - mc) / dc FROM days, turns),""" if calendar else ""
+    also = lambda columns, inside: f" UNION ALL SELECT {columns} FROM turned, best WHERE date {'' if inside else 'NOT '}BETWEEN start_date AND end_date" if calendar else ""
+    return f"""{_knn(by)},{more}
+donors AS (SELECT station, dn AS donor, (value - mean) / scale AS dz FROM seed JOIN stats USING (station) WHERE value IS NOT NULL),
+asked AS (SELECT station, date, dn, value, mean, scale, CASE WHEN COUNT(value) OVER (PARTITION BY station) = 0 THEN (COALESCE(value, mean) - mean) / scale ELSE (value - mean) / scale END AS z FROM part JOIN stats USING (station)),
+from_days AS (SELECT station, dn, z FROM asked WHERE z IS NOT NULL AND dn IN (SELECT dn FROM asked WHERE z IS NULL){also("station, dn, z", False)}),
+to_days AS (SELECT * FROM donors{also("station, dn, z", True)}),
+pairs AS (SELECT a.dn, d.donor, round(sqrt(((SELECT COUNT(*)::DOUBLE FROM stats) + {2.0 if calendar else 0.0}) / COUNT(*) * SUM(pow(z - dz, 2))), 8) AS distance FROM from_days a JOIN to_days d USING (station) GROUP BY 1, 2),
+ranked AS (SELECT a.station, a.dn, dz, row_number() OVER (PARTITION BY a.station, a.dn ORDER BY distance, p.donor) AS k FROM asked a JOIN pairs p ON p.dn = a.dn JOIN donors d ON d.station = a.station AND d.donor = p.donor WHERE a.z IS NULL),
+found AS (SELECT station, dn, AVG(dz) AS nz FROM ranked WHERE k <= 5 GROUP BY 1, 2)
+SELECT station, date::VARCHAR AS date, round(COALESCE(value, COALESCE(z, nz, 0.0) * scale + mean), 4) AS filled, value IS NULL AS was_missing FROM asked LEFT JOIN found USING (station, dn)"""
+
+
+def _kalman(params: tuple[float, ...]) -> str:
+    """One-step-ahead predictions with given parameters, day by day: state in 9, covariance in 81 numbers."""
+    a, b, sa, sb = params
+    ar, shock = [a, 0, 0, 0, 0, 0, sa, -a * sa, 0], [1, b, 0, 0, 0, 0, 0, sb, b * sb]
+    listed = lambda x: "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in x) + "]"
+    return f"""WITH RECURSIVE {_panel()},
+series AS (SELECT station, list(value ORDER BY dn) AS ys, list(date ORDER BY dn) AS dates FROM panel GROUP BY station),
+coefficients AS (SELECT {listed(ar)} AS ar, {listed(shock)} AS sh),
+walk AS (
+  SELECT station, 1 AS t, list_transform(range(9), lambda k: 0.0::DOUBLE) AS a, list_transform(range(81), lambda k: CASE WHEN k % 10 = 0 THEN 1e6::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM series
+  UNION ALL
+  SELECT station, t + 1,
+    list_transform(range(9), lambda k: ar[k + 1] * seen[1] + CASE WHEN k < 8 THEN seen[k + 2] ELSE 0.0::DOUBLE END),
+    list_transform(range(81), lambda k: moved[(k // 9) * 9 + 1] * ar[k % 9 + 1] + CASE WHEN k % 9 < 8 THEN moved[k + 2] ELSE 0.0::DOUBLE END + sh[k // 9 + 1] * sh[k % 9 + 1])
+  FROM (
+    SELECT *, list_transform(range(81), lambda k: ar[k // 9 + 1] * less[k % 9 + 1] + CASE WHEN k // 9 < 8 THEN less[k + 10] ELSE 0.0::DOUBLE END) AS moved FROM (
+      SELECT station, t, ar, sh,
+        CASE WHEN y IS NULL THEN a ELSE list_transform(range(9), lambda k: a[k + 1] + p[k + 1] / p[1] * (y - a[1])) END AS seen,
+        CASE WHEN y IS NULL THEN p ELSE list_transform(range(81), lambda k: p[k + 1] - p[k // 9 + 1] / p[1] * p[k % 9 + 1]) END AS less
+      FROM (SELECT w.station, t, a, p, ys[t] AS y, ar, sh FROM walk w JOIN series s ON s.station = w.station, coefficients WHERE t < len(ys))
+    )
+  )
+)
+SELECT w.station, s.dates[t]::VARCHAR AS date, round(COALESCE(s.ys[t], a[1]), 4) AS filled, s.ys[t] IS NULL AS was_missing FROM walk w JOIN series s ON s.station = w.station"""
+
+
+def _stump() -> str:
+    """The best single split of each station by another one's readings, gaps in them at the seed's means."""
+    return f"""{_knn("nation")},
+means AS (SELECT station, AVG(value) AS m FROM seed GROUP BY station),
+x AS (SELECT s.station AS j, dn, COALESCE(value, m) AS x FROM seed s JOIN means USING (station)),
+grouped AS (SELECT s.station AS k, j, x, SUM(value)::DOUBLE AS s, COUNT(*)::DOUBLE AS n FROM seed s JOIN x ON x.dn = s.dn AND j <> s.station WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+running AS (SELECT *, SUM(s) OVER o AS s1, SUM(n) OVER o AS n1, SUM(s) OVER p AS s0, SUM(n) OVER p AS n0, lead(x) OVER o AS further FROM grouped WINDOW o AS (PARTITION BY k, j ORDER BY x), p AS (PARTITION BY k, j)),
+best_split AS (
+  SELECT k, j, (x + further) / 2 AS threshold, s1 / n1 AS low, (s0 - s1) / (n0 - n1) AS high FROM running WHERE further IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY s1 * s1 / n1 + (s0 - s1) * (s0 - s1) / (n0 - n1) DESC, j, x) = 1
+)
+SELECT p.station, p.date::VARCHAR AS date, round(COALESCE(p.value, CASE WHEN COALESCE(o.value, m.m) <= threshold THEN low ELSE high END), 6) AS filled, p.value IS NULL AS was_missing
+FROM part p JOIN best_split b ON b.k = p.station JOIN part o ON o.station = b.j AND o.dn = p.dn JOIN means m ON m.station = b.j"""
+
+
 ORACLES = {
     "panel_daily": f"WITH {_panel()} SELECT station, date::VARCHAR AS date, dn, value FROM panel",
     "fill_column_mean": _fill("column_mean"),
@@ -227,14 +289,11 @@ SELECT station, date::VARCHAR AS date, value AS true_value FROM ranked WHERE k <
 cells AS (SELECT o.station, date, dn, value AS truth, g.start IS NOT NULL AS is_gap, CASE WHEN g.start IS NULL THEN value END AS value FROM placed o LEFT JOIN plan_a g ON g.at_station = o.station AND pos >= start AND pos < start + 7),
 {_fills('cells')}, drawn AS (SELECT station FROM (SELECT DISTINCT at_station AS station FROM plan_a) ORDER BY md5('42|' || station) LIMIT 3)
 SELECT station, date::VARCHAR AS date, truth AS true_value, is_gap, round(linear_time, 6) AS filled FROM filled WHERE station IN (SELECT station FROM drawn)""",
-    "scale_stats": f"{_KNN} SELECT station, round(mean, 6) AS mean, round(scale, 6) AS scale FROM stats",
-    "knn_fill": f"""{_KNN},
-donors AS (SELECT station, dn AS donor, (value - mean) / scale AS dz FROM seed JOIN stats USING (station) WHERE value IS NOT NULL),
-asked AS (SELECT station, date, dn, value, mean, scale, CASE WHEN COUNT(value) OVER (PARTITION BY station) = 0 THEN (COALESCE(value, mean) - mean) / scale ELSE (value - mean) / scale END AS z FROM part JOIN stats USING (station)),
-pairs AS (SELECT a.dn, d.donor, round(sqrt((SELECT COUNT(*)::DOUBLE FROM stats) / COUNT(*) * SUM(pow(z - dz, 2))), 8) AS distance FROM asked a JOIN donors d USING (station) WHERE z IS NOT NULL GROUP BY 1, 2),
-ranked AS (SELECT a.station, a.dn, dz, row_number() OVER (PARTITION BY a.station, a.dn ORDER BY distance, p.donor) AS k FROM asked a JOIN pairs p ON p.dn = a.dn JOIN donors d ON d.station = a.station AND d.donor = p.donor WHERE a.z IS NULL),
-found AS (SELECT station, dn, AVG(dz) AS nz FROM ranked WHERE k <= 5 GROUP BY 1, 2)
-SELECT station, date::VARCHAR AS date, round(COALESCE(value, COALESCE(z, nz, 0.0) * scale + mean), 4) AS filled, value IS NULL AS was_missing FROM asked LEFT JOIN found USING (station, dn)""",
+    "scale_stats": f"{_knn('region')} SELECT station, round(mean, 6) AS mean, round(scale, 6) AS scale FROM stats",
+    "knn_fill": _knn_fill("region", False),
+    "knn_fill_calendar": _knn_fill("nation", True),
+    "forest_stump": _stump(),
+    "kalman_given": _kalman(GIVEN),
 }
 
 _BLOCKS = f"""

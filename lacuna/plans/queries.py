@@ -216,13 +216,15 @@ def _nation_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return panels.between(panel, *ends), panels.outside(panel, *ends)
 
 
-#: Size of the models in the queries; README has the time that the operators' defaults take.
-MODELS = {"n_estimators": 5, "max_iter": 2, "max_depth": 4, "update": "jacobi"}
-EVALUATED = MODELS | {"n_estimators": 2, "max_iter": 1, "max_depth": 3}  # some fifteen fits
+#: Size of the models in the queries: trees as the reference has; README has the time that more passes take.
+MODELS = {"n_estimators": 100, "max_depth": 10}
+SIDE_BY_SIDE = {"update": "jacobi", "max_iter": 3}
+ONE_BY_ONE = {"update": "gauss_seidel", "max_iter": 1}
+EVALUATED = MODELS | {"n_estimators": 20, "update": "jacobi", "max_iter": 2}  # some fifteen fits
 
 
 def _settings(spark, sf_dir, **options) -> Settings:
-    return Settings(cut(_distances(spark, sf_dir)), cut(connectivity(spark, sf_dir)), **MODELS | options)
+    return Settings(cut(_distances(spark, sf_dir)), cut(connectivity(spark, sf_dir)), **MODELS | SIDE_BY_SIDE | options)
 
 
 def held(filled: DataFrame, panel: DataFrame, trained: DataFrame | None = None) -> DataFrame:
@@ -244,7 +246,7 @@ def held(filled: DataFrame, panel: DataFrame, trained: DataFrame | None = None)
 
 def forest_base(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return held(IterativeForest(_settings(spark, sf_dir)).fit(seed).transform(part), part, seed)
+    return held(IterativeForest(_settings(spark, sf_dir, **ONE_BY_ONE)).fit(seed).transform(part), part, seed)
 
 
 def forest_custom(spark, sf_dir):
@@ -254,12 +256,27 @@ def forest_custom(spark, sf_dir):
 
 def forest_vanilla(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return held(IterativeForest(**MODELS).fit(seed).transform(part), part, seed)
+    return held(IterativeForest(**MODELS | SIDE_BY_SIDE).fit(seed).transform(part), part, seed)
 
 
 def forest_chained_equations(spark, sf_dir):
     seed, part = _nation_parts(spark, sf_dir)
-    return held(ChainedForest(**MODELS).fit(seed).transform(part), part, seed)
+    return held(ChainedForest(**MODELS | SIDE_BY_SIDE).fit(seed).transform(part), part, seed)
+
+
+def forest_stump(spark, sf_dir):
+    """One tree of one split a station, on all other stations: the fill itself."""
+    seed, part = _nation_parts(spark, sf_dir)
+    stump = IterativeForest(n_estimators=1, max_depth=1, max_bins=0, subset="all", bootstrap=False, calendar=False, update="jacobi", max_iter=1)
+    return stump.fit(seed).transform(part).select("station", _date(), _r("filled").alias("filled"), "was_missing")
+
+
+#: Parameters a, b, A, C of the state-space fill without a search.
+GIVEN = (0.5, 0.1, 0.3, 0.1)
+
+
+def kalman_given(spark, sf_dir):
+    return kalman_fill(_nation(spark, sf_dir)[0], params=GIVEN).select("station", _date(), _r("filled", 4).alias("filled"), "was_missing")
 
 
 def kalman(spark, sf_dir):
@@ -340,7 +357,9 @@ QUERIES = {
     "forest_custom": forest_custom,
     "forest_vanilla": forest_vanilla,
     "forest_chained_equations": forest_chained_equations,
+    "forest_stump": forest_stump,
     "kalman_fill": kalman,
+    "kalman_given": kalman_given,
     "seed_and_fill": seed_and_fill,
     "chaining": chaining,
     "expanding": expanding,
