@@ -6,12 +6,16 @@ average, its ends depend on the lines around them and not on their place, and a
 other documents is cut alike inside. A line that is repeated in a row makes a chunk with its repeats, and
 a line of ``LONG_WORDS`` words or more is a chunk of its own.
 
-Chunks that repeat anywhere are found by their neighbouring lines: each pair of lines (and each long
-line) that repeats is aligned with its first place, by (doc_id, digest of the text, line), and pairs in a row
-that stand in a row at their first places, too, make a run. So a repeated chunk is extended to all equal
-lines around it. A run that holds a whole chunk, or ``PASSAGE_WORDS`` words where it is too short for
-one, is removed once its bytes were compared with those of the first place. Lines that repeat one by one,
-pairs of empty lines, and runs that overlap their own first place stay.
+Chunks of two lines or more, and long lines, are compared by their digests: one that repeats is removed
+wherever it stands but for its first place, by (doc_id, digest of the text, line), whatever else its lines
+occur in, once its bytes were compared with those of the first place. The removal is extended to equal
+lines of the chunks before and behind, compared by bytes, too, where the first place is in another document.
+
+Passages may be too short to hold a whole chunk. So pairs of lines that repeat are aligned with their first
+places, as well: pairs in a row that stand in a row at their first places make a run, which is removed if it
+holds a whole chunk or ``PASSAGE_WORDS`` words. This only adds to what chunks remove. Every removed line has an
+equal one at a lesser place, so one copy stays. Lines that repeat one by one, empty chunks, and runs that
+overlap their own first place stay.
 
 Only hashes are exchanged to find what repeats: they are counted first, and joined with those that repeat
 from written tables, so that a hot one is broadcast to or split. Texts move only of documents that hold
@@ -60,20 +64,23 @@ def with_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """(__doc, __text, at, lines, hash, chars, chunk): pairs of lines and long lines; chunk: the last line of a chunk of two or more that begins at ``at``."""
+    """(__doc, __text, at, lines, block, hash, chars, chunk): chunks of two lines or more (block), pairs of lines and long lines; chunk: the last line of a chunk of two or more that begins at ``at``."""
     keyed = with_chunks(docs)
     ends = F.flatten(F.transform("__chunks", lambda c: F.concat(F.array(F.when(c["last"] > c["first"], c["last"])), F.array_repeat(F.lit(None).cast("int"), c["last"] - c["first"]))))
     keyed = keyed.withColumn("__begun", ends)
     mark = lambda k: F.get("__marks", k)
-    pair = lambda x, k: F.when(x["chars"] + mark(k + 1)["chars"] > 0, F.struct(k.alias("at"), F.lit(2).alias("lines"), F.xxhash64(x["h"], mark(k + 1)["h"]).alias("hash"), (x["chars"] + mark(k + 1)["chars"]).alias("chars"), F.get("__begun", k).alias("chunk")))
-    alone = lambda x, k: F.when(x["long"], F.struct(k.alias("at"), F.lit(1).alias("lines"), F.xxhash64(x["h"]).alias("hash"), x["chars"].alias("chars"), k.alias("chunk")))
-    longs = F.when(F.exists("__marks", lambda x: x["long"]), F.array_compact(F.transform("__marks", alone))).otherwise(F.array().cast("array<struct<at:int,lines:int,hash:bigint,chars:int,chunk:int>>"))
-    both = F.concat(F.array_compact(F.transform(F.slice("__marks", 1, F.size("__marks") - 1), pair)), longs)
+    pair = lambda x, k: F.when(x["chars"] + mark(k + 1)["chars"] > 0, F.struct(k.alias("at"), F.lit(2).alias("lines"), F.lit(False).alias("block"), F.xxhash64(x["h"], mark(k + 1)["h"]).alias("hash"), (x["chars"] + mark(k + 1)["chars"]).alias("chars"), F.get("__begun", k).alias("chunk")))
+    alone = lambda x, k: F.when(x["long"], F.struct(k.alias("at"), F.lit(1).alias("lines"), F.lit(False).alias("block"), F.xxhash64(x["h"]).alias("hash"), x["chars"].alias("chars"), k.alias("chunk")))
+    longs = F.when(F.exists("__marks", lambda x: x["long"]), F.array_compact(F.transform("__marks", alone))).otherwise(F.array().cast("array<struct<at:int,lines:int,block:boolean,hash:bigint,chars:int,chunk:int>>"))
+    own = lambda c: F.slice(F.col("__marks"), c["first"] + 1, c["last"] - c["first"] + 1)
+    chars = lambda c: F.aggregate(own(c), F.lit(0), lambda n, x: n + x["chars"])
+    block = lambda c: F.when((c["last"] > c["first"]) & (chars(c) > 0), F.struct(c["first"].alias("at"), (c["last"] - c["first"] + 1).alias("lines"), F.lit(True).alias("block"), F.xxhash64(F.lit("chunk"), F.transform(own(c), lambda x: x["h"])).alias("hash"), chars(c).alias("chars"), c["last"].alias("chunk")))
+    both = F.concat(F.array_compact(F.transform("__chunks", block)), F.array_compact(F.transform(F.slice("__marks", 1, F.size("__marks") - 1), pair)), longs)
     return keyed.select("__doc", "__text", F.explode(both).alias("c")).select("__doc", "__text", "c.*")
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """Runs of repeated pieces, aligned with their first places: (__doc, __text, first, lines, whole, of_doc, of_text, of_first); written."""
+    """Repeated chunks, and runs of other repeated pieces, with their first places: (__doc, __text, first, lines, block, whole, of_doc, of_text, of_first); written."""
     table = materialize(_pieces(docs), "line-pieces")
     repeated = materialize(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-repeated")
     held = materialize(table.join(F.broadcast(repeated) if fits_broadcast(repeated.count(), 32) else repeated, "hash"), "line-held")
@@ -82,32 +89,46 @@ def _runs(docs: DataFrame) -> DataFrame:
     first = materialize(held.groupBy("hash").agg(F.min(place).alias("of")), "line-first")
     met = held.join(F.broadcast(first) if fits_broadcast(first.count(), 96) else first, "hash")
     own = F.col("__doc").eqNullSafe(F.col("of.doc")) & (F.col("__text") == F.col("of.text"))
-    again = met.where(~own | (F.col("at") != F.col("of.at"))).select("__doc", "__text", "at", "lines", "chars", "chunk", F.col("of.doc").alias("of_doc"), F.col("of.text").alias("of_text"), (F.col("at") - F.col("of.at")).alias("shift"))
-    by = ("__doc", "__text", "lines", "of_doc", "of_text", "shift")  # a document's rows stay where they are
-    island = again.repartition("__doc", "__text").withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at")))
+    again = met.where(~own | (F.col("at") != F.col("of.at"))).select("__doc", "__text", "at", "lines", "block", "chars", "chunk", F.col("of.doc").alias("of_doc"), F.col("of.text").alias("of_text"), (F.col("at") - F.col("of.at")).alias("shift"))
+    by = ("__doc", "__text", "block", "lines", "of_doc", "of_text", "shift")  # a document's rows stay where they are
+    in_row = F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at"))
+    island = again.repartition("__doc", "__text").withColumn("island", F.when(F.col("block"), F.col("at")).otherwise(in_row))  # a chunk is a run of its own
     whole = F.coalesce(F.min("chunk") <= F.max("at") + F.col("lines") - 1, F.lit(False))
     runs = island.groupBy(*by, "island").agg(F.min("at").alias("first"), (F.max("at") - F.min("at") + F.col("lines")).alias("n"), whole.alias("whole"), F.sum("chars").alias("chars"))
     apart = ~(F.col("__doc").eqNullSafe(F.col("of_doc")) & (F.col("__text") == F.col("of_text"))) | (F.col("shift") >= F.col("n"))
     kept = runs.where(apart & (F.col("whole") | (F.col("chars") >= 2 * PASSAGE_WORDS - 1)))
-    out = materialize(kept.select("__doc", "__text", "first", F.col("n").alias("lines"), "whole", "of_doc", "of_text", (F.col("first") - F.col("shift")).alias("of_first")), "line-runs")
+    out = materialize(kept.select("__doc", "__text", "first", F.col("n").alias("lines"), "block", "whole", "of_doc", "of_text", (F.col("first") - F.col("shift")).alias("of_first")), "line-runs")
     release(held, first)
     return out
 
 
+def _equal(a: Column, b: Column) -> Column:
+    """How many lines are equal from the beginning on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, False)
+    return F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """__doc, __text (its digest) and __gone: array(struct(first, lines)) of runs to remove; only documents that lose some; written."""
     keyed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text"), "text")
     runs = _runs(keyed)
-    ends = runs.select("__doc", "__text", "first", "lines").unionByName(runs.select(F.col("of_doc").alias("__doc"), F.col("of_text").alias("__text"), F.col("of_first").alias("first"), "lines"))
-    wanted = ends.groupBy(F.col("__doc").alias("__d"), F.col("__text").alias("__t")).agg(F.collect_set(F.struct("first", "lines")).alias("__held"))  # a document's own places
+    ends = runs.select("__doc", "__text", "first", "lines", "block").unionByName(runs.select(F.col("of_doc").alias("__doc"), F.col("of_text").alias("__text"), F.col("of_first").alias("first"), "lines", "block"))
+    wanted = ends.groupBy(F.col("__doc").alias("__d"), F.col("__text").alias("__t")).agg(F.collect_set(F.struct("first", "lines", "block")).alias("__held"))  # a document's own places
     wanted = F.broadcast(wanted) if fits_broadcast(runs.count(), 96) else wanted
-    met = keyed.join(wanted, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t"))).withColumn("__lines", F.split("text", "\n"))
-    piece = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.array_join(F.slice(F.col("__lines"), c["first"] + 1, c["lines"]), "\n").alias("bytes"))
+    met = with_chunks(keyed.join(wanted, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t"))))
+    lines = lambda first, n: F.slice(F.col("__lines"), first + 1, n)
+    beside = lambda c, chunk: F.when(c["block"], F.get(F.filter("__chunks", chunk), F.lit(0)))
+    span = lambda x: F.coalesce(lines(x["first"], x["last"] - x["first"] + 1), F.array().cast("array<string>"))
+    piece = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), c["block"].alias("block"), F.array_join(lines(c["first"], c["lines"]), "\n").alias("bytes"), F.reverse(span(beside(c, lambda x: x["last"] == c["first"] - 1))).alias("before"), span(beside(c, lambda x: x["first"] == c["first"] + c["lines"])).alias("behind"))
     texts = materialize(met.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.explode(F.transform("__held", piece)).alias("c")).select("d", "t", "c.*").distinct(), "line-texts")
-    side = lambda doc, text, first, name: (F.col(doc).eqNullSafe(F.col(f"{name}.d")) & (F.col(text) == F.col(f"{name}.t")) & (F.col(first) == F.col(f"{name}.first")) & (F.col("r.lines") == F.col(f"{name}.lines")))
+    side = lambda doc, text, first, name: (F.col(doc).eqNullSafe(F.col(f"{name}.d")) & (F.col(text) == F.col(f"{name}.t")) & (F.col(first) == F.col(f"{name}.first")) & (F.col("r.lines") == F.col(f"{name}.lines")) & (F.col("r.block") == F.col(f"{name}.block")))
     both = runs.alias("r").join(texts.alias("own"), side("r.__doc", "r.__text", "r.first", "own")).join(texts.alias("of"), side("r.of_doc", "r.of_text", "r.of_first", "of"))
     equal = both.where((F.col("own.bytes") == F.col("of.bytes")) & (F.col("r.whole") | _words(F.col("own.bytes"))))
-    gone = equal.groupBy("r.__doc", "r.__text").agg(F.sort_array(F.collect_set(F.struct("r.first", "r.lines"))).alias("__gone"))
+    apart = F.col("r.block") & ~(F.col("r.__doc").eqNullSafe(F.col("r.of_doc")) & (F.col("r.__text") == F.col("r.of_text")))
+    before, behind = (F.when(apart, _equal(F.col(f"own.{c}"), F.col(f"of.{c}"))).otherwise(0) for c in ("before", "behind"))
+    gone = equal.select("r.__doc", "r.__text", (F.col("r.first") - before).alias("first"), (F.col("r.lines") + before + behind).alias("lines"))
+    gone = gone.groupBy("__doc", "__text").agg(F.sort_array(F.collect_set(F.struct("first", "lines"))).alias("__gone"))
     gone = materialize(gone, "line-gone")
     release(runs, texts)
     return gone

@@ -40,7 +40,7 @@ def chunks(lines):
 def brute(rows):
     """Kept texts by (doc_id, text)."""
     docs = sorted({(doc, text) for doc, text in rows if text is not None}, key=lambda d: (d[0] is None, d[0] or 0, signed(d[1].encode())))
-    first, split, gone = {}, {}, defaultdict(set)
+    first, split, gone, whole = {}, {}, defaultdict(set), defaultdict(list)
     for doc in docs:
         split[doc] = doc[1].split("\n")
         _, long = chunks(split[doc])
@@ -50,6 +50,26 @@ def brute(rows):
                 first.setdefault((lines[k], lines[k + 1]), (doc, k))
             if long[k]:
                 first.setdefault((lines[k],), (doc, k))
+    for doc in docs:  # whole chunks by their lines
+        for j, (a, b) in enumerate(chunks(split[doc])[0]):
+            if b > a and any(split[doc][a : b + 1]):
+                whole[tuple(split[doc][a : b + 1])].append((doc, j))
+    for places in whole.values():
+        of, i = places[0]
+        there = chunks(split[of])[0]
+        for doc, j in places[1:]:
+            own = chunks(split[doc])[0]
+            a, b = own[j]
+            gone[doc].update(range(a, b + 1))
+            if doc != of:
+                near = lambda d, c, k: split[d][c[k][0] : c[k][1] + 1] if 0 <= k < len(c) else []
+                for side, step in ((reversed, -1), (list, 1)):
+                    at = a if step < 0 else b
+                    for x, y in zip(side(near(doc, own, j + step)), side(near(of, there, i + step))):
+                        if x != y:
+                            break
+                        at += step
+                        gone[doc].add(at)
     for doc in docs:
         lines = split[doc]
         own, long = chunks(lines)
@@ -136,6 +156,39 @@ def test_recall_of_passages(spark, words, least):
     assert whole >= least * len(held)
 
 
+def test_an_unrelated_document_doesnt_keep_a_chunk(spark):
+    """A first document that shares only two lines of a chunk leaves its later occurrences where they are: they go."""
+    rng, tried = random.Random(8), 0
+    while tried < 5:
+        chunk = [f"line {rng.random()}" for _ in range(5)]
+        rows = [(2, "\n".join(["a", "b", *chunk, "c", "d"])), (3, "\n".join(["e", *chunk, "f"])), (4, "\n".join(["g", "h", *chunk, "i"]))]
+        inside = [set((tuple(t.split("\n")[a : b + 1]) for a, b in chunks(t.split("\n"))[0] if b > a)) for _, t in rows]
+        if not (shared := {c for c in set.intersection(*inside) if len(c) > 2}):
+            continue
+        tried += 1
+        rows.append((1, "\n".join(["x", *max(shared, key=len)[:2], "y"])))
+        got = {r["doc_id"]: r["text"] for r in linedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()}
+        for c in shared:
+            assert "\n".join(c) in got[2] and all("\n".join(c) not in got[d] for d in (3, 4))
+        assert got == {d: t for (d, _), t in brute(rows).items()}
+
+
+def test_every_later_chunk_goes(spark):
+    """On the given table no occurrence of a byte-equal chunk of several lines stays but the first."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    gone = {(r["__doc"], r["__text"]): {k for g in r["__gone"] for k in range(g["first"], g["first"] + g["lines"])} for r in linedup.removed_lines(docs).collect()}
+    places = defaultdict(list)
+    for doc, text in sorted({tuple(r) for r in docs.collect()}, key=lambda d: (d[0], signed(d[1].encode()))):
+        lines = text.split("\n")
+        for a, b in chunks(lines)[0]:
+            if b > a and any(lines[a : b + 1]):
+                places["\n".join(lines[a : b + 1])].append((doc, signed(text.encode()), a, b))
+    later = [x for own in places.values() for x in own[1:]]
+    assert later and all(set(range(a, b + 1)) <= gone[doc, t] for doc, t, a, b in later)
+    for own in places.values():  # and of each text one copy of every line is kept
+        assert own[0][3] >= own[0][2]
+
+
 def test_one_line_repeated(spark):
     rows = [(1, "x\n" + "again and again\n" * 200 + "y"), (2, "z\n" + "again and again\n" * 200 + "w"), (3, "again and again\n" * 150)]
     got = {r["doc_id"]: r["text"] for r in linedup.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()}
