@@ -22,7 +22,8 @@ block of its own). Each block reads the corpus once.
 
 Null and empty texts, and items without words, match nothing. An item of fewer than ``LEAST`` words is
 only found whole and in one run. Repeated rows are judged each; null ids stay null. Long texts are
-searched whole. Empty tables give an empty table; extra columns aren't read.
+searched whole. Empty tables give an empty table; extra columns aren't read, and :func:`drop_leaks`
+keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fits_broadcast, lean, materialize, release, small_batches
+from .storage import fits_broadcast, lean, materialize, release, shielded, small_batches
 from .text import WORDLIKE, words
 
 PASSAGE, FLOOR = 64, 0.1
@@ -340,6 +341,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
     return result
 
 
+@shielded
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; decided by text, so that ids may repeat."""
     digest = F.xxhash64(F.coalesce("text", F.lit("")))

@@ -29,7 +29,8 @@ of similarity 0.8 or more.
 
 Null, empty and blank texts have no shingles: they are a class each (their own doc_id) without links. Null
 doc_ids are documents like others. Repeated rows are copies of each other and counted as such. Long
-texts are whole sets. An empty table gives an empty table; extra columns aren't read.
+texts are whole sets. An empty table gives an empty table; extra columns aren't read, and
+:func:`keep_one` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import fits_broadcast, lean, materialize, release
+from .storage import fits_broadcast, lean, materialize, release, shielded
 from .text import mix64, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -397,6 +398,7 @@ def join(docs: DataFrame) -> DataFrame:
     return _classes(docs).select("doc_id", "class_id", "n_links")
 
 
+@shielded
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the least by doc_id (null last), then by the text's digest. Texts without shingles stay."""
     found = materialize(_classes(docs), "jaccard-documents")

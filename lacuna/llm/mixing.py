@@ -14,7 +14,8 @@ within a stratum need its rows.
 
 Null texts have size 0, a null source is a source of its own and comes last, null and repeated doc_ids
 are documents like others (rows equal in all of doc_id, source and size are interchangeable), and an
-empty table gives an empty table. Columns of the input with an output's name are replaced.
+empty table gives an empty table. Columns of the input with an output's name are replaced by
+:func:`mix`; :func:`emit` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import fits_broadcast, materialize, release
+from .storage import fits_broadcast, materialize, release, shielded
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -83,6 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
     return copies(sized, weights, max_copies)
 
 
+@shielded
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """The documents themselves, each as often as the mix takes it.
 

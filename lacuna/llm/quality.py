@@ -1,7 +1,7 @@
 """Quality classifier: positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are documents that ``labels`` marks 1; unlabelled web text are all other training
-documents, with or without a label. With class prior p and the logistic loss l, the risk is
+Trusted positives are documents that ``labels`` marks 1; unlabelled web text is drawn from all training
+documents, with or without a label (two samples, the second a mixture). With class prior p and the logistic loss l, the risk is
 ``p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])`` and a step that finds the second term negative climbs
 out of it instead (Kiryo et al., 2017). Labels of 0 take no part but to void a label of 1.
 
@@ -18,7 +18,8 @@ doc_id; scoring is per row, everywhere the same.
 Labels count only for rows whose crc32(doc_id as text) mod 4 isn't 2. A doc_id with labels of both
 kinds has none. A null doc_id has no label and isn't held out. Null and empty texts have zero
 statistics and a score like others. Without any training labels every score is the prior 0.5. Repeated
-rows get equal scores; an empty table gives an empty table; other columns of the input aren't read.
+rows get equal scores; an empty table gives an empty table; other columns of the input aren't read by
+the classifier, and :func:`keep_good` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
-from .storage import fits_broadcast, lean, materialize, release
+from .storage import fits_broadcast, lean, materialize, release, shielded
 from .text import NONSPACE, mix64, text_bytes, word_spans
 
 #: Bounds of the sample that the network is fitted on.
@@ -263,6 +264,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(table, fit(table, labels)).drop("key")
 
 
+@shielded
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects; all of them where labels allow no fit. Scores are a text's, so the rejected are known by their texts' digests."""
     table = materialize(feature_table(docs), "quality-features")

@@ -6,7 +6,8 @@ by one slot at most and a lost shard moves few keys of the others. A key's hash
 row is one lookup in a table whose size is a parameter, so it is broadcast whatever the input's size.
 
 Null keys hash as a marker of their own and share one slot; equal keys always share a shard; an empty
-table gives an empty table. A column that has the output's name already is replaced.
+table gives an empty table. A column that has the output's name already is replaced; others are kept
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import shielded
+
 SHARDS = 64
 #: Prime, and over 100 times the shards, so that shares differ by under 1 %.
 TABLE_SIZE = 65537
@@ -58,6 +61,7 @@ def lookup(spark: SparkSession, names: list[str], size: int = TABLE_SIZE) -> Dat
     return spark.createDataFrame(list(enumerate(fill_table(names, size))), "__slot long, __shard int")
 
 
+@shielded
 def shard(df: DataFrame, key: str, names: list[str] | None = None, size: int = TABLE_SIZE, column: str = "shard") -> DataFrame:
     """``df`` with the shard of each row, found in a broadcast table of ``size`` rows."""
     names = names or [f"shard-{k:05d}" for k in range(SHARDS)]

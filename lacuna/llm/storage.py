@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 from typing import Callable, Iterator
@@ -37,6 +38,26 @@ def refuse_own_names(docs: DataFrame) -> None:
         raise ValueError(f"columns that begin with two underscores are the operators' own: {own}")
 
 
+def shielded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose input may have columns with names of the stage's own: they have other names within it and come back as they were."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own = [c for c in docs.columns if c.startswith("__")]
+        if not own:
+            return stage(docs, *args, **options)
+        mark = "kept"
+        while any(c.lower().startswith(mark) for c in docs.columns):
+            mark += "x"
+        names = {c: mark + c for c in own}
+        asked = [names.get(a, a) if isinstance(a, str) else a for a in args]
+        options = {k: names.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        out = stage(docs.withColumnsRenamed(names), *asked, **options)
+        return out.withColumnsRenamed({new: c for c, new in names.items() if new in out.columns})
+
+    return run
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))

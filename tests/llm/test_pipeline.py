@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from lacuna.llm import jaccard, quality
+from lacuna.llm import jaccard, quality, sharding
 
 from .test_decontaminate import lcs, tokens
 from .test_jaccard import brute
@@ -92,3 +92,45 @@ def test_keep_one_of_repeated_rows(spark):
     rows = [(1, text, "a"), (1, text, "b"), (1, text + " more", "c"), (1, "another text with other words in it", "d"), (None, text, "e"), (2, None, "f"), (3, None, "g")]
     out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert Counter(r["doc_id"] for r in out) == Counter({1: 2, 2: 1, 3: 1})
+
+
+OWN = ("__key", "__doc", "__text", "__digest", "__size", "__copies", "__copy", "__slot", "__shard", "__n", "__rows", "kept__key")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the stages' own come through all five with their values; null ids and texts don't stop them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    strange = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "src1", 0), (5, None, "en", None, 1)], docs.schema)
+    rows = docs.unionByName(strange).selectExpr("*", *[f"concat('{c}', coalesce(doc_id, -1)) AS `{c}`" for c in OWN])
+    for _, stage in corpus_pipeline.STAGES:
+        rows = spark.createDataFrame(stage(spark, rows, SF).toArrow(), None)
+        assert set(docs.columns) | set(OWN) <= set(rows.columns)
+    got = rows.collect()
+    assert len(got) > 100
+    for r in got:
+        assert all(r[c] == f"{c}{-1 if r['doc_id'] is None else r['doc_id']}" for c in OWN)
+    keyed = sharding.shard(rows, "__key", column="__slot")
+    assert sorted(keyed.columns) == sorted(rows.columns)
+    assert keyed.count() == len(got) and keyed.where("`__slot` NOT BETWEEN 0 AND 63").count() == 0
+
+
+def test_stages_of_an_empty_table(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, SF)
+        assert rows.count() == 0
+    assert "shard" in rows.columns
+
+
+def test_null_ids_and_texts_by_stage(spark):
+    """Each stage's rule for rows without an id or a text."""
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, text, "en", "a", 1), (3, text, "en", "a", 1), (None, None, "en", "a", None), (None, None, "en", None, None), (4, "", None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each(spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["text"] == text) for r in kept) == Counter({(3, True): 1, (None, False): 2, (4, False): 1})
+    assert corpus_pipeline.no_benchmark(spark, docs, SF).count() == len(rows)
+    mixed = corpus_pipeline.mixed(spark, docs, SF).collect()
+    assert mixed and all(r["source"] == "a" for r in mixed)  # sources without words have no share
+    shards = corpus_pipeline.sharded(spark, docs, SF).where("doc_id IS NULL").select("shard").distinct().count()
+    assert shards == 1
