@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns documents with the columns that it got; the last one
 adds the shard. Between stages documents are written to the shared folder and read again.
+
+A null text has zero statistics, no shingles, no words and matches no benchmark item: it is judged like an
+empty one, is a class of its own, and is mixed at the rate of its source (0 for a source without words). Null
+doc_ids are documents like others (one of a class of copies stays, by the least id, null last) and share a shard. Repeated rows are
+judged alike; of equal texts rows of the class's least doc_id stay. An empty table gives an empty table. Further
+columns are kept through all stages, whatever their names; only ``shard`` is replaced.
 """
 
 from __future__ import annotations
