@@ -298,12 +298,16 @@ class IterativeForest(Estimator, MLWritable, MLReadable):
                         forget(old)
                     last[k] = step
             steps = list({id(t): t for t in last.values()}.values())
-            before, wide.df = wide.df, cut(overlaid(wide.df, _union(steps).where("p IS NOT NULL")))
-            done = turn + 1 == s.max_iter or self._change(steps, before) < s.tolerance
-            forget(before)
             for t in {id(t): t for t in grown.values()}.values():
                 forget(t)
-            grown = last
+            grown, new = last, overlaid(wide.df, _union(steps).where("p IS NOT NULL"))
+            if turn + 1 == s.max_iter:  # nobody reads the values after a last fit; a last fill is put together where it is read
+                if models is not None:
+                    wide.df, grown = new, {}
+                break
+            before, wide.df = wide.df, cut(new)
+            done = self._change(steps, before) < s.tolerance
+            forget(before)
             if done:
                 break
         steps = list({id(t): t for t in grown.values()}.values())
@@ -349,8 +353,10 @@ class IterativeForestModel(Model, MLWritable, MLReadable):
     def _transform(self, panel: DataFrame) -> DataFrame:
         forest = self.forest
         wide = Wide(panel, self.stations, forest.start(panel), self.means)
-        if self.models is not None and any(missing := wide.missing()):
-            forest._rounds(wide, missing, self.models)
+        if self.models is not None and wide.n:
+            missing = [1] * wide.n if forest.settings.update == "jacobi" else wide.missing()  # one job asks for all stations anyway
+            if any(missing):
+                forest._rounds(wide, missing, self.models)
         return wide.long()
 
     def write(self) -> MLWriter:

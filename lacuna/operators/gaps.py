@@ -1,15 +1,18 @@
 """Artificial gaps.
 
 Plans order candidates by an MD5 of (seed, station, place), so that every engine draws the same gaps; no
-state is shared between stations. :func:`legacy_starts` draws with NumPy's legacy generator instead.
+state is shared between stations. :func:`numpy_gaps` and :func:`numpy_points` draw what NumPy's legacy generator
+does, one generator over all stations in order: numbers of rows go to one task, which draws; nothing else does.
 A plan has a row a gap or point; :func:`apply_plan` masks a panel with it.
 """
 
 from __future__ import annotations
 
 import math
+from typing import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +73,12 @@ def apply_plan(panel: DataFrame, plan: DataFrame) -> DataFrame:
 
 def legacy_starts(n_rows: dict[str, int], length: int, percent: float | None = None, count: int = 5, seed: int = SEED) -> list[tuple[str, int, int]]:
     """(station, start, stop) as drawn by NumPy's legacy generator, shared by the stations in the given order."""
-    rng = np.random.RandomState(seed)
+    return _legacy(np.random.RandomState(seed), list(n_rows.items()), length, percent, count)
+
+
+def _legacy(rng: np.random.RandomState, rows: list[tuple[str, int]], length: int, percent: float | None, count: int) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
-    for station, n in n_rows.items():
+    for station, n in rows:
         if length <= 0:
             continue
         if length >= n:
@@ -90,3 +96,40 @@ def legacy_starts(n_rows: dict[str, int], length: int, percent: float | None = N
                 out.append((station, s, s + length))
                 taken += 1
     return out
+
+
+def _drawn(panel: DataFrame, draw, schema: str) -> DataFrame:
+    """``draw`` of (station, n_rows) in order of the stations' names, in one task."""
+    sizes = panel.groupBy("station").agg(F.count("*").cast("int").alias("n_rows"))  # a row a station
+    return sizes.repartition(1).sortWithinPartitions("station").mapInArrow(draw, schema)
+
+
+def numpy_gaps(panel: DataFrame, lengths: tuple[int, ...], percent: float | None = None, count: int = 5, seed: int = SEED) -> DataFrame:
+    """(gap_length, station, start, stop) as NumPy's legacy generator draws them by shuffling all starts of each station, lengths one after the other.
+
+    ``percent`` of a series, or at most ``count`` gaps that don't overlap; the whole series if it isn't longer than a gap."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["station"], r["n_rows"]) for b in batches for r in b.to_pylist()]
+        rng = np.random.RandomState(seed)
+        for length in lengths:
+            found = _legacy(rng, rows, length, percent, count)
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.record_batch([pa.array([length] * len(found), pa.int32()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["gap_length", "station", "start", "stop"])
+
+    return _drawn(panel, draw, "gap_length int, station string, start int, stop int")
+
+
+def numpy_points(panel: DataFrame, days_a_year: tuple[float, ...], seed: int = SEED) -> DataFrame:
+    """(days_a_year, station, pos) as NumPy's legacy generator chooses days without replacement, one number a year after the other."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["station"], r["n_rows"]) for b in batches for r in b.to_pylist()]
+        rng = np.random.RandomState(seed)
+        for rate in days_a_year:
+            for station, n in rows:
+                wanted = int(n * (rate / 365.0)) or int(rate > 0)
+                places = np.arange(n) if wanted >= n else rng.choice(n, wanted, replace=False)
+                yield pa.record_batch([pa.array([float(rate)] * len(places)), pa.array([station] * len(places), pa.string()), pa.array(places.astype(np.int32))], ["days_a_year", "station", "pos"])
+
+    return _drawn(panel, draw, "days_a_year double, station string, pos int")

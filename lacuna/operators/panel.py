@@ -54,13 +54,33 @@ def outside(panel: DataFrame, start, end) -> DataFrame:
     return panel.where(~F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+#: Days whose counts are summed together.
+BLOCK = 256
+
+
+def running_counts(panel: DataFrame) -> DataFrame:
+    """(date, dn, before, until): readings of all days before a date, and with it; as ``days_before`` and ``days_until`` the days themselves.
+
+    Two levels: sums within blocks of ``BLOCK`` days, a task a block, and the sums of the blocks before, a number a block."""
+    daily = row_completeness(panel).withColumn("block", F.floor(F.col("dn") / BLOCK).cast("int"))
+    totals = F.array_sort(F.collect_list(F.struct("block", "n", "days")))  # a block each
+    earlier = lambda c: F.aggregate(F.filter("all", lambda x: x["block"] < c["block"]), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("days")), lambda t, x: F.struct((t["n"] + x["n"]).alias("n"), (t["days"] + x["days"]).alias("days")))
+    blocks = daily.groupBy("block").agg(F.sum("n_readings").alias("n"), F.count("*").alias("days")).agg(totals.alias("all"))
+    begun = blocks.select("all", F.explode("all").alias("c")).select(F.col("c.block").alias("block"), earlier(F.col("c")).alias("begun"))
+    own = Window.partitionBy("block").orderBy("dn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = daily.withColumn("n", F.sum("n_readings").over(own)).withColumn("days", F.count("*").over(own)).join(begun, "block")
+    until, days = F.col("n") + F.col("begun.n"), F.col("days") + F.col("begun.days")
+    return summed.select("date", "dn", (until - F.col("n_readings")).alias("before"), until.alias("until"), (days - 1).alias("days_before"), days.alias("days_until"))
+
+
 def windows(panel: DataFrame, days: int) -> DataFrame:
     """Score of the window of ``days`` days that ends at each date; only windows without an absent date.
 
-    Stations are counted away first: what meets in one task is a row a date, bounded by the calendar."""
-    last = Window.orderBy("dn").rangeBetween(-(days - 1), 0)
-    scored = row_completeness(panel).withColumn("score", F.sum("n_readings").over(last)).withColumn("rows", F.count("*").over(last))
-    return scored.where(F.col("rows") >= days).select(F.date_sub("date", days - 1).alias("start_date"), F.col("date").alias("end_date"), "score")
+    The score is a difference of two running counts, which the window's first and last day meet by an equi-join."""
+    counts = running_counts(panel)
+    first = counts.select(F.col("date").alias("start_date"), (F.col("dn") + (days - 1)).alias("last_dn"), "before", "days_before")
+    last = counts.select(F.col("date").alias("end_date"), F.col("dn").alias("last_dn"), "until", "days_until")
+    return first.join(last, "last_dn").where(F.col("days_until") - F.col("days_before") >= days).select("start_date", "end_date", (F.col("until") - F.col("before")).alias("score"))
 
 
 def best_window(panel: DataFrame, days: int) -> DataFrame:

@@ -6,7 +6,7 @@ import datetime
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean_station_name, is_temporal, parse_coordinate, to_number
@@ -34,6 +34,8 @@ class Inputs:
     calendar: DataFrame
     #: code, station; empty without codes in the coordinate file
     codes: DataFrame
+    #: what the first pass over the panel file counts: n_rows, n_without_date, n_unreadable; see :func:`rejects` for the texts
+    observed: Observation | None = None
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +47,34 @@ def parse_date(text):
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in DATE_FORMATS]).cast("date")
 
 
-def read_wide(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
-    """The panel file: date, stations (cleaned names, numbers or null) and calendar columns."""
+#: Texts that say that a reading is missing; any other text that is no number is rejected.
+MISSING = ("", "nan", "na", "n/a", "null", "none", "-")
+
+
+def _unreadable(text: Column, value: Column) -> Column:
+    """Whether a text says something and ``value`` didn't come of it."""
+    return text.isNotNull() & ~F.lower(F.trim(text)).isin(*MISSING) & value.isNull()
+
+
+def rejects(spark: SparkSession, panel_path: str, coordinates_path: str | None = None) -> DataFrame:
+    """(file, key, column, text, reason) of what :func:`load` can't read: dates (their rows are left out), numbers and places (null).
+
+    ``key`` is the row's date or station as the file has it."""
+    raw = _csv(spark, panel_path)
+    first, stations = raw.columns[0], [c for c in raw.columns[1:] if not is_temporal(c)]
+    col = lambda c: F.col(f"`{c}`")
+    cell = lambda c, bad, reason: F.struct(F.lit(c).alias("column"), col(c).alias("text"), F.when(bad, reason).alias("reason"))
+    found = [(raw, panel_path, first, [cell(first, parse_date(col(first)).isNull(), "date"), *[cell(c, _unreadable(col(c), to_number(col(c))), "number") for c in stations]])]
+    if coordinates_path:
+        places = _csv(spark, coordinates_path)
+        names = {new: old for old, new in RENAMES.items() if old in places.columns}
+        found.append((places, coordinates_path, names["station"], [cell(names[c], parse_coordinate(col(names[c]), c == "latitude").isNull(), c) for c in ("latitude", "longitude")]))
+    parts = [t.select(F.lit(path).alias("file"), col(key).alias("key"), F.explode(F.filter(F.array(*cells), lambda x: x["reason"].isNotNull())).alias("c")).select("file", "key", "c.*") for t, path, key, cells in found]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def read_wide(spark: SparkSession, path: str, observed: Observation | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """The panel file: date, stations (cleaned names, numbers or null) and calendar columns. Rows without a readable date are left out; ``observed`` counts them."""
     try:
         raw = _csv(spark, path)
     except Exception as e:
@@ -61,6 +89,9 @@ def read_wide(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], lis
         raise SourceError(f"columns with one name after cleaning: {sorted({c for c in cleaned if cleaned.count(c) > 1})}")
     temporal = [c for c in rest if is_temporal(c)]
     number = lambda c: to_number(F.col(f"`{c}`"))
+    if observed is not None:
+        bad = sum((_unreadable(F.col(f"`{c}`"), number(c)).cast("int") for c in stations), F.lit(0))
+        raw = raw.observe(observed, F.count(F.lit(1)).alias("n_rows"), F.count_if(parse_date(F.col(f"`{first}`")).isNull()).alias("n_without_date"), F.coalesce(F.sum(bad), F.lit(0)).alias("n_unreadable"))
     wide = raw.select(parse_date(F.col(f"`{first}`")).alias("date"), *[number(c).alias(n) for c, n in zip(stations, cleaned)], *[number(c).alias(c) for c in temporal])
     return wide.where("date IS NOT NULL"), cleaned, temporal
 
@@ -90,9 +121,13 @@ def read_contributors(spark: SparkSession, path: str) -> DataFrame:
 def load(spark: SparkSession, panel_path: str, coordinates_path: str, contributors_path: str | None = None, strict: bool = False) -> Inputs:
     """All inputs, for the stations that are in both the panel and the coordinate file.
 
-    ``strict`` makes a coordinate that can't be parsed an error; otherwise the place is unknown. A
+    ``strict`` makes a date, number or coordinate that can't be read an error, with their counts; otherwise the row is left
+    out, the reading missing, the place unknown, and ``observed`` has the panel's counts once an action has read it. A
     contributor file that can't be used gives no edges."""
-    wide, stations, temporal = read_wide(spark, panel_path)
+    if strict and (counts := {r["reason"]: r["n"] for r in rejects(spark, panel_path, coordinates_path).groupBy("reason").agg(F.count("*").alias("n")).collect()}):
+        raise SourceError(f"unreadable texts: {dict(sorted(counts.items()))}")
+    observed = Observation("panel")
+    wide, stations, temporal = read_wide(spark, panel_path, observed)
     raw = read_coordinates(spark, coordinates_path)
     known = {r["station"] for r in raw.select("station").distinct().collect()}  # a row a station
     both = sorted(set(stations) & known)
@@ -107,7 +142,7 @@ def load(spark: SparkSession, panel_path: str, coordinates_path: str, contributo
             edges.schema  # noqa: B018  resolved here, so that a wrong file shows
         except Exception:
             edges = None
-    return Inputs(panels.to_long(wide, both), coordinates, edges, wide.select("date", *temporal), spatial.first_of_each(codes, "station", "code"))
+    return Inputs(panels.to_long(wide, both), coordinates, edges, wide.select("date", *temporal), spatial.first_of_each(codes, "station", "code"), observed)
 
 
 def write_wide(panel: DataFrame, path: str, stations: list[str], value: str = "filled", calendar: DataFrame | None = None) -> None:

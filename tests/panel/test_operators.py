@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from lacuna.operators import blocks, fills, gaps, knn, metrics, spatial
 from lacuna.operators import panel as panels
 
@@ -248,3 +250,61 @@ def test_knn_with_calendar(spark):
         for c in range(3):
             z = zx[[k for k in np.argsort(d, kind="stable") if not np.isnan(zx[k, c])][:5], c].mean() if np.isnan(zy[i, c]) else zy[i, c]
             assert got[i, c] == pytest.approx(z * scale[c] + mean[c])
+
+
+def test_windows_have_no_single_partition(spark, data, capsys):
+    """Two-level running counts equal plain ones over absent dates and block ends, and no window lacks a partition."""
+    rng = np.random.default_rng(5)
+    days = sorted(rng.choice(1500, 1400, replace=False).tolist())
+    panel = spark.createDataFrame([(s, DAY + datetime.timedelta(k), (DAY - datetime.date(1970, 1, 1)).days + k, 1.0 if rng.random() < 0.7 else None) for k in days for s in "ab"], "station string, date date, dn int, value double").cache()
+    counts = {r["dn"]: r["n_readings"] for r in panels.row_completeness(panel).collect()}
+    for size in (1, 7, 40):
+        want = {d: sum(counts[x] for x in range(d - size + 1, d + 1)) for d in counts if all(x in counts for x in range(d - size + 1, d + 1))}
+        got = {(r["end_date"] - datetime.date(1970, 1, 1)).days: (r["score"], (r["end_date"] - r["start_date"]).days) for r in panels.windows(panel, size).collect()}
+        assert got == {d: (n, size - 1) for d, n in want.items()}
+    panels.best_window(panel, 7).explain()
+    plan = capsys.readouterr().out
+    assert "Window" in plan and not [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition(block" not in line and "Exchange" not in line]
+
+
+@pytest.mark.parametrize("seed", [0, 42, 7])
+def test_numpy_plans(spark, seed):
+    """One generator over all stations and sizes, as NumPy draws; sizes at and beyond the series' length."""
+    panel = make(spark, {"b": [1.0] * 90, "a": [2.0] * 40, "c": [3.0] * 8})
+    rng, want = np.random.RandomState(seed), set()
+    for length in (3, 8, 60):
+        for s, n in (("a", 40), ("b", 90), ("c", 8)):
+            if length >= n:
+                want.add((length, s, 0, n))
+                continue
+            starts, found = np.arange(n - length + 1), []
+            rng.shuffle(starts)
+            for x in starts.tolist():
+                if all(x + length <= a or x >= a + length for a in found) and len(found) < max(int(np.floor(n * 0.2 / length)), 1):
+                    found.append(x)
+            want |= {(length, s, x, x + length) for x in found}
+    plan = gaps.numpy_gaps(panel, (3, 8, 60), 20.0, seed=seed)
+    assert {tuple(r) for r in plan.collect()} == want
+    masked = gaps.apply_plan(panel, plan.where("gap_length = 3"))
+    assert masked.where("is_gap").count() == sum(b - a for k, _, a, b in want if k == 3)
+    rng, want = np.random.RandomState(seed), set()
+    for rate in (30, 400):
+        for s, n in (("a", 40), ("b", 90), ("c", 8)):
+            k = int(n * (rate / 365.0)) or 1
+            want |= {(float(rate), s, int(x)) for x in (np.arange(n) if k >= n else rng.choice(n, k, replace=False))}
+    plan = gaps.numpy_points(panel, (30, 400), seed)
+    assert {tuple(r) for r in plan.collect()} == want
+    assert gaps.apply_plan(panel, plan.where("days_a_year = 400")).where("NOT is_gap").count() == 0
+    assert gaps.numpy_points(panel.limit(0), (30,)).count() == 0 and gaps.numpy_gaps(panel.limit(0), (3,)).count() == 0
+
+
+def test_distances_near_antipodes(spark):
+    """Published lengths of geodesics (Karney, 2013) and half a meridian; either direction gives the same."""
+    from lacuna.functions import geodesic_km
+
+    rows = [(0.0, 0.0, 0.5, 179.5, 19936.288578965), (-30.0, 0.0, 29.9, 179.8, 19989.832827610), (0.0, 0.0, 0.0, 180.0, 20003.931458625), (30.0, 10.0, -30.0, -170.0, 20003.931458625), (90.0, 0.0, -90.0, 55.0, 20003.931458625), (0.0, 179.0, 0.0, -179.0, 222.638981587), (10.0, 10.0, 10.0, 10.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, km double")
+    for r in df.select("km", geodesic_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x"), geodesic_km(F.col("c"), F.col("d"), F.col("a"), F.col("b")).alias("y")).collect():
+        assert r["x"] == pytest.approx(r["km"], abs=1e-6) and r["y"] == pytest.approx(r["x"], abs=1e-9)
+    unknown = spark.createDataFrame([(None, 1.0, 2.0, 3.0), (1.0, 2.0, 3.0, None)], "a double, b double, c double, d double")
+    assert [r[0] for r in unknown.select(geodesic_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect()] == [None, None]

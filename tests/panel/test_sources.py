@@ -72,3 +72,18 @@ def test_repeated_stations_keep_the_first(spark):
 
     rows = spark.createDataFrame([("a", 2.0, 1.0), ("a", 1.0, 5.0), ("a", None, 0.0), ("b", None, 3.0)], "station string, latitude double, longitude double")
     assert sorted(map(tuple, spatial.first_of_each(rows, "station", "latitude", "longitude").collect())) == [("a", 1.0, 5.0), ("b", None, 3.0)]
+
+
+def test_rejected_texts_are_counted_and_shown(spark, files):
+    (files / "odd.csv").write_text("date,Parm anpur,station b,day_of_year_sin\n1980-01-01,1,x,9\nnever,2,3,9\n,4,nan,9\n1980-01-02,,5y,9\n1980-01-03, 7 ,-,q\n")
+    (files / "odd_places.csv").write_text("Latitude,Longitude,Station\n20.5,80,paramanpur\n95,80,station b\n1,east,elsewhere\n")
+    found = {tuple(r)[1:] for r in tables.rejects(spark, f"{files}/odd.csv", f"{files}/odd_places.csv").collect()}
+    assert found == {("1980-01-01", "station b", "x", "number"), ("never", "date", "never", "date"), (None, "date", None, "date"), ("1980-01-02", "station b", "5y", "number"), ("station b", "Latitude", "95", "latitude"), ("elsewhere", "Longitude", "east", "longitude")}
+    got = tables.load(spark, f"{files}/odd.csv", f"{files}/odd_places.csv")
+    assert got.panel.count() == 6
+    assert got.observed.get == {"n_rows": 5, "n_without_date": 2, "n_unreadable": 2}
+    both = got.panel.join(got.panel.groupBy("station").agg({"value": "avg"}), "station").unionByName(got.panel.selectExpr("*", "0D AS `avg(value)`"))
+    assert both.count() == 12  # counters may be in a plan more than once
+    with pytest.raises(tables.SourceError, match="'date': 2, 'latitude': 1, 'longitude': 1, 'number': 2"):
+        tables.load(spark, f"{files}/odd.csv", f"{files}/odd_places.csv", strict=True)
+    assert tables.rejects(spark, f"{files}/panel.csv").where("reason <> 'number'").count() == 0
