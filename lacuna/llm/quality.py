@@ -11,9 +11,11 @@ et al., 2021). Rows of equal statistics share a fold. One standard error is take
 large passes bad texts while one too small costs little. Too few positives for the folds give 0.5.
 
 Every whole text is read once for shape statistics (characters by kind, repeated words, pairs and
-lines, word lengths); labels, lang, source and doc_id are no inputs of a score. Networks are fitted
-on the driver on at most ``POSITIVES`` and ``UNLABELLED`` rows of statistics, chosen by a hash of the
-doc_id; scoring is per row, everywhere the same.
+lines, word lengths); labels, lang, source and doc_id are no inputs of a score. Networks start
+on the driver from at most ``POSITIVES`` and ``UNLABELLED`` rows of statistics, chosen by a hash of the
+doc_id. The prior's shares are counted over all unlabelled rows, and the last ``FULL_STEPS`` steps follow
+the risk's gradient over all of them: tasks sum it, in fixed point, so that reruns agree. Scoring is per
+row, everywhere the same.
 
 Labels count only for rows whose crc32(doc_id as text) mod 4 isn't 2. A doc_id with labels of both
 kinds has none. A null doc_id has no label and isn't held out. Null and empty texts have zero
@@ -25,7 +27,7 @@ the classifier, and :func:`keep_good` keeps them whatever their names.
 from __future__ import annotations
 
 import zlib
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,10 @@ from .sampling import bounded_sample
 from .storage import fits_broadcast, lean, materialize, release, shielded
 from .text import NONSPACE, mix64, text_bytes, word_spans
 
-#: Bounds of the sample that the network is fitted on.
+#: Bound of the labelled sample, and of the unlabelled one that the network starts from.
 POSITIVES, UNLABELLED = 8_000, 12_000
+#: Steps over all unlabelled rows, and their size.
+FULL_STEPS, FULL_RATE = 6, 0.002
 #: Folds and steps of the networks that the class prior is read from.
 PRIOR_FOLDS, PRIOR_STEPS = 4, 800
 HELD_OUT, FOLDS = 2, 4
@@ -209,30 +213,99 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from scores of rows by networks that weren't fitted on them."""
+#: Bins of the scores' logits in which shares are counted, and the fixed point in which tasks' sums are added, in any order alike.
+BINS, SPAN, FIXED = 4096, 12.0, 1 << 20
+
+
+def _counts(networks: list[Network], x: np.ndarray) -> np.ndarray:
+    """Rows by the logit of their score, by the network that wasn't fitted on them."""
+    own = np.array([zlib.crc32(r.tobytes()) % PRIOR_FOLDS for r in x.astype(np.float32)], int)
+    out = np.zeros(BINS)
+    for k, network in enumerate(networks):
+        s = network.scores(x[own == k])
+        logit = np.log(np.maximum(s, 1e-300)) - np.log(np.maximum(1 - s, 1e-300))
+        at = np.clip((logit + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(int)
+        out += np.bincount(at, minlength=BINS)
+    return out
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, count: Callable[[list[Network]], np.ndarray] | None = None) -> float:
+    """Share of positives among the unlabelled, from scores of rows by networks that weren't fitted on them; ``count`` counts all unlabelled rows, else those given are counted."""
     fp, fu = (np.array([zlib.crc32(r.astype(np.float32).tobytes()) % PRIOR_FOLDS for r in x]) for x in (positive, unlabelled))
-    sp, su = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    networks = []
     for k in range(PRIOR_FOLDS):
         if not (fp != k).any() or not (fu != k).any():
             return 0.5
-        network = Network(positive[fp != k], unlabelled[fu != k], 0.5, PRIOR_STEPS)
-        sp[fp == k], su[fu == k] = network.scores(positive[fp == k]), network.scores(unlabelled[fu == k])
-    sp, su = np.sort(sp), np.sort(su)
-    above_p, above_u = (1 - np.searchsorted(s, sp, "left") / len(s) for s in (sp, su))
-    slack = np.sqrt(np.log(40) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)  # both shares hold at once in 9 cases of 10
-    best = np.argmin((above_u + slack) / above_p)
+        networks.append(Network(positive[fp != k], unlabelled[fu != k], 0.5, PRIOR_STEPS))
+    of_p, of_u = _counts(networks, positive), count(networks) if count else _counts(networks, unlabelled)
+    n_p, n_u = of_p.sum(), of_u.sum()
+    above_p, above_u = (np.cumsum(c[::-1])[::-1] / c.sum() for c in (of_p, of_u))
+    slack = np.sqrt(np.log(40) / 2) * (n_p**-0.5 + n_u**-0.5)  # both shares hold at once in 9 cases of 10
+    best = np.argmin(np.where(above_p > 0, (above_u + slack) / np.maximum(above_p, 1e-12), np.inf))
     p, q = above_p[best], above_u[best]
-    error = np.sqrt(q * (1 - q) / len(su) + (q / p) ** 2 * p * (1 - p) / len(sp)) / p
+    error = np.sqrt(q * (1 - q) / n_u + (q / p) ** 2 * p * (1 - p) / n_p) / p
     return float(np.clip(q / p - error, 0.05, 0.98))
 
 
+def _summed(table: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``of(rows)``, ``size`` numbers, over all rows of ``table`` (x); one row of sums a number comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += of(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(float))
+        yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(np.round(total * FIXED).astype(np.int64))], ["k", "v"])
+
+    out = np.zeros(size)
+    for r in table.select("x").mapInArrow(lean(run), "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = r["v"] / FIXED
+    return out
+
+
+def unlabelled_sums(network: Network, w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Over rows: the gradient of the loss of calling them negative, flat; the loss; how many they are."""
+    scaled = network._scaled(x)
+    hidden = np.tanh(scaled @ w[0] + w[1])
+    f = hidden @ w[2] + w[3]
+    df = 1 / (1 + np.exp(-np.clip(f, -500, 500)))
+    back = np.outer(df, w[2]) * (1 - hidden**2)
+    return np.concatenate([(scaled.T @ back).ravel(), back.sum(0), hidden.T @ df, [df.sum(), np.logaddexp(0, f).sum(), len(x)]])
+
+
+def refine(network: Network, table: DataFrame, positive: np.ndarray, prior: float, steps: int = FULL_STEPS) -> None:
+    """Steps of Adam on the risk of all rows of ``table`` (x), whose gradients tasks sum, and of the positives."""
+    w, p = [x.copy() for x in network.w], network._scaled(positive)
+    m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    ends = np.cumsum([x.size for x in w])
+    for step in range(1, steps + 1):
+        sums = _summed(table, int(ends[-1]) + 2, lambda x: unlabelled_sums(network, w, x))  # noqa: B023
+        loss, n = sums[-2:]
+        if not n:
+            return
+        of_u = [g.reshape(x.shape) / n for g, x in zip(np.split(sums[: ends[-1]], ends[:-1]), w)]
+        hidden = np.tanh(p @ w[0] + w[1])
+        f = hidden @ w[2] + w[3]
+        negative = loss / n - prior * np.logaddexp(0, f).mean()
+        df = np.full(len(p), -prior / len(p)) if negative >= 0 else prior / (1 + np.exp(-f)) / len(p)
+        back = np.outer(df, w[2]) * (1 - hidden**2)
+        sign = 1 if negative >= 0 else -1
+        grads = [g + sign * u for g, u in zip((p.T @ back, back.sum(0), hidden.T @ df, np.array([df.sum()])), of_u)]
+        grads[0] += 1e-4 * w[0]
+        grads[2] += 1e-4 * w[2]
+        for k, g in enumerate(grads):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            w[k] = w[k] - FULL_RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    network.w = w
+
+
 def _array(rows) -> np.ndarray:
     return np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
 
 
 def fit(table: DataFrame, labels: DataFrame) -> Network | None:
-    """Fit on a bounded sample of ``table``'s rows; None without positives."""
+    """A start from a bounded sample of ``table``'s rows; the prior and the last steps are of all unlabelled rows. None without positives."""
     one = labels.where(F.col("quality").isin(0, 1) & (fold() != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     marked = one.where("quality = most").select("doc_id", "quality")
     usable = table.where(F.coalesce(fold() != HELD_OUT, F.lit(True)))
@@ -242,7 +315,10 @@ def fit(table: DataFrame, labels: DataFrame) -> Network | None:
         return None
     unlabelled = bounded_sample(usable, SEED + 1, "doc_id", UNLABELLED, "x").select("x").collect()
     p, u = _array(positive), _array(unlabelled)
-    return Network(p, u, estimated_prior(p, u))
+    prior = estimated_prior(p, u, lambda networks: _summed(usable, BINS, lambda x: _counts(networks, x)))
+    network = Network(p, u, prior)
+    refine(network, usable, p, prior)
+    return network
 
 
 def score(table: DataFrame, network: Network | None) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -132,3 +133,40 @@ def test_prior_of_documents_needs_no_negative_labels(spark):
     a = sorted(map(tuple, quality.classify(docs, labels).collect()))
     b = sorted(map(tuple, quality.classify(docs, labels.where("quality = 1")).collect()))
     assert a == b
+
+
+def test_steps_follow_the_gradient_of_all_rows(spark, monkeypatch):
+    """Sums over a table are the batch's gradient, whatever its partitions; rows beyond the sample count."""
+    rng = np.random.default_rng(3)
+    d = len(quality.FEATURES)
+    positive, unlabelled = rng.normal(0, 1, (50, d)), rng.normal(0.5, 1, (300, d)).astype(np.float32).astype(float)
+    network = quality.Network(positive, unlabelled[:40], 0.4, 50)
+    table = spark.createDataFrame([(x.tolist(),) for x in unlabelled], "x array<float>").repartition(7)
+    size = sum(x.size for x in network.w) + 2
+    sums = quality._summed(table, size, partial(quality.unlabelled_sums, network, network.w))
+    assert sums[-1] == 300
+    scaled, p = network._scaled(unlabelled), network._scaled(positive)
+    negative, want = quality.risk_gradient(network.w, p, scaled, 0.4)
+    hidden = np.tanh(p @ network.w[0] + network.w[1])
+    assert np.isclose(sums[-2] / 300 - 0.4 * np.logaddexp(0, hidden @ network.w[2] + network.w[3]).mean(), negative, atol=1e-5)
+    before = [x.copy() for x in network.w]
+    quality.refine(network, table, positive, 0.4, 1)
+    want[0] += 1e-4 * before[0]
+    want[2] += 1e-4 * before[2]
+    for k, g in enumerate(want):  # Adam's first step goes along the gradient's signs
+        sure = np.abs(g) > 1e-4
+        assert sure.any() and (np.sign(before[k] - network.w[k])[sure] == np.sign(g)[sure]).all()
+    again = quality.Network(positive, unlabelled[:40], 0.4, 50)
+    quality.refine(again, table.repartition(2), positive, 0.4, 1)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(network.w, again.w))
+
+
+def test_prior_is_counted_over_all_rows(spark):
+    """Unlabelled rows outside of the sample decide: a sample of good rows alone doesn't hide the others."""
+    rng = np.random.default_rng(4)
+    d = len(quality.FEATURES)
+    good, bad = rng.normal(0, 1, (4000, d)), rng.normal(0, 1, (3000, d)) + 4 * np.eye(d)[0]
+    everything = np.concatenate([good[2000:3000], bad])
+    sample = np.concatenate([good[3000:], bad[:100]])
+    count = lambda networks: quality._counts(networks, everything)
+    assert 0.2 < quality.estimated_prior(good[:2000], sample, count) < 0.5 < 0.8 < quality.estimated_prior(good[:2000], sample)
