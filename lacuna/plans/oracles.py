@@ -93,15 +93,15 @@ def _leaderboard(methods: tuple[str, ...]) -> str:
     return f"WITH RECURSIVE {_panel()}, {_WINDOWS}, {_OUTSIDE}, {plans}, cells AS ({cells}), {_fills('cells', 'series')} SELECT gap_scenario, method, {_METRICS} FROM ({long}) GROUP BY 1, 2"
 
 
-def _gap_kinds() -> str:
+def _gap_kinds(contiguous: tuple[int, ...], points: tuple[int, ...]) -> str:
     place = "placed AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY dn) - 1 AS pos, COUNT(*) OVER (PARTITION BY station) AS n_rows FROM panel)"
-    plans = ",".join(_greedy(f"c{n}", "panel", n, f"LEAST(5, COUNT(*) // {n})") for n in (7, 30))
+    plans = ",".join(_greedy(f"c{n}", "panel", n, f"LEAST(5, COUNT(*) // {n})") for n in contiguous)
     parts = [
         f"SELECT 'contiguous|{n}|' || o.station AS series, date, dn, value AS truth, g.start IS NOT NULL AS is_gap, CASE WHEN g.start IS NULL THEN value END AS value FROM placed o LEFT JOIN plan_c{n} g ON g.at_station = o.station AND pos >= start AND pos < start + {n}"
-        for n in (7, 30)
+        for n in contiguous
     ] + [
         f"SELECT 'single_point|{n}|' || station AS series, date, dn, value AS truth, row_number() OVER (PARTITION BY station ORDER BY md5('42|' || station || '|' || pos::VARCHAR), pos) <= floor(n_rows * {n / 365.0!r}::DOUBLE) AS is_gap, CASE WHEN NOT is_gap THEN value END AS value FROM placed"
-        for n in (30, 90)
+        for n in points
     ]
     return f"""WITH RECURSIVE {_panel()}, {place}, {plans}, cells AS ({' UNION ALL '.join(parts)}), {_fills('cells', 'series')}
 SELECT split_part(series, '|', 1) AS gap_type, split_part(series, '|', 2)::INTEGER AS gap_length, {_METRICS}
@@ -284,7 +284,8 @@ SELECT station, date::VARCHAR AS date, value AS true_value FROM ranked WHERE k <
     "metrics_seasonal": _leaderboard(("seasonal_mean",)),
     "metrics_linear": _leaderboard(("linear_time",)),
     "metrics_leaderboard": _leaderboard(("column_mean", "historical_mean", "seasonal_mean", "linear_time")),
-    "metrics_gap_kinds": _gap_kinds(),
+    "metrics_gap_kinds": _gap_kinds((7, 30), (30, 90)),
+    "metrics_gap_kinds_all": _gap_kinds((7, 14, 30, 60, 180), (30, 60, 90, 180)),
     "plot_series": f"""WITH RECURSIVE {_panel()}, placed AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY dn) - 1 AS pos FROM panel), {_greedy('a', 'panel', 7, 'LEAST(5, COUNT(*) // 7)')},
 cells AS (SELECT o.station, date, dn, value AS truth, g.start IS NOT NULL AS is_gap, CASE WHEN g.start IS NULL THEN value END AS value FROM placed o LEFT JOIN plan_a g ON g.at_station = o.station AND pos >= start AND pos < start + 7),
 {_fills('cells')}, drawn AS (SELECT station FROM (SELECT DISTINCT at_station AS station FROM plan_a) ORDER BY md5('42|' || station) LIMIT 3)
