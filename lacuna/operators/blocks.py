@@ -77,7 +77,9 @@ def forest(settings: Settings) -> InitialisedForest:
 
 
 def seed_model(panel: DataFrame, start, end, settings: Settings) -> IterativeForestModel:
-    return settings.once(f"seed {start} {end}", lambda: forest(settings).fit(panels.between(panel, start, end)))
+    """The model of a block, fitted once a run; with a ``cache`` folder, once for all runs of equal settings and readings."""
+    block = panels.between(panel, start, end)
+    return settings.once(f"seed {start} {end}", lambda: fit_cached(forest(settings), block, settings.cache) if settings.cache else forest(settings).fit(block))
 
 
 def seed_only(panel: DataFrame, start, end, settings: Settings) -> DataFrame:
@@ -138,7 +140,7 @@ def rolling(panel: DataFrame, first_year: int, last_year: int, years: int, min_p
 def fit_cached(parent: IterativeForest, panel: DataFrame, folder: str) -> IterativeForestModel:
     """Fit, or load what an equal fit saved: equal kind, settings and readings."""
     s = parent.settings
-    plain = {k: v for k, v in vars(s).items() if k not in ("distances", "connectivity", "weights", "fits", "parallelism")}
+    plain = {k: v for k, v in vars(s).items() if k not in ("distances", "connectivity", "weights", "fits", "parallelism", "cache")}
     tables = [t for t in (s.distances, s.connectivity) if t is not None] + [panel.select("station", "date", "value")]
     sums = [t.agg(F.count("*"), F.sum(F.xxhash64(*t.columns) % 1_000_000_007)).first() for t in tables]
     path = f"{folder}/{hashlib.md5(repr((type(parent).__name__, sorted(plain.items()), [tuple(x) for x in sums])).encode()).hexdigest()}"

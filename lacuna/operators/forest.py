@@ -57,6 +57,8 @@ class Settings:
     update: str = "gauss_seidel"
     #: tasks of a pass for each core of the session, as long as there are stations
     parallelism: int = 2
+    #: folder of fitted seed models, which equal fits of other runs reuse
+    cache: str | None = None
     #: stations' weights by target
     weights: dict[str, dict[str, float]] | None = field(default=None, repr=False)
     #: models of equal fits, where a run keeps them

@@ -88,7 +88,7 @@ class Ledger:
 
 def _about(whole: DataFrame, ends: tuple, settings: Settings, *more: object) -> tuple:
     """What a result depends on: readings, stations' tables, settings."""
-    plain = sorted((k, v) for k, v in vars(settings).items() if k not in ("distances", "connectivity", "weights", "fits", "parallelism"))
+    plain = sorted((k, v) for k, v in vars(settings).items() if k not in ("distances", "connectivity", "weights", "fits", "parallelism", "cache"))
     tables = [whole.select("station", "date", "value"), *[t for t in (settings.distances, settings.connectivity) if t is not None]]
     sums = [tuple(t.agg(F.count("*"), F.sum(F.xxhash64(*t.columns) % 1_000_000_007)).first()) for t in tables]
     return (sums, tuple(map(str, ends)), plain, *more)

@@ -87,3 +87,19 @@ def test_rejected_texts_are_counted_and_shown(spark, files):
     with pytest.raises(tables.SourceError, match="'date': 2, 'latitude': 1, 'longitude': 1, 'number': 2"):
         tables.load(spark, f"{files}/odd.csv", f"{files}/odd_places.csv", strict=True)
     assert tables.rejects(spark, f"{files}/panel.csv").where("reason <> 'number'").count() == 0
+
+
+def test_rolling_fill_reuses_the_seeds_model(spark, files, monkeypatch):
+    from lacuna.operators.forest import InitialisedForest
+
+    small = {"n_estimators": 3, "max_iter": 1, "max_depth": 3, "update": "jacobi", "cache": f"file://{files}/models"}
+    fits = []
+    fit = InitialisedForest._fit
+    monkeypatch.setattr(InitialisedForest, "_fit", lambda self, panel: fits.append(1) or fit(self, panel))
+    runs = []
+    for k in range(2):
+        focused.fill_rolling(spark, f"{files}/panel.csv", f"{files}/places.csv", f"{files}/matrix.csv", f"file://{files}/rolling{k}", 1980, 1980, 1, 10.0, **small)
+        back = spark.read.option("header", True).csv(f"file://{files}/rolling{k}/imputed_1980_to_1980.csv")
+        runs.append(sorted(tuple(r) for r in back.select("date", "paramanpur", "stationb").collect()))
+    assert len(fits) == 1 and runs[0] == runs[1] and len(runs[0]) == 200
+    assert all(None not in r for r in runs[0])
