@@ -10,8 +10,8 @@ training texts, then by name.
 Texts are lower-cased and runs of anything but letters are one space, so that neither capitals nor markup
 count. Whole texts are encoded, in chunks of ``CHUNK`` bytes, since behind more a dictionary is out of
 sight; sizes are summed. Dictionaries are bounded: ``DICT_BYTES`` a language and ``ALL_BYTES`` in total, made of
-excerpts of ``EXCERPT`` characters from hashed places of the texts of least hash. That bounds what the driver
-collects and tasks are sent, whatever the number of texts or languages.
+excerpts of ``EXCERPT`` characters from hashed places of the texts of least hash; texts are thinned by that hash before a
+language's are ranked. That bounds what the driver collects and tasks rank or are sent, whatever the number of texts or languages.
 
 A text that is null or has no letter is ``und`` with score 0; so are all where nothing can be learned.
 Languages are learned from rows with a text, a lang and a doc_id that isn't held out (crc32 of the doc_id as
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import lean, materialize, refuse_own_names
+from .storage import fits_broadcast, lean, materialize, refuse_own_names, release
 
 #: Bounds of what is learned: bytes of a dictionary and of all, characters of an excerpt.
 DICT_BYTES, ALL_BYTES, EXCERPT = 128 << 10, 32 << 20, 768
@@ -98,15 +98,20 @@ def learn(docs: DataFrame) -> Model:
     order = F.xxhash64("text")
     place = F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
     rows = materialize(known.where(F.col("text").rlike(r"\p{L}")).select("lang", order.alias("h"), F.call_function("substring", F.col("text"), place, F.lit(EXCERPT)).alias("excerpt")).groupBy("lang", "h").agg(F.min("excerpt").alias("excerpt"), F.count("*").alias("n")), "langid-excerpts")
-    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    counts = materialize(rows.groupBy("lang").agg(F.sum("n").alias("texts"), F.count("*").alias("distinct")), "langid-counts")
+    texts = {r["lang"]: r["texts"] for r in counts.collect()}  # a row a language
     if not texts:
         return Model((), ())
     size = min(DICT_BYTES, ALL_BYTES // len(texts))
-    count = min(1000, math.ceil(2 * size / EXCERPT))  # short texts are shorter; up to 1000 rows are limited before they are exchanged
+    count = math.ceil(2 * size / EXCERPT)  # short texts are shorter
+    share = F.least(F.lit(1.0), (2.0 * count + 100) / F.col("distinct"))  # so about twice as many are ranked, whatever the number of texts
+    side = counts.select("lang", "distinct")
+    some = rows.join(F.broadcast(side) if fits_broadcast(len(texts), 64) else side, "lang").where(F.col("h").cast("double") <= -(2.0**63) + share * 2.0**64)
     first = Window.partitionBy("lang").orderBy("h")
     held: dict[str, list[str]] = {}
-    for r in rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= count).orderBy("lang", "at").collect():
+    for r in some.withColumn("at", F.row_number().over(first)).where(F.col("at") <= count).orderBy("lang", "at").collect():
         held.setdefault(r["lang"], []).append(r["excerpt"])
+    release(rows, counts)
     langs = sorted(held, key=lambda lang: (-texts[lang], lang))
     return Model(tuple(langs), tuple(_content(held[lang], size) for lang in langs))
 
