@@ -41,8 +41,8 @@ MAX_WORDS, MIN_COUNT, ABSORB_PERCENT, TOP = 3, 10, 50, 2000
 #: A hot prefix has at least one of so many parts of all words.
 HOT = 1000
 SALTS = 32
-#: Words counted together by a task before they are sent on.
-FLUSH = 1_500_000
+#: Words counted together by a task before they are sent on, and rows of a batch of projections; a task's Python memory follows them.
+FLUSH, ROWS = 500_000, 50_000
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,8 +119,10 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for own, langs, words, _ in _buffers(batches):
-        yield pa.record_batch([langs.cast(pa.string()), words.cast(pa.string()), pa.array(np.bincount(own, minlength=len(words)))], ["lang", "phrase", "n"])
+    for own, langs, words, linked in _buffers(batches):
+        counts = pa.array(np.bincount(own, minlength=len(words)))
+        yield pa.record_batch([langs.cast(pa.string()), words.cast(pa.string()), counts], ["lang", "phrase", "n"])
+        del own, langs, words, linked, counts  # or they live on beside the next ones
 
 
 def _heads(langs: pa.Array, words: pa.Array) -> pa.Array:
@@ -133,36 +135,43 @@ def _project(frequent, max_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.ipc.open_stream(frequent.value).read_all().column(0).combine_chunks() if frequent is not None else None
-        for own, langs, words, linked in _buffers(batches):
-            heads = _heads(langs, words)
-            keep = pc.is_in(heads, value_set=known).to_numpy(zero_copy_only=False) if known is not None else np.ones(len(heads), bool)
-            base, n = len(heads) + 1, len(own)
-            held = keep[own]
-            at = np.flatnonzero(held & linked)
-            at = at[held[at + 1]]
-            code, alive, levels = own[at] + 1, np.ones(len(at), bool), []
-            for k in range(1, max_words):
-                before = at + (k - 1)
-                alive = alive & linked[np.minimum(before, n - 1)]
-                nxt = np.minimum(at + k, n - 1)
-                alive &= held[nxt]
-                code, distinct = _codes(pa.array(code * base + np.where(alive, own[nxt] + 1, 0)))
-                levels.append(distinct.to_numpy())
-            counts = np.bincount(code, minlength=len(levels[-1])) if len(at) else np.zeros(0, np.int64)
-            numbers, left = [], np.arange(len(counts))
-            for distinct in reversed(levels):
-                left, last = np.divmod(distinct[left], base)
-                numbers.insert(0, last)
-            order = np.argsort(left * base + numbers[0])
-            spaced = pa.concat_arrays([pa.array([""], pa.large_string()), pc.binary_join_element_wise(words, pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))])
-            tails = pc.binary_join_element_wise(*[spaced.take(pa.array(x[order])) for x in numbers], pa.scalar("", pa.large_string()))
-            out = pa.record_batch([heads.take(pa.array(left[order] - 1)).cast(pa.string()), tails.cast(pa.string()), pa.array(counts[order])], ["head", "tail", "n"])
-            for k in range(0, len(out), 50_000):
-                yield out.slice(k, 50_000)
+        for held in _buffers(batches):
+            yield from _projections(*held, known, max_words)
+            del held  # or it lives on beside the next ones
 
     return run
 
 
+def _projections(own: np.ndarray, langs: pa.Array, words: pa.Array, linked: np.ndarray, known: pa.Array | None, max_words: int) -> Iterator[pa.RecordBatch]:
+    """Of one buffer, by head, ``ROWS`` at a time: strings are only made for the rows that are sent."""
+    heads = _heads(langs, words)
+    keep = pc.is_in(heads, value_set=known).to_numpy(zero_copy_only=False) if known is not None else np.ones(len(heads), bool)
+    base, n = len(heads) + 1, len(own)
+    held = keep[own]
+    at = np.flatnonzero(held & linked)
+    at = at[held[at + 1]]
+    code, alive, levels = own[at] + 1, np.ones(len(at), bool), []
+    for k in range(1, max_words):
+        before = at + (k - 1)
+        alive = alive & linked[np.minimum(before, n - 1)]
+        nxt = np.minimum(at + k, n - 1)
+        alive &= held[nxt]
+        code, distinct = _codes(pa.array(code * base + np.where(alive, own[nxt] + 1, 0)))
+        levels.append(distinct.to_numpy())
+    counts = np.bincount(code, minlength=len(levels[-1])) if len(at) else np.zeros(0, np.int64)
+    del own, linked, held, at, code, alive, before, nxt
+    numbers, left = [], np.arange(len(counts))
+    for distinct in reversed(levels):
+        left, last = np.divmod(distinct[left], base)
+        numbers.insert(0, last)
+    order = np.argsort(left * base + numbers[0])
+    spaced = pa.concat_arrays([pa.array([""], pa.large_string()), pc.binary_join_element_wise(words, pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))])
+    for k in range(0, len(order), ROWS):
+        some = order[k : k + ROWS]
+        tails = pc.binary_join_element_wise(*[spaced.take(pa.array(x[some])) for x in numbers], pa.scalar("", pa.large_string()))
+        yield pa.record_batch([heads.take(pa.array(left[some] - 1)).cast(pa.string()), tails.cast(pa.string()), pa.array(counts[some])], ["head", "tail", "n"])
+
+
 def _grow(max_words: int, min_count: int):
     """(lang, phrase, words, n) of frequent extensions, from ordered projections."""
 

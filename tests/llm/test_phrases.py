@@ -107,3 +107,19 @@ def test_products_beyond_64_bits(spark):
     words = spark.createDataFrame([("en", "a", 5_000_000_000), ("en", "b", 7_000_000_001)], "lang string, phrase string, n long")
     r = phrases.scored(found, words).first()
     assert r["score"] == 10**6 * 3_000_000_000**2 // (5_000_000_000 * 7_000_000_001)
+
+
+def test_memory_of_a_task_does_not_follow_its_words():
+    import tracemalloc
+
+    import numpy as np
+
+    names = np.array([f"w{k}" for k in range(3000)])
+    rng = np.random.default_rng(1)
+    texts = [" ".join(names[rng.integers(3000, size=20_000)]) for _ in range(80)]
+    batches = [pa.record_batch([pa.array(["en"] * 4), pa.array(texts[k : k + 4])], ["lang", "text"]) for k in range(0, 80, 4)]
+    tracemalloc.start()  # sees NumPy's arrays, of 150 MB before buffers were smaller
+    rows = sum(len(b) for b in phrases._project(None, 3)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 1_500_000 and peak < 90 << 20
