@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
+from lacuna.operators import forest as forest_module
 from lacuna.operators import gaps, trees
 from lacuna.operators import panel as panels
 from lacuna.operators.evaluators import GapEvaluator
@@ -201,3 +202,39 @@ def test_gains_settle_and_points_are_filtered_alike():
     best = search(y, 60)
     assert (filter_lanes(y, best)[0] >= filter_lanes(y, np.tile([0.5, 0.1, 0.3, 0.1], (3, 1)))[0]).all()
     assert np.array_equal(search(y[:, [1]], 60)[0], best[1])
+
+
+def test_stations_in_a_chain_see_those_before_them_as_jobs_of_their_own_did(world, monkeypatch):  # noqa: F811
+    panel, settings = world
+    written, cut = [], forest_module.cut
+    monkeypatch.setattr(forest_module, "cut", lambda df: written.append(1) or cut(df))
+
+    class OneByOne(IterativeForest):
+        _follow = IterativeForest._step
+
+    together = fills_of(IterativeForest(settings).fit(panel), panel)
+    tables = len(written)
+    for chain in (1, 2):
+        monkeypatch.setattr(forest_module, "CHAIN", chain)
+        assert fills_of(IterativeForest(settings).fit(panel), panel) == together
+    monkeypatch.setattr(forest_module, "CHAIN", 1)
+    written.clear()
+    assert fills_of(OneByOne(settings).fit(panel), panel) == together
+    assert tables == len(written) - 8  # 3 stations, forward and backward, grown and replayed
+
+
+def test_memory_of_growing_trees_does_not_follow_their_days(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x, y = rng.gamma(2.0, 100.0, (2557, 26)), rng.normal(size=2557)
+    tracemalloc.start()  # 110 MB when a level's samples were ordered all at once
+    trees.grow(x, y, 100, 5, 0, 4, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 << 20
+    small = [trees.grow(x[:200], y[:200], 20, 5, 0, 0, bins) for bins in (0, 16)]
+    monkeypatch.setattr(trees, "CELLS", 50)
+    for bins, whole in zip((0, 16), small):
+        parts = trees.grow(x[:200], y[:200], 20, 5, 0, 0, bins)
+        assert all(np.array_equal(parts[c], whole[c]) for c in trees.COLUMNS)
