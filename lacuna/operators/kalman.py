@@ -1,7 +1,7 @@
 """Seasonal ARMA fill: (1,0,1)x(1,0,1,7) in state-space form, by a Kalman filter over many stations at once.
 
 A station's days are one row of arrays (bounded by the calendar). A task filters the stations of its Arrow
-batch side by side: states are (lanes x 9), covariances (lanes x 9 x 9), and a lane is a station with one point
+batch side by side: states are (9 x lanes), covariances (9 x 9 x lanes), and a lane is a station with one point
 of its simplex, so a step of the search costs one pass over the days for all stations and points. Missing
 days are filled by the one-step-ahead prediction, days in order of date; where no likelihood can be had (no
 reading after the first nine days), by the mean of the station, 0 without any reading."""
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 SEASON = 7
 STATES = SEASON + 2
-#: Stations of a task: enough that steps cost less than their calls, few enough that all tasks have work.
-STATIONS = 4
+#: Stations of a task: so many cost little more than one, since a step's time is that of its calls; more would wait for their slowest search.
+STATIONS = 9
 START, STEP = (0.5, 0.1, 0.3, 0.1), 0.2
 
 
@@ -32,45 +32,53 @@ def polynomials(params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ar, shock
 
 
+def _in_order(days: np.ndarray) -> np.ndarray:
+    """Sums of the lanes, added day after day whatever the number of lanes."""
+    return np.cumsum(days, 0)[-1] if len(days) else np.zeros(days.shape[1])
+
+
 def filter_lanes(y: np.ndarray, params: np.ndarray, predictions: bool = False, gains: list | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Concentrated log-likelihoods of the lanes' series (days x lanes; NaN is missing) and one-step-ahead predictions. ``gains`` gets each day's gains."""
-    ar, shock = polynomials(params)
-    lanes = len(ar)
-    noise = shock[:, :, None] * shock[:, None, :]
-    state, cov = np.zeros((lanes, STATES)), np.tile(np.eye(STATES) * 1e6, (lanes, 1, 1))
+    ar, shock = (np.ascontiguousarray(x.T) for x in polynomials(params))
+    lanes = ar.shape[1]
+    noise = shock[:, None] * shock
+    state, cov = np.zeros((STATES, lanes)), np.repeat((np.eye(STATES) * 1e6)[:, :, None], lanes, 2)
     known = ~np.isnan(y)
+    whole = known.all(1)
     out = np.empty(y.shape) if predictions else None
-    total, logs, n = np.zeros(lanes), np.zeros(lanes), known[STATES:].sum(0)
-    moved, next_state, left = np.empty_like(cov), np.empty_like(state), ar[:, :, None]
+    shocks, spreads = np.zeros(y.shape), np.ones(y.shape)
+    moved, taken, next_state, left = np.empty_like(cov), np.empty_like(cov), np.empty_like(state), ar[:, None]
     with np.errstate(all="ignore"):
         for t in range(len(y)):
-            seen = known[t]
-            expected = state[:, 0]
+            expected = state[0]
             if out is not None:
                 out[t] = expected
-            row = cov[:, 0, :].copy()
-            f = row[:, 0]
-            gain = row / f[:, None]
+            row = cov[0].copy()
+            f = row[0]
+            gain = row / f
             v = y[t] - expected
-            if not seen.all():
-                gain[~seen], v = 0.0, np.where(seen, v, 0.0)
+            if not whole[t]:
+                seen = known[t]
+                gain[:, ~seen], v = 0.0, np.where(seen, v, 0.0)
             if gains is not None:
-                gains.append(gain.copy())
-            if t >= STATES:
-                total += v * v / f
-                logs += np.where(seen, np.log(f), 0.0)
-            state = state + gain * v[:, None]
-            cov -= gain[:, :, None] * row[:, None, :]
-            np.multiply(ar, state[:, :1], out=next_state)
-            next_state[:, :-1] += state[:, 1:]
+                gains.append(gain.T.copy())
+            shocks[t], spreads[t] = v, f
+            state = state + gain * v
+            np.multiply(gain[:, None], row, out=taken)
+            cov -= taken
+            np.multiply(ar, state[0], out=next_state)
+            next_state[:-1] += state[1:]
             state, next_state = next_state, state
-            np.multiply(left, cov[:, :1, :], out=moved)
-            moved[:, :-1] += cov[:, 1:]
-            np.multiply(moved[:, :, :1], ar[:, None, :], out=cov)
-            cov[:, :, :-1] += moved[:, :, 1:]
+            np.multiply(left, cov[0], out=moved)
+            moved[:-1] += cov[1:]
+            np.multiply(moved[:, :1], ar, out=cov)
+            cov[:, :-1] += moved[:, 1:]
             cov += noise
+        counted = slice(STATES, None)
+        n = known[counted].sum(0)
+        total, logs = (_in_order(x) for x in (shocks[counted] * shocks[counted] / spreads[counted], np.where(known[counted], np.log(spreads[counted]), 0.0)))
         found = -0.5 * (n * np.log(total / n) + logs)
-    good = (n > 0) & (total > 0) & np.isfinite(found) & (np.abs(state[:, 0]) < 1e12)
+    good = (n > 0) & (total > 0) & np.isfinite(found) & (np.abs(state[0]) < 1e12)
     return np.where(good, found, -np.inf), out
 
 
