@@ -21,7 +21,7 @@ from ..sources.checkpoints import cut, forget
 
 GAP_LENGTHS, PERCENT, SEED_YEARS = (3, 7, 30, 100), 10.0, 3
 #: Pairs of gap length and method that run side by side.
-PARALLEL = 8
+PARALLEL = 36
 #: name: function(seed, gapped panel outside of it, whole gapped panel, seed's ends, settings) to (station, date, filled)
 Method = Callable[[DataFrame, DataFrame, DataFrame, tuple, Settings], DataFrame]
 
@@ -49,11 +49,17 @@ def _chained(seed: DataFrame, part: DataFrame, whole: DataFrame, ends: tuple, s:
     return filled.join(F.broadcast(stats), "station").withColumn("filled", F.col("filled") * F.col("scale") + F.col("mean")).drop("mean", "scale")
 
 
+def _vanilla(seed: DataFrame, part: DataFrame, whole: DataFrame, ends: tuple, s: Settings) -> DataFrame:
+    """A pass goes forward and backward; side by side there is no way back, so that a pass is two."""
+    own = replace(s, distances=None, connectivity=None, max_iter=s.max_iter * (2 if s.update == "jacobi" else 1))
+    return s.once("vanilla", lambda: IterativeForest(own).fit(seed)).transform(part)
+
+
 METHODS: dict[str, Method] = {
     "forest_chaining": lambda seed, part, whole, ends, s: blocks.chaining(whole, *ends, SEED_YEARS, s),
     "forest_expanding": lambda seed, part, whole, ends, s: blocks.expanding(whole, *ends, SEED_YEARS, s),
     "forest_seed_only": lambda seed, part, whole, ends, s: blocks.seed_only(whole, *ends, s),
-    "forest_vanilla": lambda seed, part, whole, ends, s: s.once("vanilla", lambda: IterativeForest(replace(s, distances=None, connectivity=None)).fit(seed)).transform(part),
+    "forest_vanilla": _vanilla,
     "forest_chained_equations": _chained,
     "knn_k5": lambda seed, part, whole, ends, s: knn_fill(seed, part, calendar=True),
     "kalman_sarima": lambda seed, part, whole, ends, s: kalman_fill_outside(seed, part),

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 
 from lacuna.operators import forest
-from lacuna.operators.forest import ChainedForest
+from lacuna.operators.forest import ChainedForest, InitialisedForest, IterativeForest, Settings
 from lacuna.operators.kalman import fill_lanes, kalman_fill
-from lacuna.plans import demo, queries
+from lacuna.plans import demo, evaluation, queries
 
 from .test_models import world  # noqa: F401
 from .test_operators import make
@@ -48,3 +48,55 @@ def test_evaluation_writes_the_panel_and_finds_its_window_once(spark, monkeypatc
     rows = queries.QUERIES["evaluation"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 8 and all(r["error"] is None and r["n_metrics"] == 5 for r in rows)
     assert calls == ["panel", "window"]
+
+
+@pytest.mark.parametrize("kind, tolerance", [(IterativeForest, 30.0), (ChainedForest, 1e-6), (InitialisedForest, 1e9)])
+def test_all_passes_of_a_replay_are_one_job(spark, world, monkeypatch, kind, tolerance):  # noqa: F811
+    """By blocks of days as pass by pass: the same values after the same number of passes."""
+    panel, settings = world
+    panel = panel.unionByName(make(spark, {"none": [None] * 500}))
+    model = kind(replace(settings, update="jacobi", max_iter=4, tolerance=tolerance)).fit(panel)
+    steps, own, cut = [], IterativeForest._step, forest.cut
+    monkeypatch.setattr(forest, "REPLAY_DAYS", 100)
+    monkeypatch.setattr(IterativeForest, "_step", lambda self, *a: steps.append(a) or own(self, *a))
+    rows = lambda: sorted((r["station"], r["dn"], r["was_missing"], r["filled"]) for r in model.transform(panel).collect() if r["station"] != "none")
+    at_once = rows()
+    assert not steps
+    monkeypatch.setattr(forest, "REPLAY_BYTES", -1)
+    by_pass = rows()
+    assert (len(steps) > 1) == (tolerance < 1e9)
+    assert at_once == by_pass and len(at_once) == 1500
+
+
+def test_evaluation_runs_whole_forests(spark, monkeypatch):
+    """Trees and passes as many as the reference's (and the operators' own), down to pure leaves; forward and backward are two passes side by side."""
+    whole = Settings()
+    size = queries.EVALUATED
+    assert (size["n_estimators"], size["max_iter"]) == (whole.n_estimators, whole.max_iter) == (100, 10)
+    assert (size["max_depth"], size["max_bins"]) == (0, 0)
+    found = []
+
+    class Recorded(IterativeForest):
+        def fit(self, seed):
+            found.append(self.settings)
+            return self
+
+        def transform(self, part):
+            return part
+
+    monkeypatch.setattr(evaluation, "IterativeForest", Recorded)
+    for update, passes in (("jacobi", 20), ("gauss_seidel", 10)):
+        evaluation.METHODS["forest_vanilla"](None, None, None, (), Settings(**size | {"update": update}))
+        assert (found[-1].max_iter, found[-1].n_estimators, found[-1].max_depth) == (passes, 100, 0)
+
+
+def test_the_seed_is_filled_once_for_all_gap_lengths(world, monkeypatch):  # noqa: F811
+    panel, settings = world
+    fits, fills = [], []
+    fit, fill = InitialisedForest._fit, forest.IterativeForestModel._transform
+    monkeypatch.setattr(InitialisedForest, "_fit", lambda self, p: fits.append(1) or fit(self, p))
+    monkeypatch.setattr(forest.IterativeForestModel, "_transform", lambda self, p: fills.append(1) or fill(self, p))
+    methods = {m: evaluation.METHODS[m] for m in ("forest_chaining", "forest_expanding")}
+    rows = evaluation.evaluate(panel, "1980-01-01", "1981-05-14", replace(settings, update="jacobi"), (3, 10), years=1, methods=methods).collect()
+    assert len(rows) == 4 and all(r["error"] is None and r["n"] > 0 for r in rows)
+    assert len(fits) == 2 and len(fills) == 9  # the seed's model and the expanded one; the seed, and a block on either side for each pair
